@@ -27,14 +27,15 @@ def state_entries(text: Column, names: list[str]) -> Column:
 
     Names are compared without case and punctuation; 7, 7.0, "7" and 7e0 are the same value, other texts are compared
     lower-cased and trimmed."""
-    entries = F.from_json(text, "map<string,string>")
-    clean = F.transform_keys(F.map_filter(entries, lambda k, v: v.isNotNull()), lambda k, v: F.regexp_replace(F.lower(k), "[^0-9a-z]", ""))
-    # a name written twice in one text keeps its first value
-    def value(name: str) -> Column:
+    def value(clean: Column, name: str) -> Column:
         raw = F.trim(F.lower(F.try_element_at(clean, F.lit(name))))
         return F.coalesce(raw.try_cast("double").cast("string"), raw)
-    out = F.array(*[value(n) for n in names])
-    return F.when(F.exists(out, lambda x: x.isNotNull()), out)
+
+    # bound by one-element arrays, so a text is parsed once and not once per name; NULL stays NULL
+    parsed = F.transform(F.array(F.from_json(text, "map<string,string>")), lambda m: F.transform_keys(
+        F.map_filter(m, lambda k, v: v.isNotNull()), lambda k, v: F.regexp_replace(F.lower(k), "[^0-9a-z]", "")))
+    listed = F.transform(parsed, lambda m: F.array(*[value(m, n) for n in names]))
+    return F.try_element_at(F.filter(listed, lambda a: F.exists(a, lambda x: x.isNotNull())), F.lit(1))
 
 
 def _bands(count: int, bands: int) -> list[list[int]]:
@@ -47,17 +48,22 @@ def _key(tag: Column, state: Column, bins: list[int]) -> Column:
     return F.xxhash64(tag, *[F.coalesce(state[i], F.lit("\x00")) for i in bins])
 
 
-def overlap_classes(df: DataFrame, record: Column, side: Column, digest: Column, state: Column, width: int, differ: int,
-                    tmp: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(classes, pairs) of a table whose rows are on side ``train``, another side, or NULL (left out).
+def sided_rows(df: DataFrame, record: Column, side: Column, digest: Column, state: Column, tmp: Scratch, **extra: Column) -> DataFrame:
+    """rid, side, digest, state, cid and ``extra`` of the rows that can overlap, written once so that texts are parsed once.
+
+    Rows without side, without id, or without both digest and state are left out."""
+    rows = df.select(record.cast("string").alias("rid"), side.alias("side"), digest.alias("digest"), state.alias("state"), *[c.alias(n) for n, c in extra.items()])
+    rows = rows.where("side is not null and rid is not null and (digest is not null or state is not null)")
+    return tmp.keep(rows.withColumn("cid", class_id()))
+
+
+def overlap_classes(rows: DataFrame, width: int, differ: int, tmp: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(classes, pairs) of ``sided_rows``, whose rows are on side ``train`` or another side.
 
     classes: cid, digest, state, train, held (rows on either side, repeats included), member (smallest record id).
     pairs: held_cid, train_cid, same_digest, agree (entries that agree), jaccard (of the entry sets): every pair of a
     class with held-out members and one with training members that have the same digest, or states that differ in at
     most ``differ`` entries (an entry absent on one side differs, one absent on both doesn't)."""
-    rows = df.select(record.cast("string").alias("rid"), side.alias("side"), digest.alias("digest"), state.alias("state"))
-    rows = rows.where("side is not null and rid is not null and (digest is not null or state is not null)")
-    rows = rows.withColumn("cid", class_id())
     classes = tmp.keep(rows.groupBy("cid").agg(
         F.first("digest").alias("digest"), F.first("state").alias("state"), F.count_if(F.col("side") == "train").alias("train"),
         F.count_if(F.col("side") != "train").alias("held"), F.min("rid").alias("member")))

@@ -20,26 +20,20 @@ STATE_NAMES = ["live", "loads", "stores", "width", "unroll", "carry", "lanes", "
 STATE_DIFFER = 2
 
 
-def _node_parts():
-    return F.col("node_id"), split_key(F.col("split")), hex_key(F.col("semantic_state_hash"), 32), overlap.state_entries(F.col("semantic_state"), STATE_NAMES)
-
-
-def _node_overlap(spark: SparkSession, sf_dir: str, tmp: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(distinct members: cid, rid, side, project; classes; pairs)"""
-    nodes = load(spark, sf_dir, "lazy_trace_nodes")
-    record, side, digest, state = _node_parts()
-    classes, pairs = overlap.overlap_classes(nodes, record, side, digest, state, len(STATE_NAMES), STATE_DIFFER, tmp)
+def _node_overlap(spark: SparkSession, sf_dir: str, tmp: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(distinct members of overlapping classes: cid, rid, side, project; pairs)"""
+    rows = overlap.sided_rows(load(spark, sf_dir, "lazy_trace_nodes"), F.col("node_id"), split_key(F.col("split")), hex_key(F.col("semantic_state_hash"), 32),
+                              overlap.state_entries(F.col("semantic_state"), STATE_NAMES), tmp, project=name_key(F.col("project")))
+    _, pairs = overlap.overlap_classes(rows, len(STATE_NAMES), STATE_DIFFER, tmp)
     touched = tmp.keep(pairs.select(F.explode(F.array("held_cid", "train_cid")).alias("tc")).distinct())
-    rows = nodes.select(record.alias("rid"), side.alias("side"), name_key(F.col("project")).alias("project"), digest.alias("digest"), state.alias("state"))
-    rows = rows.where("side is not null and rid is not null and (digest is not null or state is not null)").withColumn("cid", overlap.class_id())
     members = tmp.keep(rows.join(touched, rows.cid == touched.tc, "left_semi").select("cid", "rid", "side", "project").distinct())
-    return members, classes, pairs
+    return members, pairs
 
 
 @R.add("p2_found")
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     tmp = Scratch(spark)
-    members, _, pairs = _node_overlap(spark, sf_dir, tmp)
+    members, pairs = _node_overlap(spark, sf_dir, tmp)
     held = members.where("side <> 'train'").select(F.col("cid").alias("c1"), F.col("rid").alias("a"))
     train = members.where("side = 'train'").select(F.col("cid").alias("c2"), F.col("rid").alias("b"))
     nodes = pairs.join(held, pairs.held_cid == held.c1).join(train, pairs.train_cid == train.c2).where("a <> b").select(F.lit("node").alias("record_kind"), "a", "b")
@@ -53,7 +47,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_overlap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Held-out records that recur in training, counted per kind, split and project; ``exact``: by hash or whole state."""
     tmp = Scratch(spark)
-    members, _, pairs = _node_overlap(spark, sf_dir, tmp)
+    members, pairs = _node_overlap(spark, sf_dir, tmp)
     best = pairs.groupBy("held_cid").agg(F.max((F.col("same_digest") | (F.col("agree") == len(STATE_NAMES))).cast("int")).alias("exact"))
     held = members.where("side <> 'train'")
     nodes = held.join(best, held.cid == best.held_cid).groupBy("rid", "side", "project").agg(F.max("exact").alias("exact"))
@@ -145,3 +139,4 @@ def p6_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_split_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = p6_split(spark, sf_dir)
     return rows.groupBy("split").agg(F.count(F.lit(1)).alias("records"), F.countDistinct("component").alias("components"))
+
