@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import os
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import hex_key, name_key, present, split_key, trimmed
 from ..plans.core_problems import sql_hex, sql_name
 from ..plans.registry import Registry
 from ..session import Scratch, load
-from . import overlap, percentiles, splits
+from . import leakage, overlap, packing, percentiles, splits, subjects
 
 R = Registry()
 
@@ -140,3 +142,84 @@ def p6_split_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = p6_split(spark, sf_dir)
     return rows.groupBy("split").agg(F.count(F.lit(1)).alias("records"), F.countDistinct("component").alias("components"))
 
+
+# ---- 7: filling containers
+
+def tokenizer_path() -> str:
+    """The vocabulary of the public tokenizer whose tokens are counted; PLEXAFORM_VOCABULARY names another ranks file."""
+    return os.environ.get("PLEXAFORM_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+
+
+#: fixed value: how that tokenizer splits a text before merging
+TOKEN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+@R.add("p7_packing")
+def p7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Container, position and unused tokens of every text, or piece of a text, for each context window."""
+    windows = [(r["window_name"], r["capacity_tokens"], r["separator_tokens"]) for r in load(spark, sf_dir, "context_windows").collect()]
+    counts = packing.token_counts(load(spark, sf_dir, "documents"), "doc_id", "text", tokenizer_path(), TOKEN_PATTERN)
+    return packing.pack(counts, windows).withColumnRenamed("id", "doc_id")
+
+
+@R.add("p7_utilisation")
+def p7_utilisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per window: containers used, the lower bound on them, texts cut, tokens and unused tokens."""
+    rows = p7_packing(spark, sf_dir)
+    windows = load(spark, sf_dir, "context_windows")
+    per = rows.groupBy("window", "shard", "container").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("items"), F.max("unused").alias("unused"))
+    out = per.groupBy("window").agg(F.count(F.lit(1)).alias("containers"), F.sum("tokens").alias("tokens"), F.sum("items").alias("items"), F.sum("unused").alias("unused"))
+    w = windows.select(F.col("window_name"), "capacity_tokens", "separator_tokens")
+    bound = F.ceil((F.col("tokens") + F.col("items") * F.col("separator_tokens")) / (F.col("capacity_tokens") + F.col("separator_tokens")))
+    return out.join(F.broadcast(w), F.col("window") == F.col("window_name")).select("window", "containers", bound.alias("lower_bound"), "tokens", "items", "unused")
+
+
+# ---- 8: evaluation texts in training text
+
+
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(load(spark, sf_dir, "documents"), "doc_id", "text", load(spark, sf_dir, "eval_items"), "item_id", "text")
+
+
+@R.add("p8_found")
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+@R.add("p8_report")
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaked items per source and suite: documents, distinct items and words held."""
+    docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("d"), "source")
+    suites = load(spark, sf_dir, "eval_items").select(F.col("item_id").alias("i"), "suite")
+    found = _leaks(spark, sf_dir)
+    rows = found.join(docs, found.doc_id == docs.d).join(suites, found.item_id == suites.i)
+    return rows.groupBy("source", "suite").agg(F.countDistinct("doc_id").alias("documents"), F.countDistinct("item_id").alias("items"), F.sum("words").alias("words"))
+
+
+@R.add("p8_clean_documents")
+def p8_clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold no leaked item."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars")
+    return leakage.without_leaks(docs, "doc_id", _leaks(spark, sf_dir))
+
+
+# ---- 9: subject areas
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    model = subjects.label_subjects(spark, docs, load(spark, sf_dir, "doc_labels"), load(spark, sf_dir, "subject_areas"), Scratch(spark))
+    return subjects.score(docs, "doc_id", "text", model)
+
+
+@R.add("p9_found")
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir).select("doc_id", "subject").distinct()
+
+
+@R.add("p9_composition")
+def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus by subject: documents about it, their sentences about it, and the share of all such sentences."""
+    rows = _scored(spark, sf_dir).groupBy("subject").agg(F.count(F.lit(1)).alias("documents"), F.sum("sentences").alias("sentences"))
+    total = F.sum("sentences").over(Window.partitionBy())
+    return rows.withColumn("share", F.round(F.col("sentences") / total, 6))
