@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("core_problems",)
+MODULES = ("core_problems", "pointwise")
 
 
 def registries() -> list:
