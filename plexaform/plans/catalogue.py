@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("core_problems", "pointwise")
+MODULES = ("core_problems", "pointwise", "sequences")
 
 
 def registries() -> list:
