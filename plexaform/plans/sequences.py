@@ -192,8 +192,9 @@ def seq23_traffic(spark, sf_dir):
 def seq24_interleave(spark, sf_dir):
     half = lambda c: F.unhex(F.substring(F.md5(F.concat(c, F.col("o_orderkey").cast("string"))), 1, 16))
     o = load(spark, sf_dir, "orders").select("o_orderkey", F.array(half("o_orderstatus"), half("o_orderpriority")).alias("p"))
-    o = o.withColumn("packed", sq.interleave(F.col("p"), 4))
-    return o.select("o_orderkey", F.hex("packed").alias("packed"), F.lower(F.array_join(F.transform(sq.deinterleave(F.col("packed"), 2, 4), lambda b: F.hex(b)), "")).alias("inverse"))
+    o = o.withColumn("w", sq.interleave(F.col("p"), 4))
+    back = F.flatten(F.transform(F.array(sq.deinterleave(F.col("w"), 2, 4)), lambda a: F.array(F.hex(a[0]), F.hex(a[1]))))
+    return o.select("o_orderkey", F.hex("w").alias("packed"), F.lower(F.array_join(back, "")).alias("inverse"))
 
 
 @R.add("seq25_columns_of_records", "SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS keys, list(o_orderstatus ORDER BY o_orderkey) AS states FROM orders GROUP BY o_custkey")
