@@ -27,25 +27,35 @@ from ..session import Scratch
 from .text import repaired
 
 #: Labelled documents used for training at most, taken in the order of a hash of their id.
-MAX_LABELLED = 4096
+MAX_LABELLED = 2048
 BUCKETS = 1 << 15
-DIM = 24
+DIM = 16
 
-_WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
-_NAME = re.compile(r"\S*(?:[0-9_/\\]|::)\S*")
-_SENTENCE = re.compile(r"(?<=[.?!])\s+|\n\s*\n|\n(?=\s*(?:[-*]\s|\[\d\d:))")
 _LEAD = re.compile(r"(?m)^\s*(?://|>|#|\*)+\s?")
+#: A word (no part of a path, number or name of code), or what ends a sentence.
+_TOKEN = re.compile(
+    r"(?<![\w/\\:])[^\W\d_]++(?:-[^\W\d_]++)*+(?![\w/\\]|::|[.:]\w)"
+    r"|[.?!](?=\s|$)|\n\s*\n|\n(?=\s*(?:[-*]\s|\[\d\d:))")
+
+
+def tokens(text: str) -> list[str]:
+    """Lower-case words in order, with a token that is no word after every sentence."""
+    return _TOKEN.findall(_LEAD.sub("", repaired(text)).lower())
+
+
+def is_word(token: str) -> bool:
+    return token[0].isalpha()
 
 
 def sentences(text: str) -> list[list[str]]:
     """Lower-case words of each sentence that has any; names of code, paths and numbers are no words."""
-    text = _LEAD.sub("", repaired(text))
-    out = []
-    for s in _SENTENCE.split(text):
-        words = _WORD.findall(_NAME.sub(" ", s).lower())
-        if words:
-            out.append(words)
-    return out
+    out: list[list[str]] = [[]]
+    for t in tokens(text):
+        if is_word(t):
+            out[-1].append(t)
+        elif out[-1]:
+            out.append([])
+    return out if out[-1] else out[:-1]
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,9 +88,11 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
 
 
-def unit_gradient(vectors: np.ndarray, out: np.ndarray, bias: np.ndarray, flat: np.ndarray, lengths: np.ndarray, labels: np.ndarray,
+def unit_gradient(vectors: np.ndarray, out: np.ndarray, bias: np.ndarray, flat: np.ndarray, order: np.ndarray, lengths: np.ndarray, labels: np.ndarray,
                   single: bool, sure: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Summed gradient of the logistic loss over units for word vectors, outputs and bias, and the number of units."""
+    """Summed gradient of the logistic loss over units for word vectors, outputs and bias, and the number of units.
+
+    ``flat`` holds the words of all units in turn, ``order`` sorts it."""
     starts = np.cumsum(lengths) - lengths
     mean = np.add.reduceat(vectors[flat], starts) / lengths[:, None]
     p = _sigmoid(mean @ out + bias)
@@ -96,7 +108,6 @@ def unit_gradient(vectors: np.ndarray, out: np.ndarray, bias: np.ndarray, flat:
         y = labels
     g = (p - y).astype(np.float32)
     per_word = np.repeat((g @ out.T) / lengths[:, None], lengths, axis=0)
-    order = np.argsort(flat, kind="stable")
     sorted_ = flat[order]
     first = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
     words = np.zeros_like(vectors)
@@ -127,8 +138,7 @@ def train(spark: SparkSession, labelled: DataFrame, subjects: list[str], tmp: Sc
     if not words:
         return Model(subjects, table, out, bias)
     number = spark.sparkContext.broadcast({w: i for i, w in enumerate(words)})
-    coded = units.mapInPandas(_coder(number), "doc_id bigint, sentence int, words array<int>, labels array<int>")
-    coded = tmp.keep(coded)
+    coded = tmp.keep(units.mapInPandas(_packer(number, len(subjects)), "flat binary, order binary, lengths binary, labels binary, docs binary"))
     own, subs, ends = features(words)
     width = np.diff(ends)
     adams = [_Adam(table), _Adam(out), _Adam(bias)]
@@ -138,7 +148,7 @@ def train(spark: SparkSession, labelled: DataFrame, subjects: list[str], tmp: Sc
         rate = 0.05 if not single else 0.03 if r < docs + plain + corrected // 2 else 0.015
         vectors = (table[own] + np.add.reduceat(table[subs], ends[:-1]) / width[:, None]).astype(np.float32)
         state = spark.sparkContext.broadcast((vectors, out, bias))
-        parts = coded.mapInPandas(_gradient(state, single, sure, len(subjects)), "words binary, outputs binary, bias binary, units bigint").collect()
+        parts = coded.mapInPandas(_gradient(state, single, sure), "words binary, outputs binary, bias binary, units bigint").collect()
         state.destroy()
         n = max(1, sum(p["units"] for p in parts))
         g_words = sum(np.frombuffer(p["words"], np.float32).reshape(vectors.shape) for p in parts) / n
@@ -158,37 +168,36 @@ def _split_units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["doc_id", "sentence", "words", "labels"])
 
 
-def _coder(number):
-    def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _packer(number, subjects: int):
+    """The units of a partition as one row of arrays: they are unpacked once here and not once a round."""
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = [b for b in batches if len(b)]
+        if not rows:
+            return
         get = number.value.__getitem__
-        for batch in batches:
-            batch["words"] = [[get(w) for w in ws] for ws in batch["words"]]
-            yield batch
-    return code
-
-
-def _gradient(state, single: bool, sure: float, subjects: int):
+        pdf = pd.concat(rows, ignore_index=True).sort_values(["doc_id", "sentence"], kind="stable")
+        labels = np.zeros((len(pdf), subjects), np.float32)
+        for k, ys in enumerate(pdf["labels"]):
+            labels[k, list(ys)] = 1
+        flat = np.array([get(w) for ws in pdf["words"] for w in ws], np.int64)
+        ids = pdf["doc_id"].to_numpy()
+        arrays = {"flat": flat, "order": np.argsort(flat, kind="stable"), "lengths": pdf["words"].str.len().to_numpy(np.int64),
+                  "labels": labels, "docs": np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])}
+        yield pd.DataFrame({k: [v.tobytes()] for k, v in arrays.items()})
+    return pack
+
+
+def _gradient(state, single: bool, sure: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vectors, out, bias = state.value
-        total = None
-        rows = [b for b in batches if len(b)]
-        if rows:
-            pdf = pd.concat(rows, ignore_index=True)
-            if not single:
-                pdf = pdf.sort_values(["doc_id", "sentence"], kind="stable")
-            labels = np.zeros((len(pdf), subjects), np.float32)
-            for k, ys in enumerate(pdf["labels"]):
-                labels[k, list(ys)] = 1
-            lengths = pdf["words"].str.len().to_numpy(np.int64)
-            flat = np.concatenate(pdf["words"].to_list()).astype(np.int64)
-            if not single:
-                ids = pdf["doc_id"].to_numpy()
-                first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-                labels, lengths = labels[first], np.add.reduceat(lengths, first)
-            total = unit_gradient(vectors, out, bias, flat, lengths, labels, single, sure)
-        if total is not None:
-            w, o, b, n = total
-            yield pd.DataFrame({"words": [w.astype(np.float32).tobytes()], "outputs": [o.astype(np.float32).tobytes()], "bias": [b.astype(np.float32).tobytes()], "units": [n]})
+        for batch in batches:
+            for row in batch.itertuples():
+                flat, order, lengths, first = (np.frombuffer(x, np.int64) for x in (row.flat, row.order, row.lengths, row.docs))
+                labels = np.frombuffer(row.labels, np.float32).reshape(len(lengths), -1)
+                if not single:
+                    labels, lengths = labels[first], np.add.reduceat(lengths, first)
+                w, o, b, n = unit_gradient(vectors, out, bias, flat, order, lengths, labels, single, sure)
+                yield pd.DataFrame({"words": [w.astype(np.float32).tobytes()], "outputs": [o.astype(np.float32).tobytes()], "bias": [b.astype(np.float32).tobytes()], "units": [n]})
     return run
 
 
@@ -200,20 +209,29 @@ def score(documents: DataFrame, doc_id: str, text: str, model: Model, share: flo
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = state.value
         number: dict[str, int] = {}
-        logits = np.zeros((0, len(m.subjects)), np.float32)
+        logits, word = np.zeros((0, len(m.subjects)), np.float32), np.zeros(0, bool)
         for batch in batches:
-            units = [(d, s) for d, t in zip(batch["doc_id"].tolist(), batch["text"]) if t for s in sentences(t)]
-            if not units:
+            texts = [tokens(t) if t else [] for t in batch["text"]]
+            flat = np.fromiter((number.setdefault(w, len(number)) for ts in texts for w in ts), np.int64)
+            if not len(flat):
                 continue
-            flat = np.fromiter((number.setdefault(w, len(number)) for _, s in units for w in s), np.int64)
             if len(number) > len(logits):
                 new = list(number)[len(logits):]
                 logits = np.concatenate([logits, (m.word_vectors(new) @ m.out).astype(np.float32)])
-            lengths = np.array([len(s) for _, s in units])
-            z = np.add.reduceat(logits[flat], np.cumsum(lengths) - lengths) / lengths[:, None] + m.bias
+                word = np.concatenate([word, [is_word(w) for w in new]])
+            # sentences end at tokens that are no words and at the end of a text
+            doc = np.repeat(np.arange(len(texts)), [len(ts) for ts in texts])
+            keep = word[flat]
+            unit = np.cumsum(~keep)[keep]
+            doc, flat = doc[keep], flat[keep]
+            if not len(flat):
+                continue
+            starts = np.flatnonzero(np.r_[True, (unit[1:] != unit[:-1]) | (doc[1:] != doc[:-1])])
+            lengths = np.diff(np.r_[starts, len(flat)])
+            z = np.add.reduceat(logits[flat], starts) / lengths[:, None] + m.bias
             best = z.argmax(1)
             about = _sigmoid(z[np.arange(len(z)), best]) >= least
-            ids = np.array([d for d, _ in units])[about]
+            ids = batch["doc_id"].to_numpy()[doc[starts]][about]
             if len(ids):
                 pairs = pd.DataFrame({"doc_id": ids, "k": best[about]}).value_counts().reset_index(name="sentences")
                 pairs["about_any"] = pairs.groupby("doc_id")["sentences"].transform("sum")
@@ -221,7 +239,7 @@ def score(documents: DataFrame, doc_id: str, text: str, model: Model, share: flo
                 pairs["subject"] = [m.subjects[k] for k in pairs["k"]]
                 yield pairs[["doc_id", "subject", "sentences", "about_any"]]
             if len(number) > 500_000:
-                number, logits = {}, np.zeros((0, len(m.subjects)), np.float32)
+                number, logits, word = {}, np.zeros((0, len(m.subjects)), np.float32), np.zeros(0, bool)
 
     source = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null and text is not null")
     return source.mapInPandas(run, "doc_id bigint, subject string, sentences bigint, about_any bigint")
