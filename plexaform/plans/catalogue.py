@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("core_problems", "pointwise", "sequences", "reductions")
+MODULES = ("core_problems", "pointwise", "sequences", "reductions", "relations")
 
 
 def registries() -> list:
