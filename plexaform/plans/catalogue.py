@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("core_problems", "pointwise", "sequences", "reductions", "relations", "domain")
+MODULES = ("core_problems", "pointwise", "sequences", "reductions", "relations", "domain", "graphs")
 
 
 def registries() -> list:
