@@ -10,21 +10,42 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Substring of a counter's name -> category and direction; the first match counts.
+# Substrings of a counter's name, its category and its preferred direction; the first rule that matches counts.
 COUNTER_RULES = [
-    ("dram", "memory_traffic", "lower"), ("bytes", "memory_traffic", "lower"), ("l2", "cache", "higher"), ("l1", "cache", "higher"),
-    ("hit", "cache", "higher"), ("miss", "cache", "lower"), ("occupancy", "occupancy", "higher"), ("warp", "occupancy", "higher"),
-    ("register", "registers", "lower"), ("spill", "registers", "lower"), ("shared", "shared_memory", "lower"), ("bank", "shared_memory", "lower"),
-    ("branch", "control_flow", "lower"), ("diverg", "control_flow", "lower"), ("stall", "stalls", "lower"), ("barrier", "stalls", "lower"),
-    ("instruction", "instructions", "lower"), ("inst", "instructions", "lower"), ("cycle", "time", "lower"), ("time", "time", "lower"), ("throughput", "throughput", "higher"),
+    (("occupancy_limit_registers",), "register_occupancy_limit", "higher"),
+    (("occupancy_limit_shared_mem",), "shared_memory_occupancy_limit", "higher"),
+    (("occupancy_limit_warps",), "warp_occupancy_limit", "higher"),
+    (("registers_per_thread_allocated",), "allocated_registers_per_thread", "lower"),
+    (("registers_per_thread",), "registers_per_thread", "lower"),
+    (("shared_mem_per_block",), "shared_bytes_per_block", "lower"),
+    (("stack_size",), "stack_bytes", "lower"),
+    (("waves_per_multiprocessor",), "waves_per_multiprocessor", "context"),
+    (("occupancy", "active_warps", "waves_per"), "occupancy", "higher"),
+    (("dram_bytes", "device_memory_bytes", "bytes_read", "bytes_write"), "dram_bytes", "lower"),
+    (("global_load", "global_op_ld", "read_transactions", "tcc_ea_rdreq"), "global_load_transactions", "lower"),
+    (("global_store", "global_op_st", "write_transactions", "tcc_ea_wrreq"), "global_store_transactions", "lower"),
+    (("l2_hit", "lts__t_sector_hit", "tcp_hit"), "l2_hit_rate", "higher"),
+    (("l1_hit", "l1tex__t_sector_hit"), "l1_hit_rate", "higher"),
+    (("shared_bank", "lds_bank"), "shared_bank_conflicts", "lower"),
+    (("barrier", "wait_inst_barrier"), "barrier_stalls", "lower"),
+    (("memory_stall", "long_scoreboard", "alu_stalled"), "memory_stalls", "lower"),
+    (("branch_div", "divergent_branch"), "branch_divergence", "lower"),
+    (("instructions", "inst_executed", "sq_insts"), "instructions", "lower"),
+    (("throughput", "flop", "ipc"), "compute_throughput", "higher"),
+    (("gpu_time", "duration"), "instrumented_gpu_time", "lower"),
 ]
 # Bytes of one element.
 ELEMENT_BYTES = {"i8": 1, "u8": 1, "i16": 2, "u16": 2, "f16": 2, "bf16": 2, "i32": 4, "u32": 4, "f32": 4, "i64": 8, "u64": 8, "f64": 8}
 
 
+# Names of the speed buckets, slowest first.
+SPEED_BUCKETS = ("regression_gt_10", "regression_3_to_10", "tie_minus3_plus3", "win_3_to_10", "win_10_to_50", "win_gt_50")
+
+
 def speed_bucket(s: Column) -> Column:
-    """Below 0.95 regression; then closed upper limits."""
-    return F.when(s < 0.95, "regression").when(s <= 1.02, "neutral").when(s <= 1.10, "small").when(s <= 1.25, "medium").otherwise("large")
+    """Bucket of a relative speedup (0.1 is ten percent): lower limits are open below zero, upper ones closed above."""
+    a, b, c, d, e, f = (F.lit(x) for x in SPEED_BUCKETS)
+    return F.when(s < -0.10, a).when(s < -0.03, b).when(s <= 0.03, c).when(s <= 0.10, d).when(s <= 0.50, e).otherwise(f)
 
 
 def first_match(text: Column, rules: list[tuple[str, str]], default: Column) -> Column:
@@ -36,9 +57,13 @@ def first_match(text: Column, rules: list[tuple[str, str]], default: Column) ->
 
 
 def counter_kind(name: Column) -> Column:
+    """category/direction of a counter's name."""
     out = F.lit("vendor_specific/context")
-    for part, category, direction in reversed(COUNTER_RULES):
-        out = F.when(F.contains(F.lower(name), F.lit(part)), F.lit(f"{category}/{direction}")).otherwise(out)
+    for parts, category, direction in reversed(COUNTER_RULES):
+        hit = F.lit(False)
+        for part in parts:
+            hit = hit | F.contains(F.lower(name), F.lit(part))
+        out = F.when(hit, F.lit(f"{category}/{direction}")).otherwise(out)
     return out
 
 

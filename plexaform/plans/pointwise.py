@@ -60,10 +60,10 @@ def map22_bounded_pointwise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "customer").where("c_custkey < 1000").select(F.col("c_custkey").alias("i"), pw.affine(F.col("c_acctbal") / 1000.0, 2.0, 1.0).alias("y"))
 
 
-@R.add("map29_speed_bucket", """SELECT l_orderkey, l_linenumber, CASE WHEN s < 0.95::DOUBLE THEN 'regression' WHEN s <= 1.02::DOUBLE THEN 'neutral' WHEN s <= 1.10::DOUBLE THEN 'small'
-    WHEN s <= 1.25::DOUBLE THEN 'medium' ELSE 'large' END AS bucket FROM (SELECT *, 0.9::DOUBLE + l_discount * 5 AS s FROM lineitem)""")
+@R.add("map29_speed_bucket", """SELECT l_orderkey, l_linenumber, CASE WHEN s < -0.10::DOUBLE THEN 'regression_gt_10' WHEN s < -0.03::DOUBLE THEN 'regression_3_to_10' WHEN s <= 0.03::DOUBLE THEN 'tie_minus3_plus3' WHEN s <= 0.10::DOUBLE THEN 'win_3_to_10'
+    WHEN s <= 0.50::DOUBLE THEN 'win_10_to_50' ELSE 'win_gt_50' END AS bucket FROM (SELECT *, l_discount * 8 - 0.2::DOUBLE AS s FROM lineitem)""")
 def map29_speed_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", derived.speed_bucket(F.lit(0.9) + F.col("l_discount") * 5).alias("bucket"))
+    return load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", derived.speed_bucket(F.col("l_discount") * 8 - F.lit(0.2)).alias("bucket"))
 
 
 _CATEGORIES = [("attention", "(?i)promo|attn"), ("norm", "(?i)economy"), ("matmul", "(?i)standard|steel"), ("copy", "(?i)small")]
@@ -74,9 +74,13 @@ def map30_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "part").select("p_partkey", derived.first_match(F.col("p_type"), _CATEGORIES, F.lit("other")).alias("category"))
 
 
-@R.add("map31_counter_rules", "SELECT sample_id, CASE " + " ".join(f"WHEN contains(lower(op), '{s}') THEN '{c}/{d}'" for s, c, d in derived.COUNTER_RULES) + " ELSE 'vendor_specific/context' END AS kind FROM profile_samples")
+_COUNTER = "(['sm_l1_hit_pct', 'GPU_Time', 'registers_per_thread', 'lds_bank_stall', 'branch_div_rate', 'tcp_hit', 'flop_count', 'wave_id', 'dram_bytes_in'])[1 + sample_id % 9]"
+
+
+@R.add("map31_counter_rules", f"SELECT sample_id, CASE " + " ".join("WHEN " + " OR ".join(f"contains(n, '{x}')" for x in parts) + f" THEN '{c}/{d}'" for parts, c, d in derived.COUNTER_RULES) + f" ELSE 'vendor_specific/context' END AS kind FROM (SELECT sample_id, lower({_COUNTER}) AS n FROM profile_samples)")
 def map31_counter_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "profile_samples").select("sample_id", derived.counter_kind(F.col("op")).alias("kind"))
+    names = F.array(*[F.lit(x) for x in ("sm_l1_hit_pct", "GPU_Time", "registers_per_thread", "lds_bank_stall", "branch_div_rate", "tcp_hit", "flop_count", "wave_id", "dram_bytes_in")])
+    return load(spark, sf_dir, "profile_samples").select("sample_id", derived.counter_kind(names[(F.col("sample_id") % 9).cast("int")]).alias("kind"))
 
 
 @R.add("map32_link_capacity", """SELECT g, w, round(g * CASE WHEN g >= 8 THEN 128.0::DOUBLE/130 ELSE 0.8::DOUBLE END * w / 8 * 1e9::DOUBLE, 3) AS bytes_per_second
