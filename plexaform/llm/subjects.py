@@ -30,6 +30,7 @@ from .text import repaired
 MAX_LABELLED = 2048
 BUCKETS = 1 << 15
 DIM = 16
+SETTLED = 0.3
 
 _LEAD = re.compile(r"(?m)^\s*(?://|>|#|\*)+\s?")
 #: A word (no part of a path, number or name of code), or what ends a sentence.
@@ -89,8 +90,8 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def unit_gradient(vectors: np.ndarray, out: np.ndarray, bias: np.ndarray, flat: np.ndarray, order: np.ndarray, lengths: np.ndarray, labels: np.ndarray,
-                  single: bool, sure: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Summed gradient of the logistic loss over units for word vectors, outputs and bias, and the number of units.
+                  single: bool, sure: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, float]:
+    """Summed gradient of the logistic loss over units for word vectors, outputs and bias, the number of units and their summed loss.
 
     ``flat`` holds the words of all units in turn, ``order`` sorts it."""
     starts = np.cumsum(lengths) - lengths
@@ -112,7 +113,8 @@ def unit_gradient(vectors: np.ndarray, out: np.ndarray, bias: np.ndarray, flat:
     first = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
     words = np.zeros_like(vectors)
     words[sorted_[first]] = np.add.reduceat(per_word[order], first)
-    return words, mean.T @ g, g.sum(0), len(g)
+    loss = -np.log(np.where(y > 0, p, 1 - p) + 1e-9).sum()
+    return words, mean.T @ g, g.sum(0), len(g), float(loss)
 
 
 class _Adam:
@@ -126,9 +128,12 @@ class _Adam:
         p -= rate * (self.m / (1 - 0.9 ** self.t)) / (np.sqrt(self.v / (1 - 0.99 ** self.t)) + 1e-8)
 
 
-def train(spark: SparkSession, labelled: DataFrame, subjects: list[str], tmp: Scratch, rounds: tuple[int, int, int] = (25, 10, 15),
+def train(spark: SparkSession, labelled: DataFrame, subjects: list[str], tmp: Scratch, rounds: tuple[int, int, int] = (25, 10, 15), most: int = 60,
           partitions: int = 4, seed: int = 7) -> Model:
-    """labelled: doc_id, text, labels (array of subject numbers); already bounded in number by the caller."""
+    """labelled: doc_id, text, labels (array of subject numbers); already bounded in number by the caller.
+
+    ``rounds``: on whole documents, on sentences, and on sentences with labels corrected. The first phase goes on, up to
+    ``most`` rounds, until the loss has come down to SETTLED of what it was."""
     split = labelled.mapInPandas(_split_units, "doc_id bigint, sentence int, words array<string>, labels array<int>")
     units = tmp.keep(split.repartition(partitions, "doc_id"))
     words = sorted(r[0] for r in units.select(F.explode("words")).distinct().collect())
@@ -143,12 +148,14 @@ def train(spark: SparkSession, labelled: DataFrame, subjects: list[str], tmp: Sc
     width = np.diff(ends)
     adams = [_Adam(table), _Adam(out), _Adam(bias)]
     docs, plain, corrected = rounds
-    for r in range(docs + plain + corrected):
+    at_first = None
+    r = 0
+    while r < docs + plain + corrected:
         single, sure = r >= docs, 0.6 if r >= docs + plain else 0.0
         rate = 0.05 if not single else 0.03 if r < docs + plain + corrected // 2 else 0.015
         vectors = (table[own] + np.add.reduceat(table[subs], ends[:-1]) / width[:, None]).astype(np.float32)
         state = spark.sparkContext.broadcast((vectors, out, bias))
-        parts = coded.mapInPandas(_gradient(state, single, sure), "words binary, outputs binary, bias binary, units bigint").collect()
+        parts = coded.mapInPandas(_gradient(state, single, sure), "words binary, outputs binary, bias binary, units bigint, loss double").collect()
         state.destroy()
         n = max(1, sum(p["units"] for p in parts))
         g_words = sum(np.frombuffer(p["words"], np.float32).reshape(vectors.shape) for p in parts) / n
@@ -159,6 +166,11 @@ def train(spark: SparkSession, labelled: DataFrame, subjects: list[str], tmp: Sc
         np.add.at(g_table, subs, np.repeat(g_words / width[:, None], width, axis=0))
         for adam, p, g in zip(adams, (table, out, bias), (g_table, g_out, g_bias)):
             adam.step(p, g.astype(np.float32), rate)
+        loss = sum(p["loss"] for p in parts) / n
+        at_first = loss if at_first is None else at_first
+        r += 1
+        if r == docs and docs < most and loss > SETTLED * at_first:
+            docs += 1
     return Model(subjects, table, out, bias)
 
 
@@ -196,8 +208,8 @@ def _gradient(state, single: bool, sure: float):
                 labels = np.frombuffer(row.labels, np.float32).reshape(len(lengths), -1)
                 if not single:
                     labels, lengths = labels[first], np.add.reduceat(lengths, first)
-                w, o, b, n = unit_gradient(vectors, out, bias, flat, order, lengths, labels, single, sure)
-                yield pd.DataFrame({"words": [w.astype(np.float32).tobytes()], "outputs": [o.astype(np.float32).tobytes()], "bias": [b.astype(np.float32).tobytes()], "units": [n]})
+                w, o, b, n, loss = unit_gradient(vectors, out, bias, flat, order, lengths, labels, single, sure)
+                yield pd.DataFrame({"words": [w.astype(np.float32).tobytes()], "outputs": [o.astype(np.float32).tobytes()], "bias": [b.astype(np.float32).tobytes()], "units": [n], "loss": [loss]})
     return run
 
 
@@ -208,6 +220,8 @@ def score(documents: DataFrame, doc_id: str, text: str, model: Model, share: flo
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = state.value
+        if not m.subjects:
+            return
         number: dict[str, int] = {}
         logits, word = np.zeros((0, len(m.subjects)), np.float32), np.zeros(0, bool)
         for batch in batches:
