@@ -7,23 +7,26 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .binding import bound
+
 #: fixed values: bytes of a block of 256 4-bit weights and of one of 256 8-bit activations
 Q4_BYTES, Q8_BYTES = 144, 292
 
 
 def blob_bytes(raw: Column, start: int, count: int) -> Column:
     """array of ``count`` unsigned bytes from 0-based ``start``."""
-    h = F.hex(raw)
-    return F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda k: F.conv(F.substring(h, (k + start) * 2 + 1, F.lit(2)), 16, 10).cast("int"))
+    part = F.substring(F.hex(raw), 2 * start + 1, 2 * count)
+    return bound(part, lambda h: F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda k: F.conv(F.substring(h, k * 2 + 1, F.lit(2)), 16, 10).cast("int")))
 
 
 def scale_min(packed: Column) -> tuple[Column, Column]:
     """12 packed bytes -> 8 scales and 8 minima of 6 bits: four plain ones, four with their high bits in the first eight."""
-    low = lambda k: packed[k].bitwiseAND(F.lit(63))
-    high = lambda k: F.shiftright(packed[k], 6)
-    scales = [low(k) for k in range(4)] + [packed[k + 8].bitwiseAND(F.lit(15)).bitwiseOR(F.shiftleft(high(k), 4)) for k in range(4)]
-    minima = [low(k + 4) for k in range(4)] + [F.shiftright(packed[k + 8], 4).bitwiseOR(F.shiftleft(high(k + 4), 4)) for k in range(4)]
-    return F.array(*scales), F.array(*minima)
+    def scales(b: Column) -> Column:
+        return F.array(*[b[k].bitwiseAND(F.lit(63)) for k in range(4)], *[b[k + 8].bitwiseAND(F.lit(15)).bitwiseOR(F.shiftleft(F.shiftright(b[k], 6), 4)) for k in range(4)])
+
+    def minima(b: Column) -> Column:
+        return F.array(*[b[k + 4].bitwiseAND(F.lit(63)) for k in range(4)], *[F.shiftright(b[k + 8], 4).bitwiseOR(F.shiftleft(F.shiftright(b[k + 4], 6), 4)) for k in range(4)])
+    return bound(packed, scales), bound(packed, minima)
 
 
 def pack_scale_min(scales: Column, minima: Column) -> Column:
@@ -37,10 +40,11 @@ def pack_scale_min(scales: Column, minima: Column) -> Column:
 
 def nibbles(quants: Column) -> Column:
     """128 bytes -> 256 values: of every 32 bytes first the low, then the high halves."""
-    def group(g):
-        part = F.slice(quants, g * 32 + 1, 32)
-        return F.concat(F.transform(part, lambda b: b.bitwiseAND(F.lit(15))), F.transform(part, lambda b: F.shiftright(b, 4)))
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(3)), group))
+    def values(q: Column) -> Column:
+        def group(g: Column) -> Column:
+            return bound(F.slice(q, g * 32 + 1, 32), lambda part: F.concat(F.transform(part, lambda b: b.bitwiseAND(F.lit(15))), F.transform(part, lambda b: F.shiftright(b, 4))))
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(3)), group))
+    return bound(quants, values)
 
 
 def half_value(bits: Column) -> Column:

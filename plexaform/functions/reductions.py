@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import bound
+
 
 def bytes_of(text: Column) -> Column:
     """array of the UTF-8 bytes of a text."""
-    hexed = F.hex(F.encode(text, "UTF-8"))
     n = F.octet_length(text)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda k: F.conv(F.substring(hexed, k * 2 - 1, F.lit(2)), 16, 10).cast("bigint"))).when(n == 0, F.array().cast("array<bigint>"))
+    values = bound(F.hex(F.encode(text, "UTF-8")), lambda h: F.transform(F.sequence(F.lit(1), n), lambda k: F.conv(F.substring(h, k * 2 - 1, F.lit(2)), 16, 10).cast("bigint")))
+    return F.when(n > 0, values).when(n == 0, F.array().cast("array<bigint>"))
 
 
 def count_byte(text: Column, needle: str) -> Column:

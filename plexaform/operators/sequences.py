@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.binding import bound
 from ..session import Scratch
 
 
@@ -234,14 +235,13 @@ def common_extent(a: DataFrame, b: DataFrame, seq: str, index: str, value: str)
 
 def interleave(payloads: Column, block: int) -> Column:
     """array of equally long binaries -> one binary: block 0 of each, then block 1 of each, and so on."""
-    size = F.octet_length(payloads[0])
-    blocks = F.sequence(F.lit(0), (size / block).cast("int") - 1)
-    pieces = F.flatten(F.transform(blocks, lambda k: F.transform(payloads, lambda p: F.substring(F.hex(p), k * (2 * block) + 1, F.lit(2 * block)))))
-    return F.unhex(F.array_join(pieces, ""))
+    blocks = F.sequence(F.lit(0), (F.octet_length(payloads[0]) / block).cast("int") - 1)
+    return bound(F.transform(payloads, lambda p: F.hex(p)), lambda hs: F.unhex(F.array_join(F.flatten(
+        F.transform(blocks, lambda k: F.transform(hs, lambda h: F.substring(h, k * (2 * block) + 1, F.lit(2 * block))))), "")))
 
 
 def deinterleave(packed: Column, siblings: int, block: int) -> Column:
     """The inverse: array of ``siblings`` binaries."""
     count = (F.octet_length(packed) / (block * siblings)).cast("int")
-    return F.transform(F.sequence(F.lit(0), F.lit(siblings - 1)), lambda s: F.unhex(F.array_join(F.transform(
-        F.sequence(F.lit(0), count - 1), lambda k: F.substring(F.hex(packed), (k * siblings + s) * (2 * block) + 1, F.lit(2 * block))), "")))
+    return bound(F.hex(packed), lambda h: F.transform(F.sequence(F.lit(0), F.lit(siblings - 1)), lambda s: F.unhex(F.array_join(F.transform(
+        F.sequence(F.lit(0), count - 1), lambda k: F.substring(h, (k * siblings + s) * (2 * block) + 1, F.lit(2 * block))), ""))))
