@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("core_problems", "pointwise", "sequences", "reductions", "relations", "domain", "graphs", "statistics", "datasets", "sourced")
+MODULES = ("core_problems", "pointwise", "sequences", "reductions", "relations", "domain", "graphs", "statistics", "datasets", "sourced", "completions")
 
 
 def registries() -> list:

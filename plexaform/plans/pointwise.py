@@ -54,10 +54,11 @@ def map20_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("c_custkey", pw.expression("(x * x + 0.25) / (abs(x) + 1)", "x").alias("y"))
 
 
-@R.add("map22_bounded_pointwise", f"SELECT c_custkey AS i, {X_SQL} * CAST(2 AS DOUBLE) + CAST(1 AS DOUBLE) AS y FROM customer WHERE c_custkey < 1000")
+@R.add("map22_bounded_pointwise", f"SELECT c_custkey AS i, {X_SQL} * CAST(2 AS DOUBLE) + CAST(1 AS DOUBLE) AS y FROM customer WHERE c_custkey < (SELECT count(*) FROM customer)")
 def map22_bounded_pointwise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A pointwise map under the bounded index guard i < n; n = 1000 is the launch extent."""
-    return load(spark, sf_dir, "customer").where("c_custkey < 1000").select(F.col("c_custkey").alias("i"), pw.affine(F.col("c_acctbal") / 1000.0, 2.0, 1.0).alias("y"))
+    """A pointwise map under the bounded index guard i < n, n being the number of elements."""
+    c = load(spark, sf_dir, "customer")
+    return c.where(F.col("c_custkey") < c.agg(F.count(F.lit(1))).scalar()).select(F.col("c_custkey").alias("i"), pw.affine(F.col("c_acctbal") / 1000.0, 2.0, 1.0).alias("y"))
 
 
 @R.add("map29_speed_bucket", """SELECT l_orderkey, l_linenumber, CASE WHEN s < -0.10::DOUBLE THEN 'regression_gt_10' WHEN s < -0.03::DOUBLE THEN 'regression_3_to_10' WHEN s <= 0.03::DOUBLE THEN 'tie_minus3_plus3' WHEN s <= 0.10::DOUBLE THEN 'win_3_to_10'

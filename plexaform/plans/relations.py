@@ -68,22 +68,23 @@ def join07_two_hops(spark, sf_dir):
     return rel.two_hops(_edges(spark, sf_dir), "src", "dst")
 
 
-@R.add("join08_hazards", "WITH a AS (SELECT DISTINCT l_orderkey AS op, l_suppkey AS r, l_linenumber = 1 AS w FROM lineitem WHERE l_orderkey < 2000) SELECT DISTINCT x.op AS earlier, y.op AS later FROM a x JOIN a y ON x.r = y.r AND x.op < y.op AND (x.w OR y.w)")
+@R.add("join08_hazards", "WITH a AS (SELECT l_orderkey AS op, l_partkey * 100000 + l_suppkey AS r, bool_or(l_linenumber = 1) AS w FROM lineitem GROUP BY 1, 2) SELECT DISTINCT x.op AS earlier, y.op AS later FROM a x JOIN a y ON x.r = y.r AND x.op < y.op AND (x.w OR y.w)")
 def join08_hazards(spark, sf_dir):
-    """Hazards among the operations of the first 2,000 orders (the schedule under study)."""
-    a = load(spark, sf_dir, "lineitem").where("l_orderkey < 2000").selectExpr("l_orderkey AS op", "l_orderkey AS ord", "l_suppkey AS r", "l_linenumber = 1 AS w").distinct()
+    """Operations are orders, resources the (part, supplier) stocks they touch; an order writes the stock of its first line."""
+    a = load(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("op"), (F.col("l_partkey") * 100000 + F.col("l_suppkey")).alias("r")).agg(F.bool_or(F.col("l_linenumber") == 1).alias("w"))
+    a = a.withColumn("ord", F.col("op"))
     return rel.hazards(a, "op", "ord", "r", "w")
 
 
 _TOK = "list_distinct(string_split(lower({c}), ' '))"
 
 
-@R.add("join09_nearest_signature", """WITH q AS (SELECT p_partkey, list_distinct(string_split(lower(p_name || ' ' || p_type), ' ')) AS s FROM part WHERE p_partkey % 100 = 0), b AS (SELECT DISTINCT list_sort(list_distinct(string_split(lower(p_name || ' ' || p_type), ' '))) AS s FROM part WHERE p_partkey % 2 = 1)
+@R.add("join09_nearest_signature", """WITH q AS (SELECT p_partkey, list_distinct(string_split(lower(p_name || ' ' || p_type), ' ')) AS s FROM part WHERE p_partkey % 100 = 0), b AS (SELECT DISTINCT list_sort(list_distinct(string_split(lower(p_name || ' ' || p_type), ' '))) AS s FROM part WHERE p_partkey % 100 <> 0)
     SELECT p_partkey, coalesce(min(1 - len(list_intersect(q.s, b.s)) / CAST(len(list_distinct(list_concat(q.s, b.s))) AS DOUBLE)), 1.0) AS distance FROM q CROSS JOIN b GROUP BY p_partkey""")
 def join09_nearest_signature(spark, sf_dir):
-    """Queries are the parts whose key is divisible by 100, against every part with an odd key."""
+    """Queries are the parts whose key is divisible by 100, against all others."""
     p = load(spark, sf_dir, "part").select("p_partkey", F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " ").alias("s"))
-    return rel.nearest_sets(p.where("p_partkey % 100 = 0"), "p_partkey", "s", p.where("p_partkey % 2 = 1"), "s")
+    return rel.nearest_sets(p.where("p_partkey % 100 = 0"), "p_partkey", "s", p.where("p_partkey % 100 <> 0"), "s")
 
 
 @R.add("join10_symbol_resolution", """WITH d AS (SELECT p_brand AS symbol, count(DISTINCT p_size % 3) AS n FROM part WHERE p_size < 3 GROUP BY 1), r AS (SELECT DISTINCT p_brand AS symbol FROM part)

@@ -131,9 +131,9 @@ def boot15_amdahl(spark, sf_dir):
     return load(spark, sf_dir, "part").select("p_partkey", F.round(f, 12).alias("forward"), F.round(rs.affected_fraction(F.lit(1.5), f), 9).alias("share"))
 
 
-@R.add("boot16_complement_product", "SELECT p_brand, round((1 - list_product(list_transform(list(p_size ORDER BY p_size), lambda p: 1 - greatest(0, least(100, p)) / 100.0::DOUBLE))) * 100, 9) AS combined FROM part WHERE p_size <= 3 GROUP BY p_brand")
+@R.add("boot16_complement_product", "SELECT p_brand, round((1 - list_product(list_transform(list(p_size / 50.0::DOUBLE ORDER BY p_size), lambda p: 1 - greatest(0, least(100, p)) / 100.0::DOUBLE))) * 100, 9) AS combined FROM part GROUP BY p_brand")
 def boot16_complement_product(spark, sf_dir):
-    p = load(spark, sf_dir, "part").where("p_size <= 3").groupBy("p_brand").agg(F.array_sort(F.collect_list(F.col("p_size").cast("double"))).alias("a"))
+    p = load(spark, sf_dir, "part").groupBy("p_brand").agg(F.array_sort(F.collect_list(F.col("p_size") / 50.0)).alias("a"))
     return p.select("p_brand", F.round(rs.complement_product(F.col("a")), 9).alias("combined"))
 
 

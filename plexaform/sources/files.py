@@ -37,7 +37,12 @@ def write_binary_trace(path: str, messages: list[bytes], seed: int) -> None:
 
 def read_binary_trace(spark: SparkSession, path: str) -> DataFrame:
     """path, position, message; a wrong magic, a short message or a trailing byte is an error."""
-    f = spark.read.format("binaryFile").load(path).select("path", F.hex("content").alias("h"), F.octet_length("content").alias("n"))
+    return split_binary_trace(spark.read.format("binaryFile").load(path))
+
+
+def split_binary_trace(blobs: DataFrame) -> DataFrame:
+    """path, content -> path, position, message."""
+    f = blobs.select("path", F.hex("content").alias("h"), F.octet_length("content").alias("n"))
     count = F.conv(F.substring("h", 17, 8), 16, 10).cast("int")
     ok = F.assert_true((F.substring("h", 1, 16) == MAGIC.hex().upper()) & (F.col("n") == 16 + MESSAGE_BYTES * count))
     f = f.withColumn("count", F.when(ok.isNull(), count)).where("count > 0")

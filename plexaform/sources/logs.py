@@ -59,7 +59,11 @@ def last_json(lines: DataFrame, by: str, schema: str, metric: str) -> DataFrame:
 
 def counters(spark: SparkSession, path: str) -> DataFrame:
     """name, value of evidence files whose ``metrics`` is an object or an array of {name, value}."""
-    raw = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
+    return parse_counters(spark.read.text(path, wholetext=True))
+
+
+def parse_counters(texts: DataFrame) -> DataFrame:
+    raw = texts.select(F.try_parse_json("value").alias("v"))
     m = "try_variant_get(v, '$.metrics', 'map<string,double>')"
     a = "try_variant_get(v, '$.metrics', 'array<struct<name string, value double>>')"
     return raw.select(F.expr(f"inline(coalesce(transform(map_entries({m}), e -> named_struct('name', e.key, 'value', e.value)), {a}, array()))"))
