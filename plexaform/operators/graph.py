@@ -150,7 +150,9 @@ def wl_labels(nodes: DataFrame, node: str, label: str, edges: DataFrame, src: st
         parts = e.join(other, F.col("s") == F.col("o")).select(F.col("d").alias("t"), F.concat(F.lit("<"), "r", "oc").alias("x"))
         if both_ways:
             parts = parts.unionByName(e.join(other, F.col("d") == F.col("o")).select(F.col("s").alias("t"), F.concat(F.lit(">"), "r", "oc").alias("x")))
-        gathered = parts.groupBy("t").agg(F.array_join(F.sort_array(F.collect_list("x")), ",").alias("x"))
+        # equal neighbour colours are counted first, so a hub holds one entry per colour and not one per edge
+        counted = parts.groupBy("t", "x").agg(F.count(F.lit(1)).alias("n"))
+        gathered = counted.groupBy("t").agg(F.array_join(F.sort_array(F.collect_list(F.concat("x", F.lit("*"), F.col("n").cast("string")))), ",").alias("x"))
         new = tmp.keep(state.join(gathered, F.col("v") == F.col("t"), "left").select("v", F.sha2(F.concat("c", F.lit("|"), F.coalesce("x", F.lit(""))), 256).alias("c")))
         tmp.drop(state)
         state = new
@@ -160,7 +162,8 @@ def wl_labels(nodes: DataFrame, node: str, label: str, edges: DataFrame, src: st
 def ordered_digest(df: DataFrame, order: list[str], payload: list[Column]) -> DataFrame:
     """One row: digest of the digests of all rows in the order given (NULLs written out), and their number."""
     row = F.sha2(F.concat_ws("\x1f", *[F.coalesce(c.cast("string"), F.lit("\x00")) for c in payload]), 256)
-    parts = df.select(F.pmod(F.xxhash64(*order), F.lit(256)).alias("b"), F.struct(*order, row.alias("h")).alias("s"))
+    buckets = max(1, -(-df.count() // 100_000))  # a bucket holds about 100,000 digests
+    parts = df.select(F.pmod(F.xxhash64(*order), F.lit(buckets)).alias("b"), F.struct(*order, row.alias("h")).alias("s"))
     per = parts.groupBy("b").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s.h), ","), 256).alias("d"), F.count(F.lit(1)).alias("n"))
     return per.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda s: s.d), ","), 256).alias("digest"), F.sum("n").alias("n"))
 

@@ -136,10 +136,16 @@ def run_pipeline(events: DataFrame, max_position: int, max_order: int) -> DataFr
     reason 3 and changes no state. NULL fields make an event invalid. Events of a key are taken in ``position`` order."""
     clean = events.na.fill(-1, ["kind", "side", "price_ticks", "quantity", "sequence"])
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        return decide(pdf.sort_values("position", kind="stable"), Book(max_position, max_order))
-
-    return clean.groupBy("key").applyInPandas(fold, DECISIONS)
+    def fold(batches):
+        # rows come sorted by key and position; only the current key's book is held, however many rows the key has
+        key, book = None, None
+        for pdf in batches:
+            for k, part in pdf.groupby("key", sort=False, dropna=False):
+                if book is None or k != key:
+                    key, book = k, Book(max_position, max_order)
+                yield decide(part, book)
+
+    return clean.repartition("key").sortWithinPartitions("key", "position").mapInPandas(fold, DECISIONS)
 
 
 def adversarial_trace(spark, count: int) -> DataFrame:

@@ -104,7 +104,8 @@ def byte_swap(word: Column) -> Column:
 
 
 def _ranged(df: DataFrame, order: list[str], tmp: Scratch) -> DataFrame:
-    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # enough partitions that none holds more than about a million rows
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // 1_000_000), 1)
     return tmp.keep(df.repartitionByRange(n, *order).withColumn("__pid", F.spark_partition_id()))
 
 
@@ -143,36 +144,49 @@ def affine_recurrence(values: Column, keep: float, take: float, start: float = 0
     return F.aggregate(values, F.lit(start), lambda y, x: y * F.lit(keep) + x * F.lit(take))
 
 
-def long_recurrence(df: DataFrame, order: list[str], value: str, keep: float, take: float, out: str) -> DataFrame:
-    """The same recurrence over one sequence of any length: y is affine in the state before a block, so block
-    compositions (a, b) with y_end = a * y_start + b are scanned over partitions, and rows then run from their start."""
+def long_recurrence(df: DataFrame, order: list[str], value: str, keep: float, take: float, out: str, seq: list[str] | None = None) -> DataFrame:
+    """The same recurrence at every row, over sequences of any length (one, or one per ``seq``).
+
+    Rows are range-partitioned by (seq, order), so a long sequence spans several partitions. y is affine in the state
+    before a block: each partition reports (a, b) with y_end = a * y_start + b of its last sequence, those compositions
+    (one row per partition) are scanned, and every partition then runs from its start."""
     import pandas as pd
 
+    seq = seq or []
     tmp = Scratch(df.sparkSession)
-    ranged = _ranged(df, order, tmp)
+    ranged = _ranged(df, [*seq, *order], tmp)
     names = df.columns
 
+    def parts(pdf: pd.DataFrame):
+        pdf = pdf.sort_values([*seq, *order], kind="stable")
+        return [(repr(k), g) for k, g in pdf.groupby(seq, sort=False, dropna=False)] if seq else [("", pdf)]
+
     def fold(pdf: pd.DataFrame, y: float) -> list[float]:
         ys = []
-        for x in pdf[value]:
+        for x in pdf[value].to_numpy():
             y = keep * y + take * x
             ys.append(y)
         return ys
 
     def ends(key, pdf):
-        ys = fold(pdf.sort_values(order, kind="stable"), 0.0)
-        return pd.DataFrame({"pid": [key[0]], "a": [keep ** len(ys)], "b": [ys[-1]]})
+        p = parts(pdf)
+        ys = fold(p[-1][1], 0.0)
+        return pd.DataFrame({"pid": [key[0]], "first": [p[0][0]], "last": [p[-1][0]], "a": [keep ** len(ys)], "b": [ys[-1]]})
 
-    parts = sorted(ranged.groupBy("__pid").applyInPandas(ends, "pid int, a double, b double").collect())
-    start, state = {}, 0.0
-    for pid, a, b in parts:  # one row per partition
-        start[pid] = state
-        state = a * state + b
+    start: dict[int, float] = {}
+    at, state = None, 0.0
+    for r in sorted(ranged.groupBy("__pid").applyInPandas(ends, "pid int, first string, last string, a double, b double").collect()):
+        start[r["pid"]] = state if r["first"] == at else 0.0
+        state = r["b"] + (r["a"] * start[r["pid"]] if r["first"] == r["last"] else 0.0)
+        at = r["last"]
 
     def run(key, pdf):
-        pdf = pdf.sort_values(order, kind="stable")
-        pdf[out] = fold(pdf, start[key[0]])
-        return pdf[[*names, out]]
+        out_parts = []
+        for n, (_, g) in enumerate(parts(pdf)):
+            g = g.copy()
+            g[out] = fold(g, start[key[0]] if n == 0 else 0.0)
+            out_parts.append(g)
+        return pd.concat(out_parts)[[*names, out]]
 
     schema = ranged.select(*names).withColumn(out, F.lit(0.0)).schema
     return ranged.groupBy("__pid").applyInPandas(run, schema)

@@ -172,7 +172,7 @@ def _wl_sql(rounds: int, both: bool) -> str:
     out = [_E, "w0 AS (SELECT v, sha256(CAST(v % 3 AS VARCHAR)) AS c FROM (SELECT s AS v FROM e UNION SELECT d FROM e))"]
     for k in range(rounds):
         parts = f"SELECT e.d AS t, '<' || 'r' || w.c AS x FROM e JOIN w{k} w ON w.v = e.s" + (f" UNION ALL SELECT e.s, '>' || 'r' || w.c FROM e JOIN w{k} w ON w.v = e.d" if both else "")
-        out.append(f"g{k} AS (SELECT t, string_agg(x, ',' ORDER BY x) AS x FROM ({parts}) GROUP BY t)")
+        out.append(f"g{k} AS (SELECT t, string_agg(x, ',' ORDER BY x) AS x FROM (SELECT t, x || '*' || count(*) AS x FROM ({parts}) GROUP BY t, p.x) GROUP BY t)".replace("p.x", "x").replace("SELECT t, x || '*'", "SELECT t, q.x || '*'").replace(f"FROM ({parts}) GROUP BY t, x)", f"FROM ({parts}) q GROUP BY q.t, q.x)"))
         out.append(f"w{k + 1} AS (SELECT w{k}.v, sha256(w{k}.c || '|' || coalesce(g{k}.x, '')) AS c FROM w{k} LEFT JOIN g{k} ON w{k}.v = g{k}.t)")
     return "WITH " + ", ".join(out) + f" SELECT v, c AS label FROM w{rounds}"
 

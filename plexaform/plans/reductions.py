@@ -106,15 +106,13 @@ _PROF = "SELECT run_id AS g, lower(trim(op)) AS category, CAST(coalesce(sum(grea
 def agg14_profile_categories(spark, sf_dir):
     """Per category the median and mean over runs; a category absent from a run counts 0 there.
 
-    Zeros are not materialised: with z missing runs, the median over all runs is read from the sorted present values."""
+    Zeros are not materialised: one row per category stands for all of its missing runs, with their number as weight."""
     p = load(spark, sf_dir, "profile_samples").select(F.col("run_id").alias("g"), F.lower(F.trim("op")).alias("category"), F.greatest(F.col("microseconds"), F.lit(0)).alias("us"))
     t = p.groupBy("g", "category").agg(F.coalesce(F.sum("us"), F.lit(0)).alias("us"))
     runs = p.agg(F.count_distinct("g")).scalar()
-    per = t.groupBy("category").agg(F.array_sort(F.collect_list("us")).alias("v"), F.sum("us").alias("s"))
-    per = per.withColumn("n", runs).withColumn("z", F.col("n") - F.size("v"))
-    at = lambda k: F.when(k < F.col("z"), F.lit(0)).otherwise(F.try_element_at("v", (k - F.col("z") + 1).cast("int")))
-    low, high = F.floor((F.col("n") - 1) / 2), F.ceil((F.col("n") - 1) / 2)
-    return per.select("category", ((at(low) + at(high)) / 2.0).alias("median_us"), F.round(F.col("s") / F.col("n"), 6).alias("mean_us"))
+    zeros = t.groupBy("category").agg((runs - F.count(F.lit(1))).alias("w")).where("w > 0").select("category", F.lit(0).cast("bigint").alias("us"), "w")
+    x = t.select("category", "us", F.lit(1).cast("bigint").alias("w")).unionByName(zeros)
+    return x.groupBy("category").agg(F.expr("percentile(us, 0.5, w)").alias("median_us"), F.round(F.sum(F.col("us") * F.col("w")) / F.sum("w"), 6).alias("mean_us"))
 
 
 @R.add("agg15_substage_summary", """WITH s AS (SELECT l_linenumber AS tokens, l_shipmode_ AS category, CAST(floor(l_quantity) AS BIGINT) AS us FROM (SELECT *, l_returnflag AS l_shipmode_ FROM lineitem)), t AS (SELECT CAST(sum(us) AS DOUBLE) AS total FROM s)

@@ -127,6 +127,14 @@ def seq13_running_max(spark, sf_dir):
 
 @R.add("seq14_recurrence", """SELECT user_id, list_reduce(list_prepend(0.0::DOUBLE, list(value ORDER BY ts, event_id)), lambda y, x: y * 0.875::DOUBLE + x * 0.125::DOUBLE) AS y FROM events GROUP BY user_id""")
 def seq14_recurrence(spark, sf_dir):
+    e = load(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
+    y = sq.long_recurrence(e, ["ts", "event_id"], "value", 0.875, 0.125, "y", ["user_id"])
+    return y.groupBy("user_id").agg(F.max_by("y", F.struct("ts", "event_id")).alias("y"))
+
+
+@R.add("seq14_folded_recurrence", R.sql["seq14_recurrence"])
+def seq14_folded_recurrence(spark, sf_dir):
+    """The same as a fold over collected arrays, for sequences known to be short."""
     e = load(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("a"))
     return e.select("user_id", sq.affine_recurrence(F.transform("a", lambda s: s.value), 0.875, 0.125).alias("y"))
 

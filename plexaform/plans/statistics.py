@@ -133,8 +133,8 @@ def boot15_amdahl(spark, sf_dir):
 
 @R.add("boot16_complement_product", "SELECT p_brand, round((1 - list_product(list_transform(list(p_size / 50.0::DOUBLE ORDER BY p_size), lambda p: 1 - greatest(0, least(100, p)) / 100.0::DOUBLE))) * 100, 9) AS combined FROM part GROUP BY p_brand")
 def boot16_complement_product(spark, sf_dir):
-    p = load(spark, sf_dir, "part").groupBy("p_brand").agg(F.array_sort(F.collect_list(F.col("p_size") / 50.0)).alias("a"))
-    return p.select("p_brand", F.round(rs.complement_product(F.col("a")), 9).alias("combined"))
+    rest = 1 - F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("p_size") / 50.0)) / 100
+    return load(spark, sf_dir, "part").groupBy("p_brand").agg(F.round((1 - F.product(rest)) * 100, 9).alias("combined"))
 
 
 @R.add("boot17_gains", "SELECT l_returnflag, round(min(g), 9) AS overall FROM (SELECT l_returnflag, l_linestatus, sum(l_extendedprice) FILTER (WHERE l_orderkey % 2 = 0) / sum(l_extendedprice) FILTER (WHERE l_orderkey % 2 = 1) AS g FROM lineitem GROUP BY 1, 2) GROUP BY 1")
