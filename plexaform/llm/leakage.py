@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import repaired
+from .text import chunks, repaired
 
 GRAM = 3
 #: Words of items held by one scan; a larger set is scanned in several blocks of items.
@@ -171,7 +171,7 @@ def leaks(documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
     def scanner(block):
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             index = ItemIndex(block.value)
-            for batch in batches:
+            for batch in (c for b in batches for c in chunks(b)):
                 docs = [plain_words(t) if t else [] for t in batch["text"]]
                 ids = batch["doc_id"].tolist()
                 rows = []

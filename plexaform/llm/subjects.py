@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import Scratch
-from .text import repaired
+from .text import chunks, repaired
 
 #: Labelled documents used for training at most, taken in the order of a hash of their id.
 MAX_LABELLED = 2048
@@ -224,7 +224,7 @@ def score(documents: DataFrame, doc_id: str, text: str, model: Model, share: flo
             return
         number: dict[str, int] = {}
         logits, word = np.zeros((0, len(m.subjects)), np.float32), np.zeros(0, bool)
-        for batch in batches:
+        for batch in (c for b in batches for c in chunks(b)):
             texts = [tokens(t) if t else [] for t in batch["text"]]
             flat = np.fromiter((number.setdefault(w, len(number)) for ts in texts for w in ts), np.int64)
             if not len(flat):

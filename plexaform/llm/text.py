@@ -5,6 +5,9 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections.abc import Iterator
+
+import pandas as pd
 
 #: Letters of other scripts that look like Latin ones (NFKC leaves them as they are).
 LOOKALIKES = {
@@ -40,3 +43,11 @@ def repaired(text: str) -> str:
     text = _BYTES.sub(_decoded, text).translate(_HIDDEN)
     text = unicodedata.normalize("NFKC", text)
     return text if text.isascii() else text.translate(_LOOKS)
+
+
+def chunks(batch: pd.DataFrame, column: str = "text", limit: int = 4_000_000) -> Iterator[pd.DataFrame]:
+    """The rows of a batch in parts of about ``limit`` characters (one longer text is a part of its own), so that long
+    texts in one batch don't add up in a worker's memory."""
+    at = (batch[column].str.len().fillna(0).cumsum() // limit).astype("int64").to_numpy()
+    for k in sorted(set(at.tolist())):
+        yield batch[at == k]

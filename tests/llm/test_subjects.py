@@ -3,8 +3,8 @@ import random
 from plexaform.llm.subjects import label_subjects, score, sentences
 from plexaform.session import Scratch
 
-TERMS = {"law": "court verdict statute appeal judge clause".split(), "sport": "goal match referee striker league keeper".split(), "music": "violin chord tempo melody choir sonata".split()}
-NEUTRAL = "thanks the last note looks fine".split()
+TERMS = {"law": "court verdict statute appeal judge clause".split(), "sport": "goal match referee striker league keeper".split(), "music": "violin chord tempo melody choir sonata".split(),
+         "food": "flour butter oven recipe spice dough".split(), "space": "orbit comet lander telescope nebula rocket".split(), "sea": "harbour anchor tide vessel sailor reef".split()}
 
 
 def sentence(rnd, s):
