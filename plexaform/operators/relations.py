@@ -102,34 +102,60 @@ def owners(df: DataFrame, content: Column, order: str, key: str) -> DataFrame:
     return w.join(first, F.col("__c").eqNullSafe(F.col("__d"))).select(key, "owner")
 
 
+#: Rows of a skyline that are sent to all tasks at once.
+SKYLINE_BLOCK = 50_000
+
+
 def pareto(df: DataFrame, maximise: list[str], minimise: list[str], key: str) -> DataFrame:
     """Rows that no other row dominates (at least as good in all, better in one); equal rows all stay.
 
-    The skyline of every partition is taken first; only its survivors meet, in one sorted pass each."""
+    Every partition first drops what its own rows dominate. The survivors are written, and then every survivor is compared
+    with all of them, a block of at most about SKYLINE_BLOCK rows at a time, so no task holds more than its own rows and
+    one block. Rows with a NULL or NaN objective are left out. ``key`` is kept for symmetry with the ranking operators."""
     import numpy as np
     import pandas as pd
 
+    from ..session import Scratch
+
+    spark = df.sparkSession
     cols = [*maximise, *minimise]
+    signs = np.array([1.0] * len(maximise) + [-1.0] * len(minimise))
+
+    def beaten(v: np.ndarray, by: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(v), bool)
+        for k, x in enumerate(v):
+            out[k] = ((by >= x).all(1) & (by > x).any(1)).any()
+        return out
 
     def skyline(batches):
         kept = None
         for pdf in batches:
-            pdf = pdf if kept is None else pd.concat([kept, pdf], ignore_index=True)
             pdf = pdf.dropna(subset=cols)
+            pdf = pdf if kept is None else pd.concat([kept, pdf], ignore_index=True)
             if not len(pdf):
                 continue
-            v = pdf[cols].to_numpy(float) * np.array([1.0] * len(maximise) + [-1.0] * len(minimise))
-            order = np.lexsort(tuple(-v[:, k] for k in range(len(cols) - 1, -1, -1)))
+            v = pdf[cols].to_numpy(float) * signs
             front: list[int] = []
             block = np.empty((0, len(cols)))
-            for k in order:
-                x = v[k]
-                if not len(block) or not ((block >= x).all(1) & (block > x).any(1)).any():
+            # in descending order only rows already kept can dominate the next one
+            for k in np.lexsort(tuple(-v[:, c] for c in range(len(cols) - 1, -1, -1))):
+                if not beaten(v[k:k + 1], block)[0]:
                     front.append(k)
-                    block = np.vstack([block, x])
+                    block = np.vstack([block, v[k]])
             kept = pdf.iloc[sorted(front)].reset_index(drop=True)
         if kept is not None:
             yield kept
 
-    local = df.mapInPandas(skyline, df.schema)
-    return local.coalesce(1).mapInPandas(skyline, df.schema)
+    local = Scratch(spark).keep(df.mapInPandas(skyline, df.schema))
+    blocks = max(1, -(-local.count() // SKYLINE_BLOCK))
+    out = local
+    for b in range(blocks):
+        part = local.where(F.pmod(F.xxhash64(*cols), F.lit(blocks)) == b).select(*cols).distinct().toPandas()
+        state = spark.sparkContext.broadcast(part.to_numpy(float) * signs)
+
+        def survive(batches, state=state):
+            for pdf in batches:
+                yield pdf[~beaten(pdf[cols].to_numpy(float) * signs, state.value)] if len(pdf) else pdf
+
+        out = out.mapInPandas(survive, df.schema)
+    return out
