@@ -221,7 +221,7 @@ def join28_identity_first(spark, sf_dir):
 # ---- ranking, budgets, skylines
 
 
-@R.add("rank01_by_score", "SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS rank FROM customer")
+@R.add("rank01_by_score", "SELECT c_nationkey, c_custkey, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS INTEGER) AS rank FROM customer")
 def rank01_by_score(spark, sf_dir):
     w = Window.partitionBy("c_nationkey").orderBy(F.desc("c_acctbal"), "c_custkey")
     return load(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", F.row_number().over(w).alias("rank"))
@@ -295,7 +295,7 @@ def rank15_sparse_policy(spark, sf_dir):
     return e.select("user_id", dense.alias("dense"), F.when(dense, F.col("n") * 8).otherwise(F.col("k") * 12 + 16).alias("bytes"))
 
 
-@R.add("rank17_feasible_order", "SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_size <= 25 DESC, p_retailprice DESC, p_partkey) AS place FROM part")
+@R.add("rank17_feasible_order", "SELECT p_partkey, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_size <= 25 DESC, p_retailprice DESC, p_partkey) AS INTEGER) AS place FROM part")
 def rank17_feasible_order(spark, sf_dir):
     w = Window.partitionBy("p_brand").orderBy(F.desc(F.col("p_size") <= 25), F.desc("p_retailprice"), "p_partkey")
     return load(spark, sf_dir, "part").select("p_partkey", F.row_number().over(w).alias("place"))

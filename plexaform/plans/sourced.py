@@ -40,7 +40,7 @@ def src11_dispatch_log(spark, sf_dir):
     return logs.parse_dispatch(lines).groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.sum("rows").alias("rows"))
 
 
-@R.add("src12_dot_graph", "SELECT n_nationkey AS src, n_regionkey AS dst FROM nation")
+@R.add("src12_dot_graph", "SELECT CAST(n_nationkey AS BIGINT) AS src, CAST(n_regionkey AS BIGINT) AS dst FROM nation")
 def src12_dot_graph(spark, sf_dir):
     n = load(spark, sf_dir, "nation")
     nodes = n.select(F.col("n_nationkey").cast("bigint").alias("line_no"), F.concat(F.lit('  "p'), F.col("n_nationkey").cast("string"), F.lit('" [label="'), "n_name", F.lit('"];')).alias("value"))
