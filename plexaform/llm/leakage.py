@@ -107,14 +107,15 @@ def verify(doc: list[bytes], item: list[bytes], places: list[tuple[int, int]], l
     changed in it; one longer step, of at most ``apart`` document words, may part two pieces. The stretch counts if it
     spans ``least`` words of the item with at most ``slack`` of them changed and 7/8 of ``least`` left as they are."""
     runs = _runs(places)
-    if len(runs) > 400:
-        runs = sorted(sorted(runs, key=lambda r: -r[2])[:400])
+    longest = max(n for _, _, n in runs)
     best: list[tuple[float, int, int, int, int, int]] = []
     for k, (d, i, n) in enumerate(runs):
         # score, words in span, edits, pieces, previous, matched
         top = (n, n, 0, 1, -1, n)
         for j in range(k - 1, -1, -1):
             pd_, pi, pn = runs[j]
+            if d - pd_ > apart + longest:
+                break  # runs are in document order: none before this one is near enough
             step_d, step_i = d - (pd_ + pn), i - (pi + pn)
             if step_d > apart:
                 continue
