@@ -174,7 +174,18 @@ def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
 _KIND_OF = "CASE WHEN left(node, 1) = 'n' THEN 'node' ELSE 'branch' END AS record_kind"
 
 
-@R.add("p5_found")
+_FOREST_SQL = f"""links AS (SELECT DISTINCT 'node' AS record_kind, node_id AS v, {sql_present('parent_id')} AS p FROM lazy_trace_nodes WHERE node_id IS NOT NULL
+      UNION ALL SELECT DISTINCT 'branch', branch_id, {sql_present('parent_branch_id')} FROM search_examples WHERE branch_id IS NOT NULL),
+    tree AS (SELECT record_kind, v, v AS root, 0 AS depth FROM links l WHERE p IS NULL OR NOT EXISTS (SELECT 1 FROM links x WHERE x.record_kind = l.record_kind AND x.v = l.p)
+      UNION ALL SELECT l.record_kind, l.v, tree.root, tree.depth + 1 FROM tree JOIN links l ON l.record_kind = tree.record_kind AND l.p = tree.v),
+    rest AS (SELECT * FROM links l WHERE NOT EXISTS (SELECT 1 FROM tree WHERE tree.record_kind = l.record_kind AND tree.v = l.v)),
+    up AS (SELECT record_kind, v AS start, p AS cur FROM rest UNION SELECT up.record_kind, up.start, r.p FROM up JOIN rest r ON r.record_kind = up.record_kind AND r.v = up.cur),
+    loops AS (SELECT record_kind, start AS v FROM up WHERE start = cur),
+    found AS (SELECT record_kind, v AS node_key, root AS root_key, depth FROM tree UNION ALL
+      SELECT up.record_kind, up.start, min(up.cur), -1 FROM up JOIN loops ON loops.record_kind = up.record_kind AND loops.v = up.cur GROUP BY up.record_kind, up.start)"""
+
+
+@R.add("p5_found", f"WITH RECURSIVE {_FOREST_SQL} SELECT record_kind, node_key, root_key, depth FROM found")
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = hierarchy(_linked(spark, sf_dir), "v", "p")
     return rows.selectExpr(_KIND_OF, "substr(node, 2) AS node_key", "substr(root, 2) AS root_key", "depth")
@@ -187,7 +198,7 @@ def p5_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.selectExpr(_KIND_OF, "substr(node, 2) AS node_key", "substr(root, 2) AS root_key", "depth", "descendants", "`first`", "`last`", "array_join(transform(path, x -> substr(x, 2)), '/') AS path")
 
 
-@R.add("p5_loops")
+@R.add("p5_loops", f"WITH RECURSIVE {_FOREST_SQL} SELECT record_kind, node_key, root_key AS loop_key FROM found WHERE depth = -1")
 def p5_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records caught in loops or below them, with the loop's smallest key."""
     return p5_found(spark, sf_dir).where("depth = -1").select("record_kind", "node_key", F.col("root_key").alias("loop_key"))

@@ -103,7 +103,9 @@ def data13_integrity(spark, sf_dir):
     return a.unionByName(rel.repeated_keys(d, "doc_id").agg(F.lit("document repeated").alias("error"), F.count(F.lit(1)).alias("n")))
 
 
-@R.add("data14_lineage_examples")
+@R.add("data14_lineage_examples", """WITH RECURSIVE e AS (SELECT DISTINCT branch_id AS v, CASE WHEN lower(trim(parent_branch_id)) NOT IN ('', '-', 'null', 'none', 'unknown', 'n/a') THEN parent_branch_id END AS p, stage FROM search_examples),
+    t AS (SELECT v, stage, 0 AS depth, '' AS lineage FROM e WHERE p IS NULL OR p NOT IN (SELECT v FROM e) UNION ALL SELECT e.v, e.stage, t.depth + 1, CASE WHEN t.depth = 0 THEN t.stage ELSE t.lineage || '>' || t.stage END FROM t JOIN e ON e.p = t.v)
+    SELECT v AS branch_id, depth, lineage FROM t""")
 def data14_lineage_examples(spark, sf_dir):
     """Learning examples: each branch with the stages of its ancestors, from root to parent."""
     from ..functions.cleaning import present

@@ -193,7 +193,7 @@ def graph20_wl_both_ways(spark, sf_dir):
     return _wl(spark, sf_dir, 2, True)
 
 
-@R.add("graph21_layered_digest")
+@R.add("graph21_layered_digest", "SELECT sha256(sha256(string_agg(sha256(layer), ',' ORDER BY r))) AS digest, count(*) AS n FROM (SELECT n_regionkey AS r, sha256(string_agg(n_name, ',' ORDER BY n_name)) AS layer FROM nation GROUP BY 1)")
 def graph21_layered_digest(spark, sf_dir):
     """Digest per layer (region), then of the layers: the same however the rows are stored."""
     n = load(spark, sf_dir, "nation")
@@ -239,7 +239,9 @@ def graph26_complete_frontiers(spark, sf_dir):
     return e.groupBy("search_id", "parent_branch_id").agg(F.count_distinct("branch_id").alias("siblings")).where("siblings >= 2")
 
 
-@R.add("graph27_pruned_subtrees")
+@R.add("graph27_pruned_subtrees", """WITH RECURSIVE e AS (SELECT branch_id AS v, any_value(CASE WHEN lower(trim(parent_branch_id)) NOT IN ('', '-', 'null', 'none', 'unknown', 'n/a') THEN parent_branch_id END) AS p, any_value(branch_state) AS s, coalesce(any_value(node_expansions), 0) AS w FROM search_examples GROUP BY 1),
+    t AS (SELECT v, w, s = 'pruned' AS gone FROM e WHERE p IS NULL OR p NOT IN (SELECT v FROM e) UNION ALL SELECT e.v, e.w, coalesce(t.gone, false) OR coalesce(e.s = 'pruned', false) FROM t JOIN e ON e.p = t.v)
+    SELECT count(*) FILTER (WHERE gone) AS nodes_removed, sum(w) FILTER (WHERE gone) AS work_removed, sum(w) AS work FROM t""")
 def graph27_pruned_subtrees(spark, sf_dir):
     """Work removed when every branch that was pruned takes its descendants with it: nested-set ranges, no expansion.
 
