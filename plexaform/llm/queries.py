@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import hex_key, name_key, present, split_key, trimmed
-from ..plans.core_problems import sql_hex, sql_name
+from ..plans.core_problems import sql_hex, sql_name, sql_present
 from ..plans.registry import Registry
 from ..session import Scratch, load
 from . import leakage, overlap, packing, percentiles, splits, subjects
@@ -32,7 +32,19 @@ def _node_overlap(spark: SparkSession, sf_dir: str, tmp: Scratch) -> tuple[DataF
     return members, pairs
 
 
-@R.add("p2_found")
+_SIDE = "CASE WHEN lower(trim(split)) IN ('train', 'training') THEN 'train' WHEN lower(trim(split)) IN ('validation', 'valid', 'val', 'dev', 'test', 'testing', 'eval', 'evaluation') THEN 'held' END"
+_ENTRY = "try_cast(json_extract_string(j, '$.{0}') AS DOUBLE) AS {0}"
+_P2_SQL = f"""
+    WITH raw AS (SELECT DISTINCT node_id, {_SIDE} AS side, {sql_hex('semantic_state_hash', 32)} AS h, CASE WHEN json_valid(semantic_state) THEN lower(semantic_state) END AS j FROM lazy_trace_nodes),
+    s AS (SELECT node_id, side, h, j IS NOT NULL AS known, {', '.join(_ENTRY.format(n) for n in STATE_NAMES)} FROM raw WHERE side IS NOT NULL),
+    pairs AS (SELECT a.node_id AS a, b.node_id AS b FROM s a JOIN s b ON a.side = 'held' AND b.side = 'train' AND a.node_id <> b.node_id
+      AND (a.h = b.h OR (a.known AND b.known AND {' + '.join(f'(a.{n} IS DISTINCT FROM b.{n})::INTEGER' for n in STATE_NAMES)} <= {STATE_DIFFER}))),
+    r AS (SELECT DISTINCT {sql_hex('root_id', 16)} AS k, root_id, {_SIDE} AS side FROM search_examples)
+    SELECT DISTINCT 'node' AS record_kind, least(a, b) AS key_a, greatest(a, b) AS key_b FROM pairs
+    UNION SELECT 'root', least(x.root_id, y.root_id), greatest(x.root_id, y.root_id) FROM r x JOIN r y ON x.k = y.k AND x.side = 'held' AND y.side = 'train'"""
+
+
+@R.add("p2_found", _P2_SQL)
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     tmp = Scratch(spark)
     members, pairs = _node_overlap(spark, sf_dir, tmp)
@@ -120,7 +132,14 @@ def _split_keys() -> dict:
     return {"project": name_key(F.col("project")), "root": hex_key(F.col("root_id"), 16), "search": F.lower(trimmed(present(F.col("search_id"))))}
 
 
-@R.add("p6_found")
+_P6_SQL = f"""
+    WITH RECURSIVE rec AS (SELECT DISTINCT project AS written, 'p=' || {sql_name('project')} AS p, 'r=' || {sql_hex('root_id', 16)} AS r, 's=' || lower(trim({sql_present('search_id')})) AS s FROM search_examples),
+    e AS (SELECT p AS a, r AS b FROM rec UNION SELECT p, s FROM rec UNION SELECT r, s FROM rec), u AS (SELECT a, b FROM e WHERE a IS NOT NULL AND b IS NOT NULL UNION SELECT b, a FROM e WHERE a IS NOT NULL AND b IS NOT NULL),
+    c AS (SELECT DISTINCT p AS start, p AS cur FROM rec WHERE p IS NOT NULL UNION SELECT c.start, u.b FROM c JOIN u ON c.cur = u.a), n AS (SELECT DISTINCT written, p FROM rec WHERE p IS NOT NULL)
+    SELECT DISTINCT x.written AS project_a, y.written AS project_b FROM n x JOIN c ON c.start = x.p JOIN n y ON y.p = c.cur WHERE x.written < y.written"""
+
+
+@R.add("p6_found", _P6_SQL)
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     tmp = Scratch(spark)
     df = load(spark, sf_dir, "search_examples")
