@@ -131,7 +131,8 @@ def pack(counts: DataFrame, windows: list[tuple[str, int, int]], shard_items: in
 
     ``windows``: (name, capacity, separator tokens). A container is named by (window, shard, container). A text longer
     than the capacity is cut into full pieces, each alone in a container, and a rest; other texts are never cut. Every
-    delivered row is an item, also repeated ones; a text of 0 tokens takes a place like any other. A capacity below 1
+    delivered row is an item, also repeated ones; a text of 0 tokens takes a place like any other; a row without id can't be
+    told where it went and is left out. A capacity below 1
     is an error. An empty table gives no rows.
     """
     if any(c < 1 or s < 0 for _, c, s in windows):
