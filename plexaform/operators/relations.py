@@ -46,19 +46,38 @@ def hazards(accesses: DataFrame, op: str, order: str, resource: str, writes: str
 
 
 def latest_at_or_before(left: DataFrame, group: list[str], at: str, right: DataFrame, right_at: str, value: str, out: str, otherwise_first: bool = False) -> DataFrame:
-    """As-of join: for each left row the right value with the largest key at or below the row's.
+    """As-of join: for each left row the right value with the largest key at or below the row's; NULL values don't count.
 
-    Both sides are merged into one ordered stream per group and the last right value is carried forward, so no pairs are
-    formed. With ``otherwise_first`` rows before the first right key take the first right value instead of NULL."""
-    l = left.select("*", F.col(at).alias("__at"), F.lit(1).alias("__side"), F.lit(None).cast(right.schema[value].dataType).alias("__v"))
+    Both sides are merged into one stream in the order (group, key), right before left, and the last right value is
+    carried forward, so no pairs are formed. The stream is range-partitioned, so a large group spans several partitions:
+    each partition carries values inside itself, and one row per (partition, group) carries them from one to the next.
+    With ``otherwise_first`` rows before the first right key take the first right value instead of NULL."""
+    from ..session import Scratch
+
+    spark = left.sparkSession
+    kind = right.schema[value].dataType
+    l = left.select("*", F.col(at).alias("__at"), F.lit(1).alias("__side"), F.lit(None).cast(kind).alias("__v"))
     extra = [F.lit(None).cast(f.dataType).alias(f.name) for f in left.schema.fields if f.name not in group]
-    r = right.select(*[F.col(g) for g in group], *extra, F.col(right_at).alias("__at"), F.lit(0).alias("__side"), F.col(value).alias("__v"))
-    r = r.select(*l.columns)
-    w = Window.partitionBy(*group).orderBy("__at", "__side")
-    merged = l.unionByName(r).withColumn(out, F.last("__v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    r = right.where(F.col(value).isNotNull()).select(*[F.col(g) for g in group], *extra, F.col(right_at).alias("__at"), F.lit(0).alias("__side"), F.col(value).alias("__v"))
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    merged = Scratch(spark).keep(l.unionByName(r).repartitionByRange(n, *group, "__at", "__side").withColumn("__pid", F.spark_partition_id()))
+    inner = Window.partitionBy("__pid", *group).orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    spans = merged.groupBy("__pid", *group).agg(F.max(F.when(F.col("__side") == 0, F.struct("__at", "__v"))).alias("__e"))
+    before = Window.partitionBy(*group).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    carried = spans.select(F.col("__pid").alias("__p"), *[F.col(g).alias(f"__g{k}") for k, g in enumerate(group)], F.last("__e", ignorenulls=True).over(before)["__v"].alias("__c"))
+    on = F.col("__pid") == F.col("__p")
+    for k, g in enumerate(group):
+        on = on & F.col(g).eqNullSafe(F.col(f"__g{k}"))
+    rows = merged.withColumn("__l", F.last("__v", ignorenulls=True).over(inner)).where("__side = 1").join(carried, on, "left")
+    found = F.coalesce("__l", "__c")
     if otherwise_first:
-        merged = merged.withColumn(out, F.coalesce(out, F.first("__v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-    return merged.where("__side = 1").drop("__at", "__side", "__v")
+        first = right.where(F.col(value).isNotNull()).groupBy(*[F.col(g).alias(f"__f{k}") for k, g in enumerate(group)]).agg(F.min_by(value, right_at).alias("__first"))
+        same = F.lit(True)
+        for k, g in enumerate(group):
+            same = same & F.col(g).eqNullSafe(F.col(f"__f{k}"))
+        rows = rows.join(first, same, "left")
+        found = F.coalesce(found, "__first")
+    return rows.select(*[F.col(c) for c in left.columns if c != out], found.alias(out))
 
 
 def nearest_sets(queries: DataFrame, qid: str, qset: str, base: DataFrame, bset: str) -> DataFrame:

@@ -120,3 +120,19 @@ def test_risk_gates_agree():
 
 def test_minimise_failure():
     assert minimise_failure(list(range(20)), lambda s: 3 in s and 11 in s) == [3, 11]
+
+
+def test_as_of_across_partitions(spark):
+    from plexaform.operators.relations import latest_at_or_before
+
+    rnd = random.Random(12)
+    left = [(i, rnd.choice(["a", "b", None]), rnd.randrange(60)) for i in range(400)]
+    right = [(g, t, f"{g}{t}") for g in ("a", None) for t in rnd.sample(range(5, 60), 9)] + [("a", 3, None)]
+    l, r = spark.createDataFrame(left, "i int, g string, t int"), spark.createDataFrame(right, "g string, rt int, v string")
+    got = {x["i"]: x["v"] for x in latest_at_or_before(l, ["g"], "t", r, "rt", "v", "v").collect()}
+    first = {x["i"]: x["v"] for x in latest_at_or_before(l, ["g"], "t", r, "rt", "v", "v", otherwise_first=True).collect()}
+    for i, g, t in left:
+        mine = sorted((rt, v) for rg, rt, v in right if rg == g and v is not None)
+        below = [v for rt, v in mine if rt <= t]
+        assert got[i] == (below[-1] if below else None)
+        assert first[i] == (below[-1] if below else mine[0][1] if mine else None)
