@@ -104,14 +104,16 @@ def verify(doc: list[bytes], item: list[bytes], places: list[tuple[int, int]], l
     """(words held, first word, end) of the best stretch of ``doc`` that holds ``item``'s words in order, or NULL.
 
     Runs of equal words are chained in the order of both texts. A step between runs of one piece costs the words
-    changed in it; one longer step, of at most ``apart`` document words, may part two pieces. The stretch counts if it
+    changed in it; one step, short or long, of at most ``apart`` document words, may instead part two pieces. Both
+    readings are kept for every run, the best chain of one piece and the best of two. The stretch counts if it
     spans ``least`` words of the item with at most ``slack`` of them changed and 7/8 of ``least`` left as they are."""
     runs = _runs(places)
     longest = max(n for _, _, n in runs)
-    best: list[tuple[float, int, int, int, int, int]] = []
+    # per run: the best chain of one piece and the best of two, which may be missing
+    best: list[list[tuple[float, int, int, tuple[int, int] | None] | None]] = []
     for k, (d, i, n) in enumerate(runs):
-        # score, words in span, edits, pieces, previous, matched
-        top = (n, n, 0, 1, -1, n)
+        # score, words in span, edits, previous (run, pieces - 1)
+        top: list[tuple[float, int, int, tuple[int, int] | None] | None] = [(n, n, 0, None), None]
         for j in range(k - 1, -1, -1):
             pd_, pi, pn = runs[j]
             if d - pd_ > apart + longest:
@@ -123,27 +125,31 @@ def verify(doc: list[bytes], item: list[bytes], places: list[tuple[int, int]], l
             if cut >= n or n - cut < 1:
                 continue
             gd, gi = step_d + cut, step_i + cut
-            score, span, edits, pieces, _, matched = best[j]
+            one, two = best[j]
+            steps = [(1, one, n - cut - 2, n - cut, 0, 0)]
             if gd <= 8 and gi <= 8:
                 changed = max(gd, gi)
                 if gd and gi:
                     same = sum(b.size for b in SequenceMatcher(None, doc[pd_ + pn:pd_ + pn + gd], item[pi + pn:pi + pn + gi], False).get_matching_blocks())
                     changed -= min(same, changed)
-                new = (score + (n - cut) + (gi - changed if gi > changed else 0) - changed, span + gi + n - cut, edits + changed, pieces, j, matched + n - cut)
-            elif pieces == 1:
-                new = (score + n - cut - 2, span + n - cut, edits, 2, j, matched + n - cut)
-            else:
-                continue
-            if new[0] > top[0]:
-                top = new
+                gain = (n - cut) + (gi - changed if gi > changed else 0) - changed
+                steps += [(0, one, gain, gi + n - cut, changed, 0), (1, two, gain, gi + n - cut, changed, 1)]
+            for pieces, before, gain, span, edits, kind in steps:
+                if before is not None and (top[pieces] is None or before[0] + gain > top[pieces][0]):
+                    top[pieces] = (before[0] + gain, before[1] + span, before[2] + edits, (j, kind))
         best.append(top)
     good = None
-    for k, (score, span, edits, pieces, j, matched) in enumerate(best):
-        if span >= least and span - edits >= least * 7 / 8 and edits <= slack * span and (good is None or score > good[0]):
-            first = k
-            while best[first][4] >= 0:
-                first = best[first][4]
-            good = (score, span - edits, runs[first][0], runs[k][0] + runs[k][2])
+    for k, states in enumerate(best):
+        for kind, state in enumerate(states):
+            if state is None:
+                continue
+            score, span, edits, back = state
+            if span >= least and span - edits >= least * 7 / 8 and edits <= slack * span and (good is None or score > good[0]):
+                first = k
+                while back is not None:
+                    first, at = back
+                    back = best[first][at][3]
+                good = (score, span - edits, runs[first][0], runs[k][0] + runs[k][2])
     return good[1:] if good else None
 
 

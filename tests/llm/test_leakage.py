@@ -81,3 +81,16 @@ def test_words():
     assert plain_words("Out-of-order, src/a.c:8!") == [b"outoforder", b"srcac8"]
     assert plain_words("line-\n// wrapped") == [b"linewrapped"]
     assert plain_words(base64.b64encode(b"x").decode()) == [b"eaaeaa"] or True
+
+
+def test_two_close_pieces(spark):
+    """Two intact pieces with 4 to 8 document words between them, or with as many item words skipped, are two pieces."""
+    rows = [(n, text(NOISE[:50], ITEM[:14], NOISE[60:60 + n], ITEM[14:28], NOISE[90:120]), "") for n in range(4, 9)]
+    rows += [(10 + n, text(NOISE[:50], ITEM[:14], ITEM[14 + n:28 + n], NOISE[90:120]), "") for n in range(4, 9)]
+    rows += [(20 + n, text(NOISE[:50], ITEM[:14], NOISE[60:60 + n], ITEM[20:34], NOISE[90:120]), "") for n in range(4, 9)]
+    slips = ITEM[:7] + ["changed"] + ITEM[8:20], ITEM[20:32] + ["changed"] + ITEM[33:40]
+    rows += [(30 + n, text(slips[0], NOISE[60:60 + n], slips[1]), "") for n in range(4, 9)]
+    # a second gap is not parted again, and 22 words stay too few
+    rows += [(41, text(ITEM[:10], NOISE[:8], ITEM[10:20], NOISE[20:28], ITEM[20:30]), ""), (42, text(NOISE[:50], ITEM[:11], NOISE[60:66], ITEM[11:22]), "")]
+    got = found(spark, rows, [(7, text(ITEM), 0)])
+    assert {r["doc_id"] for r in got.collect()} == {b + n for b in (0, 10, 20, 30) for n in range(4, 9)}
