@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .prefix import bucketed_prefix_sum, group_buckets
 from .sequences import global_index
 
 
@@ -128,11 +127,14 @@ def equal_mass_weights(df: DataFrame, outer: str, inner: str) -> DataFrame:
     return df.join(k, F.col(outer).eqNullSafe(F.col("__a")) & F.col(inner).eqNullSafe(F.col("__b"))).drop("__a", "__b")
 
 
-def capped_negatives(df: DataFrame, signature: str, positive: Column, order: Column, tie: str, cap: int, largest: int) -> DataFrame:
-    """All positives, and of each signature the first ``cap`` negatives by (hash bucket, digest): a sampling operator."""
-    neg = df.where(~positive).withColumn("__h", F.concat(order, F.lit("|"), F.col(tie).cast("string"))).withColumn("__one", F.lit(1))
-    ranked = bucketed_prefix_sum(neg, [signature], "__h", "__one", "__rank", group_buckets(largest))
-    return df.where(positive).unionByName(ranked.where(F.col("__rank") < cap).drop("__h", "__one", "__rank"))
+def capped_negatives(df: DataFrame, signature: str, positive: Column, order: Column, tie: str, cap: int) -> DataFrame:
+    """All positives, and of each signature the first ``cap`` negatives by (order, tie): a sampling operator.
+
+    The planner turns the bound on the row number into a limit that every partition applies before the shuffle (for caps
+    below its windowGroupLimitThreshold), so a group of any size sends at most ``cap`` rows a partition."""
+    first = Window.partitionBy(signature).orderBy(order, F.col(tie))
+    kept = df.where(~positive).withColumn("__rank", F.row_number().over(first)).where(F.col("__rank") <= cap).drop("__rank")
+    return df.where(positive).unionByName(kept)
 
 
 def risk_threshold(df: DataFrame, score: str, positive: str, recall: float) -> DataFrame:

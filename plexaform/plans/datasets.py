@@ -138,8 +138,7 @@ def data17_equal_mass(spark, sf_dir):
 @R.add("data18_capped_negatives", "SELECT c_custkey FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey, c_acctbal > 8000 ORDER BY sha256(CAST(c_custkey AS VARCHAR)), c_custkey) AS r FROM customer) WHERE c_acctbal > 8000 OR r <= 4")
 def data18_capped_negatives(spark, sf_dir):
     c = load(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
-    most = c.groupBy("c_nationkey").count().agg(F.max("count")).first()[0] or 0
-    return ds.capped_negatives(c, "c_nationkey", F.col("c_acctbal") > 8000, F.sha2(F.col("c_custkey").cast("string"), 256), "c_custkey", 4, most).select("c_custkey")
+    return ds.capped_negatives(c, "c_nationkey", F.col("c_acctbal") > 8000, F.sha2(F.col("c_custkey").cast("string"), 256), "c_custkey", 4).select("c_custkey")
 
 
 @R.add("data19_risk_threshold", "WITH s AS (SELECT p_size AS score, count(*) FILTER (WHERE p_retailprice > 1300) AS p FROM part GROUP BY 1), u AS (SELECT score, sum(p) OVER (ORDER BY score DESC) AS upto, sum(p) OVER () AS total FROM s) SELECT max(score) AS threshold FROM u WHERE upto >= 0.9 * total")

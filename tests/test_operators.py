@@ -136,3 +136,18 @@ def test_as_of_across_partitions(spark):
         below = [v for rt, v in mine if rt <= t]
         assert got[i] == (below[-1] if below else None)
         assert first[i] == (below[-1] if below else mine[0][1] if mine else None)
+
+
+def test_capped_negatives_of_a_large_group(spark, tmp_path):
+    """One nation with 120,000 customers: the registered SQL and the operator keep the same ones."""
+    import __spark_entry__ as entry
+    import duckdb
+
+    rows = spark.range(150_000).selectExpr("id AS c_custkey", "CAST(IF(id % 5 = 0, id % 7, 7) AS INT) AS c_nationkey", "CAST(id * 7919 % 10000 AS DOUBLE) AS c_acctbal")
+    rows.write.parquet(f"{tmp_path}/customer.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    want = {r[0] for r in con.sql(entry.oracle_sql()["data18_capped_negatives"]).fetchall()}
+    df = entry.queries()["data18_capped_negatives"](spark, str(tmp_path))
+    assert {r[0] for r in df.collect()} == want
+    assert df._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") >= 2
