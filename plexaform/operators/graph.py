@@ -43,19 +43,22 @@ def recursive_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
     return marked.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.max(F.col("l").isNotNull()).alias("loop")).where("size > 1 or loop").select("component", "size")
 
 
-def effect_closure(own: DataFrame, node: str, effect: str, calls: DataFrame, caller: str, callee: str, limit: int = 100) -> DataFrame:
+def effect_closure(own: DataFrame, node: str, effect: str, calls: DataFrame, caller: str, callee: str) -> DataFrame:
     """node, effect: own effects and those of everything called, directly or not: a monotone union up to its fixpoint,
-    in which only newly found effects travel."""
+    in which only newly found effects travel. Rounds go on until none is found: nodes x effects is finite, and a NULL
+    effect counts as one effect."""
     tmp = Scratch(own.sparkSession)
     total = fresh = tmp.keep(own.select(F.col(node).alias("n"), F.col(effect).alias("e")).distinct())
     links = tmp.keep(calls.select(F.col(caller).alias("c"), F.col(callee).alias("d")).distinct())
-    for _ in range(limit):
+    while True:
         up = fresh.join(links, F.col("n") == F.col("d")).select(F.col("c").alias("n"), "e").distinct()
-        fresh = tmp.keep(up.join(total, ["n", "e"], "left_anti"))
-        if not fresh.limit(1).count():
-            break
-        total = tmp.keep(total.unionByName(fresh))
-    return total.select(F.col("n").alias(node), F.col("e").alias(effect))
+        known = total.select(F.col("n").alias("kn"), F.col("e").alias("ke"))
+        new = tmp.keep(up.join(known, F.col("n").eqNullSafe(F.col("kn")) & F.col("e").eqNullSafe(F.col("ke")), "left_anti"))
+        if not new.limit(1).count():
+            return total.select(F.col("n").alias(node), F.col("e").alias(effect))
+        grown = tmp.keep(total.unionByName(new))
+        tmp.drop(total, fresh)
+        total, fresh = grown, new
 
 
 def bounded_slice(edges: DataFrame, src: str, dst: str, seeds: DataFrame, seed: str, depth: int, budget: int) -> DataFrame:

@@ -138,6 +138,16 @@ def test_as_of_across_partitions(spark):
         assert first[i] == (below[-1] if below else mine[0][1] if mine else None)
 
 
+def test_effects_travel_any_distance(spark):
+    """A chain of 103 calls, and a NULL effect on a loop."""
+    from plexaform.operators.graph import effect_closure
+
+    calls = spark.range(103).selectExpr("id AS s", "id + 1 AS d").unionByName(spark.createDataFrame([(200, 201), (201, 200)], "s bigint, d bigint")).coalesce(1)
+    own = spark.createDataFrame([(103, "io"), (200, None)], "n bigint, e string").coalesce(1)
+    got = [(r["n"], r["e"]) for r in effect_closure(own, "n", "e", calls, "s", "d").collect()]
+    assert len(got) == 106 and set(got) == {(k, "io") for k in range(104)} | {(200, None), (201, None)}
+
+
 def test_capped_negatives_of_a_large_group(spark, tmp_path):
     """One nation with 120,000 customers: the registered SQL and the operator keep the same ones."""
     import __spark_entry__ as entry
