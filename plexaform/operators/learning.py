@@ -10,7 +10,8 @@ def preference_differences(df: DataFrame, group: str, key: str, features: list[s
     """label, d0..dn, weight: feature differences of preferred and other within a group.
 
     Each row is compared with the ``neighbours`` rows after it in the order of a hash, so a group of n rows gives at most
-    n x neighbours differences and not all pairs; both directions are given, so labels are balanced."""
+    n x neighbours differences and not all pairs; both directions are given, so labels are balanced. This is a bounded
+    sample for fitting; held-out pairs are counted by ``ordered_pairs``."""
     from pyspark.sql import Window
 
     w = Window.partitionBy(group).orderBy(F.xxhash64(key), key)
@@ -36,3 +37,29 @@ def train_preferences(differences: DataFrame, n: int) -> list[float]:
     data = VectorAssembler(inputCols=[f"d{i}" for i in range(n)], outputCol="x").transform(differences)
     model = LogisticRegression(featuresCol="x", labelCol="label", weightCol="weight", fitIntercept=False, regParam=0.001, maxIter=50).fit(data)
     return [float(v) for v in model.coefficients]
+
+
+def ordered_pairs(df: DataFrame, group: str, key: str, score: str, utility: str, tie: float = 1e-12) -> DataFrame:
+    """group, pairs, ordered: all pairs of rows of a group that differ in utility, and those of them in which the row ranked
+    first by (score descending, key) has the higher utility.
+
+    Pairs are counted and not formed: utilities become levels, and two levels are told apart at the highest bit in which
+    they differ. For each bit, rows that agree above it run in rank order past the counts of zeros and ones seen, so n rows
+    give n x log2(levels). Distinct utilities less than ``tie`` above the next lower one share its level. Rows with a
+    NULL score or utility are left out; a group without such pairs has 0 and 0."""
+    from pyspark.sql import Window
+
+    rows = df.select(F.col(group).alias("g"), F.col(key).alias("i"), F.col(score).alias("s"), F.col(utility).alias("u")).where("s is not null and u is not null")
+    whole = Window.partitionBy("g")
+    step = F.col("u") - F.lag("u").over(whole.orderBy("u"))
+    rows = rows.withColumn("new", F.coalesce((step >= tie).cast("bigint"), F.lit(0)))
+    rows = rows.select("g", F.row_number().over(whole.orderBy(F.desc("s"), "i")).alias("k"),
+                       F.sum("new").over(whole.orderBy("u").rangeBetween(Window.unboundedPreceding, Window.currentRow)).alias("level"))
+    rows = rows.withColumn("top", F.max("level").over(whole))
+    bits = rows.select("g", "k", "level", F.explode(F.sequence(F.lit(0), F.length(F.bin("top")) - 1)).alias("b"))
+    one = F.expr("shiftright(level, b) & 1")
+    bits = bits.select("g", "k", "b", F.expr("shiftright(shiftright(level, b), 1)").alias("above"), one.alias("one"))
+    before = Window.partitionBy("g", "b", "above").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    seen = bits.select("g", "one", F.coalesce(F.sum("one").over(before), F.lit(0)).alias("ones"), F.coalesce(F.sum(1 - F.col("one")).over(before), F.lit(0)).alias("zeros"))
+    right, wrong = F.when(F.col("one") == 0, F.col("ones")).otherwise(0), F.when(F.col("one") == 1, F.col("zeros")).otherwise(0)
+    return seen.groupBy("g").agg(F.sum(right + wrong).alias("pairs"), F.sum(right).alias("ordered")).withColumnRenamed("g", group)

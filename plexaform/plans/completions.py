@@ -149,10 +149,10 @@ def src17_sinks(spark, sf_dir):
 
 @R.add("data08_preference_model")
 def data08_preference_model(spark, sf_dir):
-    """Pairwise logistic scorer of parts within a brand, and its share of rightly ordered held-out neighbours."""
+    """Pairwise logistic scorer of parts within a brand, and its share of rightly ordered pairs among all held-out ones."""
     p = load(spark, sf_dir, "part").selectExpr("p_brand", "p_partkey", "p_size / 50.0D AS f0", "p_retailprice / 2000.0D AS f1", "p_size * 0.6D / 50 + p_retailprice * 0.4D / 2000 AS u")
     train = learning.preference_differences(p.where("p_partkey % 5 <> 0"), "p_brand", "p_partkey", ["f0", "f1"], "u")
     c = learning.train_preferences(train, 2)
-    test = learning.preference_differences(p.where("p_partkey % 5 = 0"), "p_brand", "p_partkey", ["f0", "f1"], "u")
-    right = (F.col("d0") * c[0] + F.col("d1") * c[1] > 0) == (F.col("label") == 1.0)
-    return test.agg(F.count(F.lit(1)).alias("pairs"), (F.count_if(right) / F.count(F.lit(1)) > 0.95).alias("ordered"))
+    test = p.where("p_partkey % 5 = 0").withColumn("score", F.col("f0") * c[0] + F.col("f1") * c[1])
+    counted = learning.ordered_pairs(test, "p_brand", "p_partkey", "score", "u")
+    return counted.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), (F.try_divide(F.sum("ordered"), F.sum("pairs")) > 0.95).alias("ordered"))

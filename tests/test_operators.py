@@ -138,6 +138,31 @@ def test_as_of_across_partitions(spark):
         assert first[i] == (below[-1] if below else mine[0][1] if mine else None)
 
 
+def test_held_out_pairs_are_all_counted(spark):
+    import __spark_entry__ as entry
+    from conftest import SF
+    from plexaform.operators.learning import ordered_pairs
+
+    rnd = random.Random(5)
+    rows = [(g, i, float(rnd.randrange(6)), rnd.randrange(n) / 7) for g, n in (("a", 40), ("b", 3), ("c", 1), (None, 9)) for i in range(60)]
+    rows += [("d", 0, 1.0, 0.5), ("d", 1, 2.0, 0.5 + 1e-15), ("d", 2, 3.0, None), ("d", 3, None, 0.1)]
+    want = {}
+    for g in {r[0] for r in rows}:
+        ranked = sorted((r for r in rows if r[0] == g and None not in r[2:]), key=lambda r: (-r[2], r[1]))
+        signs = [a[3] > b[3] for k, a in enumerate(ranked) for b in ranked[k + 1:] if abs(a[3] - b[3]) >= 1e-12]
+        want[g] = (len(signs), sum(signs))
+    df = spark.createDataFrame(rows, "g string, i int, s double, u double")
+    assert {r["g"]: (r["pairs"], r["ordered"]) for r in ordered_pairs(df, "g", "i", "s", "u").collect()} == want
+
+    held = spark.read.parquet(f"{SF}/part.parquet").where("p_partkey % 5 = 0").selectExpr("p_brand", "p_size * 0.6D / 50 + p_retailprice * 0.4D / 2000 AS u").collect()
+    by_brand = {}
+    for r in held:
+        by_brand.setdefault(r["p_brand"], []).append(r["u"])
+    pairs = sum(abs(a - b) >= 1e-12 for us in by_brand.values() for k, a in enumerate(us) for b in us[k + 1:])
+    got = entry.queries()["data08_preference_model"](spark, SF).first()
+    assert got["pairs"] == pairs and got["ordered"]
+
+
 def test_effects_travel_any_distance(spark):
     """A chain of 103 calls, and a NULL effect on a loop."""
     from plexaform.operators.graph import effect_closure
