@@ -22,14 +22,9 @@ STATE_NAMES = ["live", "loads", "stores", "width", "unroll", "carry", "lanes", "
 STATE_DIFFER = 2
 
 
-def _node_overlap(spark: SparkSession, sf_dir: str, tmp: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(distinct members of overlapping classes: cid, rid, side, project; pairs)"""
-    rows = overlap.sided_rows(load(spark, sf_dir, "lazy_trace_nodes"), F.col("node_id"), split_key(F.col("split")), hex_key(F.col("semantic_state_hash"), 32),
+def _node_rows(spark: SparkSession, sf_dir: str, tmp: Scratch) -> DataFrame:
+    return overlap.sided_rows(load(spark, sf_dir, "lazy_trace_nodes"), F.col("node_id"), split_key(F.col("split")), hex_key(F.col("semantic_state_hash"), 32),
                               overlap.state_entries(F.col("semantic_state"), STATE_NAMES), tmp, project=name_key(F.col("project")))
-    _, pairs = overlap.overlap_classes(rows, len(STATE_NAMES), STATE_DIFFER, tmp)
-    touched = tmp.keep(pairs.select(F.explode(F.array("held_cid", "train_cid")).alias("tc")).distinct())
-    members = tmp.keep(rows.join(touched, rows.cid == touched.tc, "left_semi").select("cid", "rid", "side", "project").distinct())
-    return members, pairs
 
 
 _SIDE = "CASE WHEN lower(trim(split)) IN ('train', 'training') THEN 'train' WHEN lower(trim(split)) IN ('validation', 'valid', 'val', 'dev', 'test', 'testing', 'eval', 'evaluation') THEN 'held' END"
@@ -44,32 +39,53 @@ _P2_SQL = f"""
     UNION SELECT 'root', least(x.root_id, y.root_id), greatest(x.root_id, y.root_id) FROM r x JOIN r y ON x.k = y.k AND x.side = 'held' AND y.side = 'train'"""
 
 
+_SPLIT = "CASE WHEN lower(trim(split)) IN ('train', 'training') THEN 'train' WHEN lower(trim(split)) IN ('validation', 'valid', 'val', 'dev') THEN 'validation' WHEN lower(trim(split)) IN ('test', 'testing', 'eval', 'evaluation') THEN 'test' END"
+_P2_REPORT_SQL = f"""
+    WITH raw AS (SELECT DISTINCT node_id, {_SPLIT} AS split, {sql_name('project')} AS project, {sql_hex('semantic_state_hash', 32)} AS h, CASE WHEN json_valid(semantic_state) THEN lower(semantic_state) END AS j FROM lazy_trace_nodes),
+    s AS (SELECT node_id, split, project, h, j IS NOT NULL AS known, {', '.join(_ENTRY.format(n) for n in STATE_NAMES)} FROM raw WHERE split IS NOT NULL AND node_id IS NOT NULL),
+    met AS (SELECT a.node_id, a.split, a.project, max(CASE WHEN a.h = b.h THEN 1 WHEN a.known AND b.known AND {' AND '.join(f'a.{n} IS NOT DISTINCT FROM b.{n}' for n in STATE_NAMES)} THEN 1 ELSE 0 END) AS exact
+      FROM s a JOIN s b ON a.split <> 'train' AND b.split = 'train'
+      AND (a.h = b.h OR (a.known AND b.known AND {' + '.join(f'(a.{n} IS DISTINCT FROM b.{n})::INTEGER' for n in STATE_NAMES)} <= {STATE_DIFFER})) GROUP BY ALL),
+    r AS (SELECT DISTINCT {sql_hex('root_id', 16)} AS k, {_SPLIT} AS split, {sql_name('project')} AS project, example_id, branch_id FROM search_examples)
+    SELECT 'node' AS record_kind, split, project, count(*) AS records, CAST(sum(exact) AS BIGINT) AS exact FROM met GROUP BY split, project
+    UNION ALL SELECT 'root', split, project, count(*), count(*) FROM r WHERE k IS NOT NULL AND split <> 'train' AND k IN (SELECT k FROM r WHERE k IS NOT NULL AND split = 'train') GROUP BY split, project"""
+
+
 @R.add("p2_found", _P2_SQL)
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     tmp = Scratch(spark)
-    members, pairs = _node_overlap(spark, sf_dir, tmp)
-    held = members.where("side <> 'train'").select(F.col("cid").alias("c1"), F.col("rid").alias("a"))
-    train = members.where("side = 'train'").select(F.col("cid").alias("c2"), F.col("rid").alias("b"))
-    nodes = pairs.join(held, pairs.held_cid == held.c1).join(train, pairs.train_cid == train.c2).where("a <> b").select(F.lit("node").alias("record_kind"), "a", "b")
+    rows = _node_rows(spark, sf_dir, tmp)
+    _, pairs = overlap.overlap_classes(rows, len(STATE_NAMES), STATE_DIFFER, tmp)
+    held = rows.where("side <> 'train'").select(F.col("cid").alias("c1"), F.col("rid").alias("a"))
+    train = rows.where("side = 'train'").select(F.col("cid").alias("c2"), F.col("rid").alias("b"))
+    near = pairs.join(held, pairs.held_cid == held.c1).join(train, pairs.train_cid == train.c2).select("a", "b")
+    same = overlap.same_key_across(rows, F.col("rid"), F.unhex("digest"), F.col("side")).select(F.col("held_value").alias("a"), F.col("train_value").alias("b"))
+    nodes = near.unionByName(same).where("a <> b").select(F.lit("node").alias("record_kind"), "a", "b")
     root = F.col("root_id")
     same = overlap.same_key_across(load(spark, sf_dir, "search_examples"), root, hex_key(root, 16), split_key(F.col("split")))
     roots = same.select(F.lit("root").alias("record_kind"), F.col("held_value").alias("a"), F.col("train_value").alias("b"))
     return nodes.unionByName(roots).select("record_kind", F.least("a", "b").alias("key_a"), F.greatest("a", "b").alias("key_b")).distinct()
 
 
-@R.add("p2_overlap_report")
+@R.add("p2_overlap_report", _P2_REPORT_SQL)
 def p2_overlap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Held-out records that recur in training, counted per kind, split and project; ``exact``: by hash or whole state."""
+    """Held-out records that recur in training, counted per kind, split and project; ``exact``: by hash or whole state.
+
+    Equal hashes and equal states are found by membership, so no pair of copies is formed."""
     tmp = Scratch(spark)
-    members, pairs = _node_overlap(spark, sf_dir, tmp)
-    best = pairs.groupBy("held_cid").agg(F.max((F.col("same_digest") | (F.col("agree") == len(STATE_NAMES))).cast("int")).alias("exact"))
-    held = members.where("side <> 'train'")
-    nodes = held.join(best, held.cid == best.held_cid).groupBy("rid", "side", "project").agg(F.max("exact").alias("exact"))
+    rows = _node_rows(spark, sf_dir, tmp)
+    _, pairs = overlap.overlap_classes(rows, len(STATE_NAMES), STATE_DIFFER, tmp)
+    best = pairs.groupBy(F.col("held_cid").alias("c")).agg(F.max((F.col("agree") == len(STATE_NAMES)).cast("int")).alias("whole"))
+    digests = rows.where("side = 'train' and digest is not null").select(F.col("digest").alias("d")).distinct().withColumn("equal", F.lit(1))
+    held = rows.where("side <> 'train'")
+    flagged = held.join(best, held.cid == best.c, "left").join(digests, held.digest == digests.d, "left").where("whole is not null or equal is not null")
+    exact = F.greatest(F.coalesce("whole", F.lit(0)), F.coalesce("equal", F.lit(0)))
+    nodes = flagged.groupBy("rid", "side", "project").agg(F.max(exact).alias("exact"))
     nodes = nodes.groupBy(F.lit("node").alias("record_kind"), "side", "project").agg(F.count(F.lit(1)).alias("records"), F.sum("exact").alias("exact"))
     ex = load(spark, sf_dir, "search_examples").select(hex_key(F.col("root_id"), 16).alias("root"), split_key(F.col("split")).alias("side"), name_key(F.col("project")).alias("project"), "example_id", "branch_id").where("root is not null and side is not null")
     train = ex.where("side = 'train'").select(F.col("root").alias("tr")).distinct()
     roots = ex.where("side <> 'train'").join(train, F.col("root") == F.col("tr"), "left_semi").distinct()
-    roots = roots.groupBy(F.lit("root").alias("record_kind"), "side", "project").agg(F.count(F.lit(1)).alias("records"), F.count(F.lit(1)).alias("exact"))
+    roots = roots.groupBy(F.lit("root").alias("record_kind"), "side", "project").agg(F.count(F.lit(1)).alias("records"), F.count(F.lit(1)).cast("bigint").alias("exact"))
     return nodes.unionByName(roots).withColumnRenamed("side", "split")
 
 

@@ -9,17 +9,18 @@ from plexaform.session import Scratch
 NAMES = [f"n{i}" for i in range(12)]
 
 
-def pairs(spark, rows, limit=None, monkeypatch=None):
-    """rows: id, side, digest, state -> {(held id, train id)} by classes expanded to members."""
+def pairs(spark, rows):
+    """rows: id, side, digest, state -> {(held id, train id)} by classes expanded to members, and by equal digests."""
     df = spark.createDataFrame(rows, "i string, s string, d string, t string").withColumn("cid", F.lit("clash")).withColumn("state", F.lit(1))
     tmp = Scratch(spark)
     sided = overlap.sided_rows(df, F.col("i"), F.col("s"), F.col("d"), overlap.state_entries(F.col("t"), NAMES), tmp)
     _, p = overlap.overlap_classes(sided, 12, 2, tmp)
     members = {}
-    for r in sided.collect():
+    for r in sided.where("cid is not null").collect():
         members.setdefault(bytes(r["cid"]), []).append((r["rid"], r["side"]))
-    out = set()
+    out = {(r["held_value"], r["train_value"]) for r in overlap.same_key_across(sided, F.col("rid"), F.col("digest"), F.col("side")).collect()}
     for r in p.collect():
+        assert abs(r["jaccard"] - r["agree"] / (24 - r["agree"])) < 1e-12 and r["agree"] >= 10
         for a, sa in members[bytes(r["held_cid"])]:
             for b, sb in members[bytes(r["train_cid"])]:
                 if sa != "train" and sb == "train":
@@ -81,6 +82,34 @@ def test_copies_are_one_class(spark):
     assert len(pairs(spark, rows)) == 600
 
 
+def test_one_bucket_holds_a_third(spark, monkeypatch):
+    """States that share ten of twelve entries fill the same buckets; they are cut by the entries and lose nothing."""
+    monkeypatch.setattr(overlap, "PAIRS_PER_BUCKET", 50)
+    rnd = random.Random(7)
+    rows = make(rnd, 30, 500)
+    for i in range(30):
+        v = dict.fromkeys(NAMES, 1) | {rnd.choice(NAMES): 100 + i, rnd.choice(NAMES): 200 + i}
+        rows.append((f"h{i}", rnd.choice(["train", "test"]), None, json.dumps(v)))
+    assert pairs(spark, rows) == brute(rows)
+
+
+def test_signatures_follow_jaccard(spark):
+    """The share of equal signature entries is the Jaccard similarity of the shingle sets."""
+    a = [f"v{i}" for i in range(12)]
+    b = a[:9] + ["x", "y", "z"]
+    df = spark.createDataFrame([(0, a), (1, b)], "sid bigint, s array<string>").select("sid", *overlap.shingles(F.col("s"), 12))
+    keys = {}
+    for r in overlap.minwise_keys(df, 12, 4000, rows=1).collect():
+        keys.setdefault(r["sid"], set()).add(r["key"])
+    assert abs(len(keys[0] & keys[1]) / 4000 - 9 / 15) < 0.04
+    assert overlap.bands_for(10 / 14) == 31
+
+
+def test_names_given_twice(spark):
+    df = spark.createDataFrame([('{"N0":1,"n0":2,"n1":null}',)], "t string")
+    assert df.select(overlap.state_entries(F.col("t"), NAMES).alias("s")).first()["s"] == ["1.0"] + [None] * 11
+
+
 def test_empty(spark):
     assert pairs(spark, []) == set()
     df = spark.createDataFrame([], "v string, k string, s string")
