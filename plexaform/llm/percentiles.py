@@ -2,8 +2,8 @@
 
 Values are mapped to 64-bit integers of the same order. The first pass counts the leading 20 bits (sign, exponent and
 8 bits of mantissa) per group and day; those counts are the mergeable state: days add up by adding counts, and a
-percentile read from them is off by at most 2^-9 of its value. Two more passes follow only the digits that hold a
-wanted rank, 22 bits each, down to the exact value. Counts are combined on the map side before they are shuffled.
+percentile read from them is off by at most 2^-9 of its value plus 2^-1030. Two more passes follow only the digits that
+hold a wanted rank, 22 bits each, down to the exact value. Counts are combined on the map side before they are shuffled.
 """
 
 from __future__ import annotations
@@ -11,23 +11,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.binding import bound
 from ..session import Scratch
 
 DIGITS = (44, 22, 0)
-#: bound of |estimate - percentile| / percentile for percentiles read from the daily states
+#: bound of the error of a percentile read from daily states: STATE_ERROR x percentile + STATE_FLOOR
 STATE_ERROR = 2.0 ** -9
+STATE_FLOOR = 2.0 ** -1030
+#: Digits to follow that are sent to every task; more of them are joined by a shuffle.
+SENT_DIGITS = 10_000
 _ALL = "0001-01-01"
+_MANTISSA = 1 << 52
 
 
-def order_bits(value: Column) -> Column:
-    """A bigint that orders as the double does (-0.0 below 0.0)."""
-    bits = F.expr("0L") if value is None else F.java_method(F.lit("java.lang.Double"), F.lit("doubleToRawLongBits"), value).cast("bigint")
-    return F.transform(F.array(bits), lambda b: F.when(b >= 0, b).otherwise(b.bitwiseXOR(F.lit(0x7FFFFFFFFFFFFFFF))))[0]
+def _power(e: Column) -> Column:
+    """2 to a whole number, exactly."""
+    return F.pow(F.lit(2.0), e.cast("double"))
+
+
+def with_order_bits(df: DataFrame, value: str, out: str) -> DataFrame:
+    """``df`` with ``out``, a bigint that orders as the double ``value`` does (-0.0 with 0.0), in plain arithmetic.
+
+    The exponent is the logarithm, put right by one where rounding misled it; the mantissa is the value over that power of
+    two, both exact. Values below 2^-1022 are multiples of 2^-1074."""
+    df = df.withColumn("__abs", F.abs(value))
+    df = df.withColumn("__e0", F.greatest(F.floor(F.log2("__abs")), F.lit(-1022)))
+    df = df.withColumn("__e", F.least(F.col("__e0") + F.when(F.col("__abs") < _power(F.col("__e0")), -1).when(F.col("__abs") >= _power(F.col("__e0") + 1), 1).otherwise(0), F.lit(1023)))
+    small = F.col("__abs") < 2.0 ** -1022
+    bits = F.when(small, (F.col("__abs") * 2.0 ** 537 * 2.0 ** 537).cast("bigint")).otherwise(
+        (F.col("__e") + 1023) * _MANTISSA + ((F.col("__abs") / _power(F.col("__e")) - 1) * float(_MANTISSA)).cast("bigint"))
+    df = df.withColumn("__bits", bits)
+    return df.withColumn(out, F.when(F.col(value) < 0, -1 - F.col("__bits")).otherwise(F.col("__bits"))).drop("__abs", "__e0", "__e", "__bits")
 
 
 def from_bits(key: Column) -> Column:
-    bits = F.when(key >= 0, key).otherwise(key.bitwiseXOR(F.lit(0x7FFFFFFFFFFFFFFF)))
-    return F.java_method(F.lit("java.lang.Double"), F.lit("longBitsToDouble"), bits).cast("double")
+    """The double of an order key."""
+    def value(k: Column) -> Column:
+        e, m = F.shiftright(k, 52), k.bitwiseAND(F.lit(_MANTISSA - 1)).cast("double")
+        # a power of two below 2^-1022 would lose digits, so the smallest numbers are scaled in two steps
+        return F.when(e == 0, m * 2.0 ** -537 * 2.0 ** -537).otherwise((m / float(_MANTISSA) + 1) * _power(e - 1023))
+    return bound(F.when(key >= 0, key).otherwise(-1 - key), lambda k: value(k)) * F.when(key >= 0, 1.0).otherwise(-1.0)
 
 
 def valid_number(value: Column) -> Column:
@@ -61,39 +84,64 @@ def _locate(counts: DataFrame, targets: DataFrame | None, permille: list[int], w
         on = run[within[0]].eqNullSafe(t[f"t_{within[0]}"])
         for c in within[1:]:
             on = on & run[c].eqNullSafe(t[f"t_{c}"])
-        hit = run.join(t, on)
+        hit = run.join(t.hint("merge"), on)
     hit = hit.where((F.col("before") < F.col("rank")) & (F.col("rank") <= F.col("upto")))
     return hit.select("grp", "day", "digit", "total", "q", (F.col("rank") - F.col("before")).alias("rank"))
 
 
+def records_once(df: DataFrame, group: Column, day: Column, value: Column, record: list[Column]) -> DataFrame:
+    """grp, day, bits of every valid value. Deliveries that agree in ``record``, group, day and value count once.
+
+    A row with a NULL in its ``record`` can't be told from others and counts for itself."""
+    unknown = F.lit(False)
+    for c in record:
+        unknown = unknown | c.isNull()
+    own = F.when(unknown, F.monotonically_increasing_id())
+    base = df.select(group.alias("grp"), day.cast("date").alias("day"), valid_number(value).alias("v"), own.alias("own"), *[c.alias(f"r{i}") for i, c in enumerate(record)])
+    once = base.where("v is not null").distinct()
+    return with_order_bits(once.select("grp", "day", "v"), "v", "bits").select("grp", "day", "bits")
+
+
+def _followed(rows: DataFrame, targets: DataFrame, above: int) -> DataFrame:
+    """The rows (grp, day, bits) that lie in a wanted digit of their group and day; both sides hold no NULL day.
+
+    Up to SENT_DIGITS wanted digits are sent to every task; more are joined by a shuffle on (grp, day, digit)."""
+    wanted = targets.select(F.col("grp").alias("wg"), F.col("day").alias("wd"), F.col("digit").alias("w")).distinct()
+    few = wanted.count() <= SENT_DIGITS
+    on = rows.grp.eqNullSafe(wanted.wg) & (rows.day == wanted.wd) & (F.shiftright(rows.bits, above) == wanted.w)
+    return rows.join(F.broadcast(wanted) if few else wanted.hint("merge"), on, "left_semi")
+
+
 def radix_percentiles(df: DataFrame, group: Column, day: Column, value: Column, record: list[Column], permille: list[int]) -> DataFrame:
     """Columns grp, day (NULL: all days), n, q (per mille), value: exact percentiles by nearest rank.
 
-    A record delivered again (same ``record`` columns) counts once; invalid values (NULL, NaN, infinite, negative) are
-    left out; a group or day without valid values gives no rows; values without a day count in the whole only; NULL is a
-    group of its own. Ties share their rank range. An empty table gives no rows.
+    A record delivered again (same ``record`` columns, group, day and value) counts once, a row without a whole record id
+    for itself; invalid values (NULL, NaN, infinite, negative) are left out; a group or day without valid values gives no
+    rows; values without a day count in the whole only; NULL is a group of its own. Ties share their rank range. An empty
+    table gives no rows.
     """
     tmp = Scratch(df.sparkSession)
-    base = df.select(group.alias("grp"), day.cast("date").alias("day"), valid_number(value).alias("v"), *[c.alias(f"r{i}") for i, c in enumerate(record)])
-    once = base.where("v is not null").groupBy(*[f"r{i}" for i in range(len(record))]).agg(F.first("grp").alias("grp"), F.first("day").alias("day"), F.first("v").alias("v"))
-    values = tmp.keep(once.select("grp", "day", order_bits(F.col("v")).alias("bits")))
+    values = tmp.keep(records_once(df, group, day, value, record))
     states = tmp.keep(daily_states(values))
-    both = merged_states(states).unionByName(states.where("day is not null"))
-    targets = tmp.keep(_locate(both, None, permille, ["grp", "day"]))
-    # every value once for its day and once for the whole
-    twice = values.select("grp", "bits", F.explode(F.array(F.col("day"), F.lit(_ALL).cast("date"))).alias("day")).where("day is not null")
-    for above, shift in zip(DIGITS, DIGITS[1:]):
-        wanted = targets.select(F.col("grp").alias("wg"), F.col("day").alias("wd"), F.col("digit").alias("w")).distinct()
-        here = twice.withColumn("above", F.shiftright("bits", above))
-        here = here.join(wanted, here.grp.eqNullSafe(wanted.wg) & (here.day == wanted.wd) & (here.above == wanted.w), "left_semi")
-        counts = here.groupBy("grp", "day", "above", F.shiftright("bits", shift).alias("digit")).agg(F.count(F.lit(1)).alias("n"))
-        targets = tmp.keep(_locate(counts, targets.withColumn("above", F.col("digit")).drop("digit"), permille, ["grp", "day", "above"]))
-    return targets.select("grp", F.when(F.col("day") != F.lit(_ALL).cast("date"), F.col("day")).alias("day"), F.col("total").alias("n"), "q", from_bits(F.col("digit")).alias("value"))
+    whole = F.lit(_ALL).cast("date")
+    parts = []
+    # the whole has one set of digits a group, the days many; so they are followed apart
+    for counts, rows in ((merged_states(states), values.select("grp", whole.alias("day"), "bits")), (states.where("day is not null"), values.where("day is not null"))):
+        targets = tmp.keep(_locate(counts, None, permille, ["grp", "day"]))
+        for above, shift in zip(DIGITS, DIGITS[1:]):
+            rows = tmp.keep(_followed(rows, targets, above))
+            at = rows.groupBy("grp", "day", F.shiftright("bits", above).alias("above"), F.shiftright("bits", shift).alias("digit")).agg(F.count(F.lit(1)).alias("n"))
+            targets = tmp.keep(_locate(at, targets.withColumn("above", F.col("digit")).drop("digit"), permille, ["grp", "day", "above"]))
+        parts.append(targets)
+    targets = parts[0].unionByName(parts[1])
+    return targets.select("grp", F.when(F.col("day") != whole, F.col("day")).alias("day"), F.col("total").alias("n"), "q", from_bits(F.col("digit")).alias("value"))
 
 
 def state_percentiles(states: DataFrame, permille: list[int]) -> DataFrame:
-    """Columns grp, day, n, q, value read from states alone: within ``STATE_ERROR`` of the exact value, relatively."""
+    """Columns grp, day, n, q, value read from states alone: within ``STATE_ERROR`` of the exact value, relatively, or
+    within ``STATE_FLOOR`` of it. The lowest digit holds zero and is read as zero."""
     at = _locate(states, None, permille, ["grp", "day"])
     low = from_bits(F.shiftleft("digit", DIGITS[0]))
     high = from_bits(F.shiftleft(F.col("digit") + 1, DIGITS[0]))
-    return at.select("grp", "day", F.col("total").alias("n"), "q", ((low + high) / 2).alias("value"))
+    middle = F.when(F.col("digit").isin(0, -1), F.lit(0.0)).otherwise(low / 2 + high / 2)
+    return at.select("grp", "day", F.col("total").alias("n"), "q", middle.alias("value"))

@@ -95,12 +95,18 @@ PERMILLE = [500, 900, 990, 999]
 _SOURCES = (("profile_samples", "op", "captured_at", "microseconds", ("sample_id",)), ("search_examples", "project", "emitted_at", "proof_calls", ("example_id", "branch_id")))
 
 
-def _percentile_sql() -> str:
+def _once_sql() -> str:
+    """Valid values, a record delivered again once and a row without a whole id for itself."""
     parts = []
     for table, grp, ts, value, ids in _SOURCES:
-        parts.append(f"""SELECT '{table}' AS source, {', '.join(ids)}, any_value({sql_name(grp)}) AS grp, any_value(CAST({ts} AS DATE)) AS day, any_value(CAST({value} AS DOUBLE)) AS v
-            FROM {table} WHERE {value} IS NOT NULL AND NOT isnan(CAST({value} AS DOUBLE)) AND {value} >= 0 AND CAST({value} AS DOUBLE) < 'inf'::DOUBLE GROUP BY {', '.join(ids)}""")
-    once = " UNION ALL ".join(f"SELECT source, grp, day, v FROM ({p})" for p in parts)
+        own = f"CASE WHEN {' OR '.join(f'{i} IS NULL' for i in ids)} THEN row_number() OVER () END"
+        parts.append(f"""SELECT source, grp, day, v FROM (SELECT DISTINCT '{table}' AS source, {', '.join(ids)}, {own} AS own, {sql_name(grp)} AS grp, CAST({ts} AS DATE) AS day, CAST({value} AS DOUBLE) AS v
+            FROM {table} WHERE {value} IS NOT NULL AND NOT isnan(CAST({value} AS DOUBLE)) AND {value} >= 0 AND CAST({value} AS DOUBLE) < 'inf'::DOUBLE)""")
+    return " UNION ALL ".join(parts)
+
+
+def _percentile_sql() -> str:
+    once = _once_sql()
     return f"""
     WITH once AS ({once}),
     twice AS (SELECT source, grp, day, v FROM once WHERE day IS NOT NULL UNION ALL SELECT source, grp, NULL, v FROM once),
@@ -125,15 +131,15 @@ def p3_daily_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mergeable states: per source, group and day the count of values by leading digit."""
     parts = []
     for table, grp, ts, value, ids in _SOURCES:
-        df = load(spark, sf_dir, table).select(name_key(F.col(grp)).alias("grp"), F.col(ts).cast("date").alias("day"), percentiles.valid_number(F.col(value)).alias("v"), *ids)
-        once = df.where("v is not null").groupBy(*ids).agg(F.first("grp").alias("grp"), F.first("day").alias("day"), F.first("v").alias("v"))
-        parts.append(percentiles.daily_states(once.select("grp", "day", percentiles.order_bits(F.col("v")).alias("bits"))).withColumn("source", F.lit(table)))
+        rows = percentiles.records_once(load(spark, sf_dir, table), name_key(F.col(grp)), F.col(ts), F.col(value), [F.col(c) for c in ids])
+        parts.append(percentiles.daily_states(rows).withColumn("source", F.lit(table)))
     return parts[0].unionByName(parts[1])
 
 
 @R.add("p3_from_states")
 def p3_from_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentiles over all days read from the merged daily states alone, with the bound of their relative error."""
+    """Percentiles over all days read from the merged daily states alone, with the bound of their relative error (an
+    error of at most 2^-1030 comes on top of it)."""
     states = p3_daily_states(spark, sf_dir).withColumn("grp", F.struct("source", "grp"))
     rows = percentiles.state_percentiles(percentiles.merged_states(states), PERMILLE)
     return rows.select("grp.source", "grp.grp", "n", "q", "value", F.lit(percentiles.STATE_ERROR).alias("max_error"))

@@ -1,6 +1,7 @@
 import datetime as dt
 import math
 import random
+import struct
 
 from pyspark.sql import functions as F
 
@@ -36,18 +37,38 @@ def test_exact_and_mergeable(spark):
     assert {(g, d) for g, d, _ in got} == set(valid)
     for (g, d, q), (n, value) in got.items():
         assert (n, value) == (len(valid[g, d]), exact(valid[g, d], q))
-    values = df.dropDuplicates(["i"]).select(F.col("g").alias("grp"), F.col("d").alias("day"), pc.valid_number(F.col("v")).alias("v")).where("v is not null").select("grp", "day", pc.order_bits(F.col("v")).alias("bits"))
+    values = pc.records_once(df, F.col("g"), F.col("d"), F.col("v"), [F.col("i")])
     for r in pc.state_percentiles(pc.merged_states(pc.daily_states(values)), [500, 900, 999]).collect():
         true = exact(valid[r["grp"], None], r["q"])
-        assert abs(r["value"] - true) <= pc.STATE_ERROR * true + 1e-300
+        assert abs(r["value"] - true) <= pc.STATE_ERROR * true + pc.STATE_FLOOR
 
 
 def test_bits_keep_order(spark):
-    vs = [-1e300, -2.5, -0.0, 0.0, 5e-324, 1.0, 1.0000000000000002, 1e300]
-    got = spark.createDataFrame([(i, v) for i, v in enumerate(vs)], "i int, v double").select("i", "v", pc.order_bits(F.col("v")).alias("b")).withColumn("back", pc.from_bits(F.col("b"))).orderBy("i").collect()
-    bits = [r["b"] for r in got]
-    assert bits == sorted(bits) and len(set(bits)) == len(bits)
-    assert [r["back"] for r in got] == vs
+    rnd = random.Random(4)
+    vs = [-1e300, -2.5, -5e-324, 0.0, 5e-324, 2.0 ** -1022, 1.0, 1.0000000000000002, 1e300, 1.7976931348623157e308]
+    vs += [math.ldexp(1.0, e) for e in range(-1074, 1024)] + [math.nextafter(math.ldexp(1.0, e), 0.0) for e in range(-1070, 1024)] + [rnd.lognormvariate(0, 100) for _ in range(500)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vs)], "i int, v double")
+    got = pc.with_order_bits(df, "v", "b").withColumn("back", pc.from_bits(F.col("b"))).collect()
+    for r in got:
+        raw = struct.unpack(">q", struct.pack(">d", abs(r["v"])))[0]
+        assert r["b"] == (-1 - raw if r["v"] < 0 else raw)
+        assert r["back"] == r["v"]
+    assert pc.with_order_bits(spark.createDataFrame([(-0.0,), (None,)], "v double"), "v", "b").select("b").collect()[0]["b"] == 0
+
+
+def test_zeros_and_unknown_records(spark):
+    """States give zeros as zero; rows without an id all count."""
+    rows = [(None, "a", None, 0.0)] * 3 + [(1, "a", None, 0.0)] * 2 + [(2, "b", None, 7.0), (None, "b", None, 7.0)]
+    df = spark.createDataFrame(rows, "i int, g string, d date, v double")
+    got = {(r["grp"], r["q"]): (r["n"], r["value"]) for r in pc.radix_percentiles(df, F.col("g"), F.col("d"), F.col("v"), [F.col("i")], [500, 999]).collect()}
+    assert got == {("a", 500): (4, 0.0), ("a", 999): (4, 0.0), ("b", 500): (2, 7.0), ("b", 999): (2, 7.0)}
+    states = pc.merged_states(pc.daily_states(pc.records_once(df, F.col("g"), F.col("d"), F.col("v"), [F.col("i")])))
+    assert {r["grp"]: r["value"] for r in pc.state_percentiles(states, [500]).collect() if r["grp"] == "a"} == {"a": 0.0}
+
+
+def test_many_digits_are_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(pc, "SENT_DIGITS", 0)
+    test_exact_and_mergeable(spark)
 
 
 def test_empty_and_invalid(spark):
