@@ -1,7 +1,10 @@
 """Parent links turned into whole hierarchies: root, depth, subtree size, nested-set range and path.
 
-Subtree sizes are summed upward, preorder ranges are handed downward by prefix sums over siblings, and a node's
-descendants are the rows of its root whose position lies in its range. Both sweeps run over power-of-two strides
+Subtree sizes are summed upward, and preorder ranges are handed downward by prefix sums over siblings, the roots being the
+siblings below one virtual root. Ranges answer the rest: a node's descendants are the rows whose position lies in its range,
+its ancestors the rows whose range holds its position. So its depth is the number of ranges open at its position, and its
+root the last root at or before it; both come from one scan of the rows in order of position, cut into blocks of positions
+with a carry from block to block. Both sweeps run over power-of-two strides
 instead of single levels, so a tree of depth d takes about log2(d) rounds each way:
 
 * upward, ``size`` counts the descendants fewer than 2^k steps below; the next round adds the sizes of the nodes
@@ -15,43 +18,39 @@ part in the rounds; leaves are joined to their parents once. Every round is writ
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import Scratch
 from .prefix import bucketed_prefix_sum, group_buckets
 
 
-def _climb(spark: SparkSession, tmp: Scratch, inner: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """inner: v, anc (NULL at a root), leaves. -> (settled: v, root, depth, size), (looping: v, anc)."""
-    state = tmp.keep(inner.select(
-        "v", "anc", F.when(F.col("anc").isNull(), 0).otherwise(1).alias("steps"),
-        F.when(F.col("anc").isNull(), F.col("v")).alias("root"), (F.col("leaves") + 1).alias("size")))
+#: Positions in one block of the scan.
+BLOCK_BITS = 16
+
+
+def _climb(tmp: Scratch, inner: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """inner: v, anc (NULL at a root), leaves. -> (settled: v, size), (looping: v)."""
+    state = tmp.keep(inner.select("v", "anc", (F.col("leaves") + 1).alias("size")))
     active = state.where("anc is not null").count()
     while active:
         moving = state.where("anc is not null")
         added = moving.groupBy(F.col("anc").alias("a")).agg(F.sum("size").alias("more"))
-        # the ancestor reached from v, and what it already knows
-        up = state.select(F.col("v").alias("u"), F.col("anc").alias("anc2"), F.col("steps").alias("steps2"), F.col("root").alias("root2"))
-        jumped = moving.join(up, moving.anc == up.u, "inner").select(
-            "v", F.col("anc2").alias("anc"), (F.col("steps") + F.col("steps2")).cast("int").alias("steps"),
-            F.col("root2").alias("root"), "size")
-        rest = state.where("anc is null").select("v", "anc", "steps", "root", "size")
-        nxt = rest.unionByName(jumped)
-        nxt = nxt.join(added, nxt.v == added.a, "left").select(
-            "v", "anc", "steps", "root", (F.col("size") + F.coalesce(F.col("more"), F.lit(0))).alias("size"))
+        up = state.select(F.col("v").alias("u"), F.col("anc").alias("anc2"))
+        jumped = moving.join(up, moving.anc == up.u, "inner").select("v", F.col("anc2").alias("anc"), "size")
+        nxt = state.where("anc is null").unionByName(jumped)
+        nxt = nxt.join(added, nxt.v == added.a, "left").select("v", "anc", (F.col("size") + F.coalesce(F.col("more"), F.lit(0))).alias("size"))
         new = tmp.keep(nxt)
         left = new.where("anc is not null").count()
         tmp.drop(state)
-        tmp.release()
         state = new
         if left == active:
             break
         active = left
-    return state.where("anc is null").select("v", "root", F.col("steps").alias("depth"), "size"), state.where("anc is not null").select("v")
+    return state.where("anc is null").select("v", "size"), state.where("anc is not null").select("v")
 
 
-def _loops(spark: SparkSession, tmp: Scratch, links: DataFrame) -> DataFrame:
+def _loops(tmp: Scratch, links: DataFrame) -> DataFrame:
     """links: v, anc of nodes on or below loops. -> v, smallest key of the loop it is on or below."""
     state = tmp.keep(links.select("v", F.col("anc").alias("at"), F.least("v", "anc").alias("low")))
     image = state.select("at").distinct().count()
@@ -70,12 +69,36 @@ def _loops(spark: SparkSession, tmp: Scratch, links: DataFrame) -> DataFrame:
     return state.join(low, state["at"] == low.u).select("v", "root")
 
 
+def _scan(placed: DataFrame) -> DataFrame:
+    """placed: v, p, size, first (dense positions), .. -> also depth and root, read from the ranges alone.
+
+    Positions are dense, so at position x as many ranges have begun as there are positions up to x; depth is x less the
+    ranges that have ended. A range of one position ends at the next, any other after its last, as a row of its own."""
+    block = lambda c: F.shiftright(c, BLOCK_BITS)
+    others = [c for c in placed.columns if c not in ("first", "size")]
+    begins = placed.select(*others, "first", "size", F.lit(1).alias("kind"), (F.col("size") == 1).cast("int").alias("ends"))
+    after = (F.col("first") + F.col("size")).alias("first")
+    closing = placed.where("size > 1").select(*[F.lit(None).cast(placed.schema[c].dataType).alias(c) for c in others], after, F.lit(None).cast("bigint").alias("size"), F.lit(0).alias("kind"), F.lit(1).alias("ends"))
+    rows = begins.unionByName(closing).withColumn("block", block(F.col("first")))
+    top = F.when((F.col("kind") == 1) & F.col("p").isNull(), F.col("v"))
+    sums = placed.select(block(F.col("first")).alias("b"), (F.col("size") == 1).cast("int").alias("ends"), F.when(F.col("p").isNull(), F.struct("first", "v")).alias("t"))
+    sums = sums.unionByName(placed.where("size > 1").select(block(F.col("first") + F.col("size")).alias("b"), F.lit(1).alias("ends"), F.lit(None).cast(sums.schema["t"].dataType).alias("t")))
+    sums = sums.groupBy("b").agg(F.sum("ends").alias("ends"), F.max("t").alias("t"))
+    upto = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = sums.select(F.col("b"), F.coalesce(F.sum("ends").over(upto), F.lit(0)).alias("ended"), F.max("t").over(upto)["v"].alias("top"))
+    order = Window.partitionBy("block").orderBy("first", "kind")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("gone", F.coalesce(F.sum("ends").over(before), F.lit(0))).withColumn("near", F.last(top, True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    rows = rows.where("kind = 1").join(carry, F.col("block") == F.col("b"))
+    return rows.select(*others, "size", "first", (F.col("first") - F.col("gone") - F.col("ended")).cast("int").alias("depth"), F.coalesce("near", "top").alias("root"))
+
+
 def hierarchy(df: DataFrame, node: str, parent: str, paths: bool = False, scratch: Scratch | None = None) -> DataFrame:
     """One row per distinct ``node``: node, parent (NULL at a root), root, depth, descendants, first, last[, path].
 
-    ``first``..``last`` is the nested-set range of the node's subtree within its root: y lies below x exactly if both
-    have the same root and x.first < y.first <= x.last. Siblings are ordered by key (by key within hash buckets where a
-    node has more than 100,000 children). ``path`` holds the keys from the root to the node.
+    ``first``..``last`` is the nested-set range of the node's subtree in the whole forest: y lies below x exactly if
+    x.first < y.first <= x.last. Siblings, and roots, are ordered by key (by key within hash buckets where there are more
+    than 100,000 of them). ``path`` holds the keys from the root to the node.
 
     A parent that is NULL or not a node of the table makes a root. A node on a loop or below one has depth -1, the
     smallest key on that loop as root, and NULL in the other columns. Rows with a NULL node are left out; a node
@@ -85,35 +108,29 @@ def hierarchy(df: DataFrame, node: str, parent: str, paths: bool = False, scratc
     tmp = scratch or Scratch(spark)
     rows = df.where(F.col(node).isNotNull()).groupBy(F.col(node).cast("string").alias("v")).agg(F.min(F.col(parent).cast("string")).alias("p"))
     nodes = tmp.keep(rows)
-    fans = tmp.keep(nodes.where("p is not null").groupBy(F.col("p").alias("f")).agg(F.count(F.lit(1)).alias("children")))
+    fans = nodes.where("p is not null").groupBy(F.col("p").alias("f")).agg(F.count(F.lit(1)).alias("children"))
     # every node with the number of its children; a named parent counts only if it is a node itself
-    known = nodes.join(fans, nodes.v == fans.f, "left").select("v", "p", F.coalesce("children", F.lit(0)).alias("children"))
-    known = tmp.keep(known)
-    tmp.drop(nodes, fans)
-    inner = known.where("children > 0")
-    there = inner.select(F.col("v").alias("pv"))
+    known = tmp.keep(nodes.join(fans, nodes.v == fans.f, "left").select("v", "p", F.coalesce("children", F.lit(0)).alias("children")))
+    tmp.drop(nodes)
+    there = known.where("children > 0").select(F.col("v").alias("pv"))
     linked = tmp.keep(known.join(there, known.p == there.pv, "left").select("v", F.col("pv").alias("p"), "children"))
     tmp.drop(known)
     inner = linked.where("children > 0")
     leaf_counts = linked.where("children = 0 and p is not null").groupBy(F.col("p").alias("lp")).agg(F.count(F.lit(1)).alias("leaves"))
     start = inner.join(leaf_counts, inner.v == leaf_counts.lp, "left").select("v", F.col("p").alias("anc"), F.coalesce("leaves", F.lit(0)).alias("leaves"))
-    settled, looping = _climb(spark, tmp, start)
-    settled = tmp.keep(settled)
+    settled, looping = _climb(tmp, start)
     loop_links = inner.join(looping.withColumnRenamed("v", "lv"), inner.v == F.col("lv"), "left_semi").select("v", F.col("p").alias("anc"))
-    looped = tmp.keep(_loops(spark, tmp, loop_links))
-
-    # downward: w = 1 + sizes of earlier siblings (0 at a root)
-    size_of = settled.select(F.col("v").alias("sv"), "root", "depth", "size")
-    sized = linked.join(size_of, linked.v == size_of.sv, "left").select(
-        "v", "p", "children", "root", "depth", F.when(F.col("children") == 0, 1).otherwise(F.col("size")).cast("bigint").alias("size"))
-    most = linked.agg(F.max("children")).first()[0] or 0
-    kids = bucketed_prefix_sum(sized.where("p is not null"), ["p"], "v", "size", "before", group_buckets(most))
-    tops = sized.where("p is null").withColumn("before", F.lit(-1).cast("bigint"))
-    placed = tmp.keep(kids.unionByName(tops).withColumn("w", F.col("before") + 1).drop("before"))
+    looped = tmp.keep(_loops(tmp, loop_links))
+
+    # downward: a child begins 1 + the sizes of its earlier siblings after its parent, a root after the earlier roots
+    size_of = settled.select(F.col("v").alias("sv"), "size")
+    sized = linked.join(size_of, linked.v == size_of.sv, "left").select("v", "p", "children", F.when(F.col("children") == 0, 1).otherwise(F.col("size")).cast("bigint").alias("size"))
+    most = linked.agg(F.greatest(F.coalesce(F.max("children"), F.lit(0)), F.count_if(F.col("p").isNull()))).first()[0] or 0
+    placed = bucketed_prefix_sum(sized, ["p"], "v", "size", "before", group_buckets(most))
+    placed = tmp.keep(placed.select("v", "p", "children", "size", F.when(F.col("p").isNull(), F.col("before")).otherwise(F.col("before") + 1).alias("w")))
     tmp.drop(linked)
-    tmp.release()
 
-    walk = placed.where("children > 0 and root is not null").select("v", F.col("p").alias("anc"), F.col("w").alias("first"), *([F.array("v").alias("path")] if paths else []))
+    walk = placed.where("children > 0 and size is not null").select("v", F.col("p").alias("anc"), F.col("w").alias("first"), *([F.array("v").alias("path")] if paths else []))
     state = tmp.keep(walk)
     while state.where("anc is not null").limit(1).count():
         up = state.select(F.col("v").alias("u"), F.col("anc").alias("anc2"), F.col("first").alias("first2"), *([F.col("path").alias("path2")] if paths else []))
@@ -121,24 +138,36 @@ def hierarchy(df: DataFrame, node: str, parent: str, paths: bool = False, scratc
         jumped = moving.join(up, moving.anc == up.u).select("v", F.col("anc2").alias("anc"), (F.col("first") + F.col("first2")).alias("first"), *([F.concat("path2", "path").alias("path")] if paths else []))
         new = tmp.keep(state.where("anc is null").unionByName(jumped))
         tmp.drop(state)
-        tmp.release()
         state = new
 
     top = state.select(F.col("v").alias("u"), F.col("first").alias("first_u"), *([F.col("path").alias("path_u")] if paths else []))
-    extra = settled.select(F.col("v").alias("u2"), F.col("root").alias("root_u"), F.col("depth").alias("depth_u"))
-    above = top.join(extra, top.u == extra.u2).drop("u2")
-    lead = F.col("children") > 0
-    # a leaf takes everything from its parent, an inner node from its own row
+    lead, alone = F.col("children") > 0, (F.col("children") == 0) & F.col("p").isNull()
+    # a leaf is counted from its parent, an inner node has its own row
     at = placed.withColumn("look", F.when(lead, F.col("v")).otherwise(F.col("p")))
+    first = F.when(alone, F.col("w")).when(lead, F.col("first_u")).otherwise(F.col("first_u") + F.col("w"))
+    path = F.when(alone, F.array("v")).when(lead, F.col("path_u")).otherwise(F.concat("path_u", F.array("v")))
+    ranged = tmp.keep(at.join(top, at.look == top.u, "left").select("v", "p", "look", "size", first.cast("bigint").alias("first"), *([path.alias("path")] if paths else [])))
+    tmp.drop(placed, state)
+    extra = ["path"] if paths else []
+    good = _scan(ranged.where("first is not null").select("v", "p", "size", "first", *extra))
+    good = good.select(F.col("v").alias("node"), F.col("p").alias("parent"), "root", "depth", (F.col("size") - 1).alias("descendants"), "first", (F.col("first") + F.col("size") - 1).alias("last"), *extra)
+    # what the sweeps did not reach is on a loop or below one
     low = looped.select(F.col("v").alias("l"), F.col("root").alias("loop_root"))
-    out = at.join(above, at.look == above.u, "left").join(low, at.look == low.l, "left")
-    alone = (F.col("children") == 0) & F.col("p").isNull()
-    first = F.when(alone, F.lit(0)).when(lead, F.col("first_u")).otherwise(F.col("first_u") + F.col("w")).cast("bigint")
-    bad = F.col("l").isNotNull()
-    return out.select(
-        F.col("v").alias("node"), F.when(~bad, F.col("p")).alias("parent"),
-        F.when(bad, F.col("loop_root")).when(alone, F.col("v")).otherwise(F.col("root_u")).alias("root"),
-        F.when(bad, -1).when(alone, 0).when(lead, F.col("depth_u")).otherwise(F.col("depth_u") + 1).cast("int").alias("depth"),
-        F.when(~bad, F.col("size") - 1).alias("descendants"),
-        F.when(~bad, first).alias("first"), F.when(~bad, first + F.col("size") - 1).alias("last"),
-        *([F.when(alone, F.array("v")).when(bad, F.lit(None)).when(lead, F.col("path_u")).otherwise(F.concat("path_u", F.array("v"))).alias("path")] if paths else []))
+    bad = ranged.where("first is null").join(low, F.col("look") == F.col("l"))
+    null = lambda t, a: F.lit(None).cast(t).alias(a)
+    bad = bad.select(F.col("v").alias("node"), null("string", "parent"), F.col("loop_root").alias("root"), F.lit(-1).alias("depth"), null("bigint", "descendants"),
+                     null("bigint", "first"), null("bigint", "last"), *([null("array<string>", "path")] if paths else []))
+    return good.unionByName(bad)
+
+
+def descendants(tree: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Columns ancestor, node, steps: every descendant of the nodes named in ``wanted`` (one column), by their ranges.
+
+    ``tree`` is the result of ``hierarchy``. A range is joined with the blocks of positions it meets, so nothing is compared
+    with rows far outside it. Nodes on or below loops, leaves and unknown keys have none; repeated keys count once."""
+    keys = wanted.select(F.col(wanted.columns[0]).cast("string").alias("ancestor")).where("ancestor is not null").distinct()
+    pick = keys.join(tree.where("descendants > 0").select(F.col("node").alias("n"), F.col("first").alias("low"), F.col("last").alias("high"), F.col("depth").alias("d")), F.col("ancestor") == F.col("n"))
+    pick = pick.select("ancestor", "low", "high", "d", F.explode(F.sequence(F.shiftright(F.col("low") + 1, BLOCK_BITS), F.shiftright("high", BLOCK_BITS))).alias("b"))
+    rows = tree.where("first is not null").select("node", "first", "depth", F.shiftright("first", BLOCK_BITS).alias("block"))
+    hit = rows.join(pick, (F.col("block") == F.col("b")) & (F.col("first") > F.col("low")) & (F.col("first") <= F.col("high")))
+    return hit.select("ancestor", "node", (F.col("depth") - F.col("d")).alias("steps"))

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import hex_key, name_key, present
-from ..operators.hierarchy import hierarchy
+from ..operators.hierarchy import descendants, hierarchy
 from ..operators.hotkeys import heavy_keys, keyed_states
 from ..operators.nested import array_rows, variant_children, variant_tree, whole
-from ..session import load
+from ..session import Scratch, load
 from .registry import Registry
 
 R = Registry()
@@ -202,3 +202,22 @@ def p5_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records caught in loops or below them, with the loop's smallest key."""
     return p5_found(spark, sf_dir).where("depth = -1").select("record_kind", "node_key", F.col("root_key").alias("loop_key"))
+
+
+def _hundredth(key: str) -> str:
+    """SQL for both engines' keys: the last eight hex digits, read as a number, are divisible by 100."""
+    return f"right({key}, 8)"
+
+
+@R.add("p5_descendants", f"""WITH RECURSIVE {_FOREST_SQL},
+    below AS (SELECT f.record_kind, f.node_key AS ancestor, f.node_key AS node, 0 AS steps FROM found f WHERE f.depth >= 0 AND regexp_matches({_hundredth('f.node_key')}, '^[0-9a-f]{{8}}$')
+        AND CAST('0x' || {_hundredth('f.node_key')} AS BIGINT) % 100 = 0
+      UNION ALL SELECT below.record_kind, below.ancestor, l.v, below.steps + 1 FROM below JOIN links l ON l.record_kind = below.record_kind AND l.p = below.node)
+    SELECT record_kind, ancestor, node, steps FROM below WHERE steps > 0""")
+def p5_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All descendants, with the steps to them, of every record whose key (its last eight hex digits) is divisible by 100."""
+    tmp = Scratch(spark)
+    tree = tmp.keep(hierarchy(_linked(spark, sf_dir), "v", "p", scratch=tmp).select("node", "first", "last", "depth", "descendants"))
+    wanted = tree.where(F.expr("right(node, 8) rlike '^[0-9a-f]{8}$'")).where(F.expr("CAST(conv(right(node, 8), 16, 10) AS BIGINT) % 100 = 0"))
+    rows = descendants(tree, wanted.select("node"))
+    return rows.selectExpr(_KIND_OF, "substr(ancestor, 2) AS ancestor", "substr(node, 2) AS node", "steps")

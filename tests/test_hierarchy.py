@@ -2,7 +2,8 @@ import random
 
 import pytest
 
-from plexaform.operators.hierarchy import hierarchy
+from plexaform.operators import hierarchy as module
+from plexaform.operators.hierarchy import descendants, hierarchy
 
 
 def brute(links):
@@ -10,7 +11,7 @@ def brute(links):
     for v, p in links.items():
         kids.setdefault(p if p in links else None, []).append(v)
     out = {}
-    for top in kids.get(None, []):
+    for top in sorted(kids.get(None, [])):
         stack, order = [(top, 0, (top,))], []
         while stack:
             v, d, path = stack.pop()
@@ -20,7 +21,7 @@ def brute(links):
         for v, _, path in reversed(order):
             if len(path) > 1:
                 size[path[-2]] += size[v]
-        for first, (v, d, path) in enumerate(order):
+        for first, (v, d, path) in enumerate(order, len(out)):
             out[v] = (top, d, size[v] - 1, first, first + size[v] - 1, list(path))
     for v in links:
         if v not in out:
@@ -51,6 +52,21 @@ def test_random_forest_with_loops(spark, seed):
     assert run(spark, links) == brute(links)
 
 
+def test_many_blocks(spark, monkeypatch):
+    """Depths and roots are carried from block to block."""
+    monkeypatch.setattr(module, "BLOCK_BITS", 3)
+    rnd = random.Random(5)
+    names = [f"k{i:03d}" for i in range(120)]
+    links = {n: None if i % 40 == 0 else rnd.choice(names[max(0, i - 12):i]) for i, n in enumerate(names)}
+    links["x"] = "x"
+    want = brute(links)
+    assert run(spark, links) == want
+    tree = hierarchy(spark.createDataFrame(list(links.items()), "v string, p string"), "v", "p")
+    wanted = spark.createDataFrame([(n,) for n in [*names[::7], names[0], "x", "gone", None]], "ancestor string")
+    got = sorted((r["ancestor"], r["node"], r["steps"]) for r in descendants(tree, wanted).collect())
+    assert got == sorted((a, v, len(w[5]) - 1 - w[5].index(a)) for v, w in want.items() if w[5] for a in set(names[::7]) if a in w[5] and a != v)
+
+
 def test_long_chain(spark):
     links = {f"c{i:04d}": f"c{i - 1:04d}" if i else None for i in range(200)}
     assert run(spark, links) == brute(links)
