@@ -8,6 +8,7 @@ item are hit, the hits are chained in order and the stretch is verified word by
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -16,24 +17,35 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import Scratch
 from .text import chunks, repaired
 
 GRAM = 3
-#: Words of items held by one scan; a larger set is scanned in several blocks of items.
-BLOCK_WORDS = 2_000_000
+#: Words of items that every task holds at once; a larger set is scanned block by block.
+BLOCK_WORDS = 250_000
+#: Share of an item's words that may be dropped, added, swapped or replaced.
+SLACK = 0.2
 
 _LINE = re.compile(r"(?m)^[ \t]*(?:(?://+|[>#*+\-=]+|\d{1,3}[.)])[ \t]+|\[\d\d:\d\d:\d\d\][ \t]+\w+[ \t]+)+(?:rule:[ \t]+)?")
 _WRAP = re.compile(r"-[ \t]*\n[ \t]*(?:(?://+|[>#*]+)[ \t]*)?")
 _KEEP = bytes(c if chr(c).isalnum() and c < 128 else 32 for c in range(256))
 _DROP = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+_MARKS = re.compile("[\u0300-\u036f]+")
+_CONTROL = re.compile("[\x00-\x1f\x7f-\x9f]+")
+_SIGNS = re.compile(r"[^\w\s]+|_+")
 
 
 def plain_words(text: str) -> list[bytes]:
-    """Lower-case words of letters and digits: line prefixes, wraps, punctuation, markup and encoding slips are gone."""
+    """Lower-case words of letters and digits of any script: line prefixes, wraps, punctuation, markup, accents and encoding
+    slips are gone."""
     text = _WRAP.sub("", repaired(text))
     if "\n" in text:
         text = _LINE.sub("", text)
-    return text.lower().encode("ascii", "ignore").translate(_KEEP, _DROP).split()
+    text = text.lower()
+    if text.isascii():
+        return text.encode().translate(_KEEP, _DROP).split()
+    text = _MARKS.sub("", unicodedata.normalize("NFKD", text))
+    return " ".join(_SIGNS.sub("", _CONTROL.sub(" ", text)).split()).encode("utf-8", "replace").split()
 
 
 class ItemIndex:
@@ -100,8 +112,8 @@ def _runs(places: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
     return sorted(runs)
 
 
-def verify(doc: list[bytes], item: list[bytes], places: list[tuple[int, int]], least: int, apart: int, slack: float) -> tuple[int, int, int] | None:
-    """(words held, first word, end) of the best stretch of ``doc`` that holds ``item``'s words in order, or NULL.
+def verify(doc: list[bytes], item: list[bytes], places: list[tuple[int, int]], least: int, apart: int, slack: float) -> tuple[int, int, int, int] | None:
+    """(words held, words changed, first word, end) of the best stretch of ``doc`` that holds ``item``'s words in order, or NULL.
 
     Runs of equal words are chained in the order of both texts. A step between runs of one piece costs the words
     changed in it; one step, short or long, of at most ``apart`` document words, may instead part two pieces. Both
@@ -149,31 +161,38 @@ def verify(doc: list[bytes], item: list[bytes], places: list[tuple[int, int]], l
                 while back is not None:
                     first, at = back
                     back = best[first][at][3]
-                good = (score, span - edits, runs[first][0], runs[k][0] + runs[k][2])
+                good = (score, span - edits, edits, runs[first][0], runs[k][0] + runs[k][2])
     return good[1:] if good else None
 
 
+def _blocks(items: DataFrame, item_id: str, item_text: str) -> Iterator[list[tuple[int, list[bytes]]]]:
+    """The items in blocks of at most BLOCK_WORDS words (one longer item is a block of its own); one block is held at a time."""
+    block: list[tuple[int, list[bytes]]] = []
+    size = 0
+    for r in items.select(item_id, item_text).where(F.col(item_id).isNotNull()).distinct().orderBy(item_id).toLocalIterator():
+        words = plain_words(r[1] or "")
+        if len(words) < GRAM:
+            continue
+        if block and size + len(words) > BLOCK_WORDS:
+            yield block
+            block, size = [], 0
+        block.append((int(r[0]), words))
+        size += len(words)
+    yield block
+
+
 def leaks(documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, least: int = 24,
-          apart: int = 40, slack: float = 0.2, seeds: int = 5) -> DataFrame:
-    """Columns doc_id, item_id, words, first_word, end_word: items of which a document holds at least ``least`` words.
+          apart: int = 40, slack: float = SLACK, seeds: int = 5) -> DataFrame:
+    """Columns doc_id, item_id, words, changed, first_word, end_word: items of which a document holds at least ``least`` words.
 
     The item's words must stand in its order, in one piece or two that are at most ``apart`` words from each other, with
     at most ``slack`` of them dropped, added, swapped or replaced. ``seeds`` is the number of distinct item windows that
     makes a stretch worth verifying. NULL, blank and too short texts or items give no rows; a document or item delivered
-    twice gives its rows once. Documents are read once per block of items; the items (of proven, small size) are held by
-    every task, in blocks of at most BLOCK_WORDS words; documents are never shuffled.
+    twice gives its rows once. Documents are never shuffled. Every task holds at most BLOCK_WORDS words of items; if there
+    are more, the documents are read once per block and each block's rows are written before the next one is sent.
     """
     spark = documents.sparkSession
-    wanted = [(int(r[0]), plain_words(r[1] or "")) for r in items.select(item_id, item_text).where(F.col(item_id).isNotNull()).distinct().toLocalIterator()]
-    blocks: list[list[tuple[int, list[bytes]]]] = [[]]
-    size = 0
-    for item in sorted((w for w in wanted if len(w[1]) >= GRAM), key=lambda w: w[0]):
-        if size + len(item[1]) > BLOCK_WORDS and blocks[-1]:
-            blocks.append([])
-            size = 0
-        blocks[-1].append(item)
-        size += len(item[1])
-    schema = "doc_id bigint, item_id bigint, words int, first_word int, end_word int"
+    schema = "doc_id bigint, item_id bigint, words int, changed int, first_word int, end_word int"
 
     def scanner(block):
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -194,15 +213,24 @@ def leaks(documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
                             hit = verify(docs[n], index.items[item], places, least, apart, slack)
                             if hit:
                                 rows.append((ids[n], item, *hit))
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "words", "first_word", "end_word"])
+                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "words", "changed", "first_word", "end_word"])
         return scan
 
     source = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null and text is not null")
-    parts = [source.mapInPandas(scanner(spark.sparkContext.broadcast(b)), schema) for b in blocks]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("words", "first_word", "end_word"), F.struct("words", -F.col("first_word"))).alias("b")).select("doc_id", "item_id", "b.words", "b.first_word", "b.end_word")
+    blocks = _blocks(items, item_id, item_text)
+    block, following = next(blocks), next(blocks, None)
+    if following is None:
+        out = source.mapInPandas(scanner(spark.sparkContext.broadcast(block)), schema)
+    else:
+        tmp, out = Scratch(spark), None
+        while block is not None:
+            held = spark.sparkContext.broadcast(block)
+            part = tmp.keep(source.mapInPandas(scanner(held), schema))
+            held.destroy()
+            out = part if out is None else out.unionByName(part)
+            block, following = following, next(blocks, None)
+    best = F.max_by(F.struct("words", "changed", "first_word", "end_word"), F.struct("words", -F.col("changed"), -F.col("first_word")))
+    return out.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.words", "b.changed", "b.first_word", "b.end_word")
 
 
 def without_leaks(documents: DataFrame, doc_id: str, found: DataFrame) -> DataFrame:

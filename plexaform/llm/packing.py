@@ -4,16 +4,17 @@ Each text is counted in tokens of a public tokenizer once; only (id, tokens) is
 bounded number of items and every shard is packed in one task, so no task holds more than a shard and at most one partly
 filled container per shard is lost against a global packing.
 
-Within a shard items go, longest first, to the sequence with the lowest estimated cost (tokens + tokens^2 / capacity of
-each item in it, the linear and the attention part) that still has room; the number of sequences is the lower bound for
-the items at hand, and items that find no room start the next round. The same items are also packed best-fit decreasing;
-the packing with fewer containers is kept, the cost-balanced one when both need as many.
+Within a shard packing goes by rounds. A round opens a share of the sequences that its items need at least; items go, longest
+first, to the sequence with the lowest estimated cost (tokens + tokens^2 / capacity of each item in it, the linear and the
+attention part) that still has room, and items that find none go to the next round. Opening all sequences at once would
+leave most of them with a gap that no remaining item fits; with half of them the short items are there to fill the gaps.
 """
 
 from __future__ import annotations
 
 import base64
-import bisect
+import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,8 @@ from ..session import Scratch
 
 #: Items (texts or rests of cut texts) in one shard.
 SHARD_ITEMS = 20_000
+#: Share of the sequences needed at least that a round opens.
+OPENED = 0.5
 
 
 def bpe_counter(vocabulary: str, pattern: str):
@@ -56,50 +59,51 @@ def token_counts(df: DataFrame, id_col: str, text_col: str, vocabulary: str, pat
     return df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).mapInPandas(count, "id bigint, tokens bigint")
 
 
+def fill(sizes: list[int], bins: int, capacity: int, separator: int) -> tuple[list[int], list[int]]:
+    """One round over ``sizes`` (descending): the sequence of each item, -1 for none, and the numbers of items left over.
+
+    Sequences with room for the current item wait in a heap by cost; those without wait by room until an item fits."""
+    cost, room = [0.0] * bins, [capacity + separator] * bins
+    ready = [(0.0, j) for j in range(bins)]
+    waiting: list[tuple[int, int]] = []
+    where, left = [-1] * len(sizes), []
+    for k, size in enumerate(sizes):
+        need = size + separator
+        while waiting and -waiting[0][0] >= need:
+            _, j = heapq.heappop(waiting)
+            heapq.heappush(ready, (cost[j], j))
+        if not ready:
+            left.append(k)
+            continue
+        _, j = heapq.heappop(ready)
+        where[k] = j
+        cost[j] += size + size * size / capacity
+        room[j] -= need
+        if room[j] >= need:
+            heapq.heappush(ready, (cost[j], j))
+        else:
+            heapq.heappush(waiting, (-room[j], j))
+    return where, left
+
+
 def balanced(sizes: np.ndarray, capacity: int, separator: int) -> np.ndarray:
-    """Container number of each item of ``sizes`` (descending, each at most ``capacity``) by lowest cost with room."""
-    where = np.full(len(sizes), -1, np.int64)
+    """Container number of each item of ``sizes`` (descending, each at most ``capacity``), by rounds of lowest cost."""
+    out = np.full(len(sizes), -1, np.int64)
     todo = np.arange(len(sizes))
     base = 0
-    room_of_one = capacity + separator
     while len(todo):
-        bins = int(max(1, -(-(sizes[todo].sum() + separator * len(todo)) // room_of_one)))
-        room = np.full(bins, room_of_one, np.int64)
-        cost = np.zeros(bins)
-        left = []
-        for k in todo:
-            need = sizes[k] + separator
-            open_ = np.flatnonzero(room >= need)
-            if not len(open_):
-                left.append(k)
-                continue
-            j = open_[np.argmin(cost[open_])]
-            where[k] = base + j
-            room[j] -= need
-            cost[j] += sizes[k] + sizes[k] * sizes[k] / capacity
+        own = sizes[todo]
+        least = max(1, -(-int(own.sum() + separator * len(own)) // (capacity + separator)))
+        bins = max(1, math.ceil(least * OPENED))
+        where, left = fill(own.tolist(), bins, capacity, separator)
+        where = np.array(where, np.int64)
+        out[todo[where >= 0]] = base + where[where >= 0]
         base += bins
-        todo = np.array(left, np.int64)
-    _, dense = np.unique(where, return_inverse=True)
+        todo = todo[np.array(left, np.int64)]
+    _, dense = np.unique(out, return_inverse=True)
     return dense
 
 
-def best_fit(sizes: np.ndarray, capacity: int, separator: int) -> np.ndarray:
-    """Container number of each item of ``sizes`` (descending) by the fullest container with room."""
-    where = np.empty(len(sizes), np.int64)
-    rooms: list[tuple[int, int]] = []
-    n = 0
-    for k, s in enumerate(sizes.tolist()):
-        need = s + separator
-        i = bisect.bisect_left(rooms, (need, -1))
-        if i < len(rooms):
-            room, j = rooms.pop(i)
-        else:
-            room, j, n = capacity + separator, n, n + 1
-        where[k] = j
-        bisect.insort(rooms, (room - need, j))
-    return where
-
-
 def pack_shard(ids: np.ndarray, tokens: np.ndarray, capacity: int, separator: int) -> pd.DataFrame:
     """Rows of one shard: id, piece, tokens, container (number within the shard), position, unused."""
     full = np.where(tokens > capacity, tokens // capacity, 0)
@@ -108,8 +112,7 @@ def pack_shard(ids: np.ndarray, tokens: np.ndarray, capacity: int, separator: in
     keep = (rest > 0) | (full == 0)
     order = np.lexsort((ids[keep], -rest[keep]))
     item_ids, item_piece, sizes = ids[keep][order], full[keep][order], rest[keep][order]
-    a, b = balanced(sizes, capacity, separator), best_fit(sizes, capacity, separator)
-    where = a if not len(a) or a.max() <= b.max() else b
+    where = balanced(sizes, capacity, separator)
     used = int(where.max()) + 1 if len(where) else 0
     by = np.argsort(where, kind="stable")
     first = np.r_[True, where[by][1:] != where[by][:-1]] if len(by) else np.zeros(0, bool)
@@ -152,4 +155,5 @@ def pack(counts: DataFrame, windows: list[tuple[str, int, int]], shard_items: in
         return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=["window", "shard", "id", "piece", "tokens", "container", "position", "unused"])
 
     schema = "window string, shard int, id bigint, piece bigint, tokens bigint, container bigint, position bigint, unused bigint"
-    return dealt.where("id is not null").groupBy("shard").applyInPandas(run, schema)
+    # as many partitions as shards: the rows are few bytes, and without a number they would all come to one task
+    return dealt.where("id is not null").repartition(shards, "shard").groupBy("shard").applyInPandas(run, schema)

@@ -161,13 +161,25 @@ _P6_SQL = f"""
     SELECT DISTINCT x.written AS project_a, y.written AS project_b FROM n x JOIN c ON c.start = x.p JOIN n y ON y.p = c.cur WHERE x.written < y.written"""
 
 
-@R.add("p6_found", _P6_SQL)
-def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tmp = Scratch(spark)
+def _linked_projects(spark: SparkSession, sf_dir: str, tmp: Scratch) -> DataFrame:
+    """project (as written), component: the smallest project of those that must stay together."""
     df = load(spark, sf_dir, "search_examples")
     component = splits.linked_values(df, _split_keys(), tmp)
     written = df.select("project", F.concat(F.lit("project="), name_key(F.col("project"))).alias("k")).where("k is not null").distinct()
-    named = tmp.keep(written.join(component, written.k == component.v).select("project", "component"))
+    # a component's label is its smallest value, and names of projects come before those of roots and searches
+    return written.join(component, written.k == component.v).select("project", F.substring("component", 9, 1 << 20).alias("component"))
+
+
+@R.add("p6_members", _P6_SQL[:_P6_SQL.index("SELECT DISTINCT x.written")] + "SELECT n.written AS project, min(substr(c.cur, 3)) AS component FROM n JOIN c ON c.start = n.p WHERE c.cur LIKE 'p=%' GROUP BY n.written")
+def p6_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every project name as written with the group it must stay in: one row a name, where p6_found lists pairs."""
+    return _linked_projects(spark, sf_dir, Scratch(spark))
+
+
+@R.add("p6_found", _P6_SQL)
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tmp = Scratch(spark)
+    named = tmp.keep(_linked_projects(spark, sf_dir, tmp))
     a = named.select(F.col("project").alias("project_a"), F.col("component").alias("c"))
     b = named.select(F.col("project").alias("project_b"), "component")
     return a.join(b, (a.c == b.component) & (F.col("project_a") < F.col("project_b"))).select("project_a", "project_b").distinct()
@@ -239,8 +251,8 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add("p8_clean_documents")
 def p8_clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that hold no leaked item."""
-    docs = load(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars")
+    """The documents that hold no leaked item, with their texts."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
     return leakage.without_leaks(docs, "doc_id", _leaks(spark, sf_dir))
 
 

@@ -34,6 +34,22 @@ def test_shard(capacity, separator):
     assert bound <= n <= bound * 1.1 + 2
 
 
+@pytest.mark.parametrize("capacity", [512, 2048])
+def test_few_containers(capacity):
+    """Texts of about half a capacity, the hard case, and mixed ones: close to the lower bound."""
+    rng = np.random.RandomState(capacity)
+    sizes = np.r_[rng.normal(capacity * 0.5, capacity * 0.08, 3000), rng.lognormal(np.log(capacity / 8), 0.8, 5000)].astype(np.int64).clip(1, capacity)
+    where = packing.balanced(np.sort(sizes)[::-1], capacity, 1)
+    assert (np.bincount(where, np.sort(sizes)[::-1] + 1) <= capacity + 1).all()
+    assert where.max() + 1 <= 1.01 * (sizes + 1).sum() / (capacity + 1) + 2
+
+
+def test_lowest_cost_with_room():
+    """The longest go to empty sequences, then each to the cheapest one that holds it."""
+    assert packing.fill([6, 5, 4, 3, 2, 1], 3, 10, 0) == ([0, 1, 2, 2, 1, 2], [])
+    assert packing.fill([6, 6, 6], 2, 10, 0) == ([0, 1, -1], [2])
+
+
 def test_counts_and_edge_rows(spark):
     long = "word " * 60_000
     rows = [(1, ""), (2, None), (3, "a b c"), (3, "a b c"), (4, long), (5, "\x00 ​ ü")]
