@@ -7,6 +7,7 @@ item are hit, the hits are chained in order and the stretch is verified word by
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -24,7 +25,7 @@ GRAM = 3
 #: Words of items that every task holds at once; a larger set is scanned block by block.
 BLOCK_WORDS = 250_000
 #: Share of an item's words that may be dropped, added, swapped or replaced.
-SLACK = 0.2
+SLACK = 1 / 8
 
 _LINE = re.compile(r"(?m)^[ \t]*(?:(?://+|[>#*+\-=]+|\d{1,3}[.)])[ \t]+|\[\d\d:\d\d:\d\d\][ \t]+\w+[ \t]+)+(?:rule:[ \t]+)?")
 _WRAP = re.compile(r"-[ \t]*\n[ \t]*(?:(?://+|[>#*]+)[ \t]*)?")
@@ -118,7 +119,7 @@ def verify(doc: list[bytes], item: list[bytes], places: list[tuple[int, int]], l
     Runs of equal words are chained in the order of both texts. A step between runs of one piece costs the words
     changed in it; one step, short or long, of at most ``apart`` document words, may instead part two pieces. Both
     readings are kept for every run, the best chain of one piece and the best of two. The stretch counts if it
-    spans ``least`` words of the item with at most ``slack`` of them changed and 7/8 of ``least`` left as they are."""
+    spans ``least`` words of the item with at most ``slack`` of them (rounded up) changed and 7/8 of ``least`` left as they are."""
     runs = _runs(places)
     longest = max(n for _, _, n in runs)
     # per run: the best chain of one piece and the best of two, which may be missing
@@ -156,7 +157,7 @@ def verify(doc: list[bytes], item: list[bytes], places: list[tuple[int, int]], l
             if state is None:
                 continue
             score, span, edits, back = state
-            if span >= least and span - edits >= least * 7 / 8 and edits <= slack * span and (good is None or score > good[0]):
+            if span >= least and span - edits >= least * 7 / 8 and edits <= math.ceil(slack * span) and (good is None or score > good[0]):
                 first = k
                 while back is not None:
                     first, at = back
@@ -186,7 +187,7 @@ def leaks(documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
     """Columns doc_id, item_id, words, changed, first_word, end_word: items of which a document holds at least ``least`` words.
 
     The item's words must stand in its order, in one piece or two that are at most ``apart`` words from each other, with
-    at most ``slack`` of them dropped, added, swapped or replaced. ``seeds`` is the number of distinct item windows that
+    at most ``slack`` of them (rounded up) dropped, added, swapped or replaced. ``seeds`` is the number of distinct item windows that
     makes a stretch worth verifying. NULL, blank and too short texts or items give no rows; a document or item delivered
     twice gives its rows once. Documents are never shuffled. Every task holds at most BLOCK_WORDS words of items; if there
     are more, the documents are read once per block and each block's rows are written before the next one is sent.
