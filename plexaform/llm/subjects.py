@@ -27,9 +27,9 @@ from ..session import Scratch
 from .text import chunks, repaired
 
 #: Labelled documents used for training at most, taken in the order of a hash of their id.
-MAX_LABELLED = 2048
+MAX_LABELLED = 4096
 BUCKETS = 1 << 15
-DIM = 16
+DIM = 24
 SETTLED = 0.3
 
 _LEAD = re.compile(r"(?m)^\s*(?://|>|#|\*)+\s?")
