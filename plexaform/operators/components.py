@@ -47,7 +47,6 @@ def connected_components(edges: DataFrame, a: str, b: str, scratch: Scratch | No
         full = half.join(at2, half.b == at2.u).select("a", F.col("r").alias("b")).where("a <> b")
         new = tmp.keep(full.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
         tmp.drop(current)
-        tmp.release()
         current = new
     if not levels:
         return alone.select("v", F.col("v").alias("component"))

@@ -162,3 +162,20 @@ def pairwise_preferences(df: DataFrame, group: list[str], utility: str) -> DataF
 
 def sibling_rank(df: DataFrame, group: list[str], order: list) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+
+
+def controlled_corpus(spark: SparkSession, roots: int, families: list[str], languages: list[str]) -> DataFrame:
+    """root, project, language, family, variant, applicable, utility, outcome: every family in five variants per root, by fixed rules.
+
+    A root favours one family; the next one gives the identical program, any other a loss. Of the favoured family's variants the second
+    gains where the machine is wide, and later ones lose more and more."""
+    # fixed values: gains, losses and the floor of a material win
+    pick = lambda names, k: F.element_at(F.array(*[F.lit(x) for x in names]), (k % len(names) + 1).cast("int"))
+    root, variant = F.col("root"), F.col("variant")
+    x = spark.range(roots).select(F.col("id").alias("root")).select("root", F.explode(F.array(*[F.lit(f) for f in families])).alias("family")).select("*", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("variant"))
+    x = x.withColumn("own", pick(families, root)).withColumn("next", pick(families, root + 1))
+    bonus = F.when((variant == 1) & (root % 2 == 0), 0.05).when(variant == 1, -0.02).when(variant >= 2, -0.08 - 0.01 * variant).otherwise(0.0)
+    utility = F.round(F.when(F.col("family") == F.col("own"), 0.10 + (root % 4) * 0.025 + bonus).when(F.col("family") == F.col("next"), 0.0).otherwise(-0.04 - 0.01 * variant), 9)
+    outcome = F.when(F.col("family") == F.col("own"), F.when(F.col("utility") >= 0.03, "material_regional_win").otherwise("small_win_below_floor")).when(F.col("family") == F.col("next"), "compiler_identical").otherwise("measured_regression")
+    return x.withColumn("utility", utility).select("root", F.concat(F.lit("synthetic-project-"), (root % 12).cast("string")).alias("project"), pick(languages, root).alias("language"), "family", "variant",
+                                                   (F.col("family") == F.col("own")).alias("applicable"), "utility", outcome.alias("outcome"))

@@ -23,16 +23,71 @@ def transitive_closure(edges: DataFrame, src: str, dst: str, tmp: Scratch | None
             return total
         grown = tmp.keep(total.unionByName(fresh))
         new, total = fresh, grown
-        tmp.release()
+
+
+def reachable(edges: DataFrame, src: str, dst: str, seeds: DataFrame, seed: str, tmp: Scratch | None = None) -> DataFrame:
+    """v: the seeds and everything reached from them, to any depth; only newly reached nodes travel."""
+    tmp = tmp or Scratch(edges.sparkSession)
+    links = tmp.keep(edges.select(F.col(src).alias("s"), F.col(dst).alias("d")).where("s is not null and d is not null").distinct())
+    seen = front = tmp.keep(seeds.select(F.col(seed).alias("v")).where("v is not null").distinct())
+    while True:
+        step = links.join(front, F.col("s") == F.col("v"), "left_semi").select(F.col("d").alias("v")).distinct()
+        front = tmp.keep(step.join(seen, "v", "left_anti"))
+        if not front.limit(1).count():
+            return seen
+        seen = tmp.keep(seen.unionByName(front))
 
 
 def strong_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
-    """v, component (smallest member) of every end of an edge: nodes that reach each other."""
-    reach = transitive_closure(edges, src, dst)
-    mutual = reach.join(reach.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_semi")
-    low = mutual.groupBy("a").agg(F.min("b").alias("m"))
+    """v, component (smallest member) of every end of an edge: nodes that reach each other.
+
+    Nodes without a way in or out are alone and are taken off first. Of the rest each takes the greatest node that reaches it
+    as its colour; a colour's component is what reaches the node it is named after within the colour. Found components are taken
+    off and the rest goes on. Tables stay of the size of the graph, unlike its closure."""
+    tmp = Scratch(edges.sparkSession)
+    e = tmp.keep(edges.select(F.col(src).alias("s"), F.col(dst).alias("d")).where("s is not null and d is not null and s <> d").distinct())
     nodes = edges.select(F.explode(F.array(src, dst)).alias("v")).where("v is not null").distinct()
-    return nodes.join(low, F.col("v") == F.col("a"), "left").select("v", F.least("v", F.coalesce("m", "v")).alias("component"))
+    found: list[DataFrame] = []
+    left = e.count()
+    while left:
+        while True:
+            both = e.join(e.select(F.col("d").alias("x")).distinct(), F.col("s") == F.col("x"), "left_semi").join(e.select(F.col("s").alias("y")).distinct(), F.col("d") == F.col("y"), "left_semi")
+            trimmed = tmp.keep(both)
+            n = trimmed.count()
+            tmp.drop(e)
+            e = trimmed
+            if n == left:
+                break
+            left = n
+        if not left:
+            break
+        colour = tmp.keep(e.select(F.explode(F.array("s", "d")).alias("v")).distinct().withColumn("c", F.col("v")))
+        moved = True
+        while moved:
+            come = e.join(colour, F.col("s") == F.col("v")).groupBy("d").agg(F.max("c").alias("best"))
+            new = tmp.keep(colour.join(come, F.col("v") == F.col("d"), "left").select("v", F.greatest("c", "best").alias("c"), (F.col("best") > F.col("c")).alias("moved")))
+            moved = new.where("moved").limit(1).count()
+            tmp.drop(colour)
+            colour = new.select("v", "c")
+            colour._plexaform_path = new._plexaform_path
+        ends = e.join(colour.select(F.col("v").alias("x"), F.col("c").alias("cs")), F.col("s") == F.col("x")).join(colour.select(F.col("v").alias("y"), F.col("c").alias("cd")), F.col("d") == F.col("y"))
+        inside = ends.where("cs = cd").select(F.col("d").alias("s"), F.col("s").alias("d"))
+        # backward from every colour's name; edges stay inside one colour, so what is reached belongs to that colour
+        part = reachable(inside, "s", "d", colour.where("v = c"), "v", tmp)
+        part = tmp.keep(part.join(colour.select(F.col("v").alias("x"), "c"), F.col("v") == F.col("x")).select("v", "c"))
+        found.append(part)
+        gone = part.select(F.col("v").alias("g"))
+        rest = tmp.keep(e.join(gone, F.col("s") == F.col("g"), "left_anti").join(gone, F.col("d") == F.col("g"), "left_anti"))
+        tmp.drop(e, colour)
+        e, left = rest, rest.count()
+    if not found:
+        return nodes.select("v", F.col("v").alias("component"))
+    every = found[0]
+    for part in found[1:]:
+        every = every.unionByName(part)
+    names = every.groupBy("c").agg(F.min("v").alias("component"))
+    member = every.join(names, "c").select(F.col("v").alias("m"), "component")
+    return nodes.join(member, F.col("v") == F.col("m"), "left").select("v", F.coalesce("component", "v").alias("component"))
 
 
 def recursive_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
@@ -82,22 +137,32 @@ def bounded_slice(edges: DataFrame, src: str, dst: str, seeds: DataFrame, seed:
 
 def topological_levels(edges: DataFrame, src: str, dst: str, nodes: DataFrame | None = None) -> DataFrame:
     """v, level: longest number of edges from a node without predecessor; NULL on a cycle and behind one."""
+    every = nodes if nodes is not None else edges.select(F.explode(F.array(src, dst)).alias("v"))
+    return _levels(edges, src, dst, every.select("v").where("v is not null").distinct().withColumn("w", F.lit(1.0))).select("v", "level")
+
+
+def _levels(edges: DataFrame, src: str, dst: str, weighted: DataFrame) -> DataFrame:
+    """weighted: v, w -> v, level, cost (weight of the heaviest path that ends in v); NULLs on a cycle and behind one.
+
+    A node waits until all its predecessors are done and keeps the heaviest of them; each round hands the nodes just done to
+    their successors and never reads earlier ones again."""
     tmp = Scratch(edges.sparkSession)
-    e = tmp.keep(edges.select(F.col(src).alias("s"), F.col(dst).alias("d")).distinct())
-    every = (nodes if nodes is not None else e.select(F.explode(F.array("s", "d")).alias("v"))).select("v").distinct()
-    waiting = tmp.keep(every.join(e.groupBy("d").agg(F.count(F.lit(1)).alias("need")), F.col("v") == F.col("d"), "left").select("v", F.coalesce("need", F.lit(0)).cast("bigint").alias("need")))
+    e = tmp.keep(edges.select(F.col(src).alias("s"), F.col(dst).alias("d")).where("s is not null and d is not null").distinct())
+    need = e.groupBy("d").agg(F.count(F.lit(1)).alias("need"))
+    waiting = tmp.keep(weighted.join(need, F.col("v") == F.col("d"), "left").select("v", "w", F.coalesce("need", F.lit(0)).cast("bigint").alias("need"), F.lit(0.0).alias("best")))
     level, done = 0, []
     while True:
-        ready = tmp.keep(waiting.where("need <= 0").select("v", F.lit(level).alias("level")))
+        ready = tmp.keep(waiting.where("need <= 0").select("v", F.lit(level).alias("level"), (F.col("best") + F.col("w")).alias("cost")))
         if not ready.limit(1).count():
             break
         done.append(ready)
-        freed = e.join(ready, F.col("s") == F.col("v"), "left_semi").groupBy("d").agg(F.count(F.lit(1)).alias("freed"))
-        rest = waiting.where("need > 0").join(freed, F.col("v") == F.col("d"), "left").select("v", (F.col("need") - F.coalesce("freed", F.lit(0))).alias("need"))
+        freed = e.join(ready, F.col("s") == F.col("v")).groupBy("d").agg(F.count(F.lit(1)).alias("freed"), F.max("cost").alias("come"))
+        rest = waiting.where("need > 0").join(freed, F.col("v") == F.col("d"), "left").select(
+            "v", "w", (F.col("need") - F.coalesce("freed", F.lit(0))).alias("need"), F.greatest("best", "come").alias("best"))
         new = tmp.keep(rest)
         tmp.drop(waiting)
         waiting, level = new, level + 1
-    out = waiting.select("v", F.lit(None).cast("int").alias("level"))
+    out = waiting.select("v", F.lit(None).cast("int").alias("level"), F.lit(None).cast("double").alias("cost"))
     for part in done:
         out = out.unionByName(part)
     return out
@@ -105,17 +170,8 @@ def topological_levels(edges: DataFrame, src: str, dst: str, nodes: DataFrame |
 
 def critical_path(edges: DataFrame, src: str, dst: str, weights: DataFrame, node: str, weight: str) -> DataFrame:
     """v, cost: weight of the heaviest path that ends in v; a weight that is NULL or 0 counts as 1. Cycles give no rows."""
-    tmp = Scratch(edges.sparkSession)
-    w = tmp.keep(weights.select(F.col(node).alias("v"), F.when(F.coalesce(weight, F.lit(0)) == 0, F.lit(1.0)).otherwise(F.col(weight).cast("double")).alias("w")))
-    e = tmp.keep(edges.select(F.col(src).alias("s"), F.col(dst).alias("d")).distinct())
-    levels = tmp.keep(topological_levels(e, "s", "d", w.select("v")).where("level is not null").join(w, "v"))
-    last = levels.agg(F.max("level")).first()[0]
-    done = tmp.keep(levels.where("level = 0").select("v", F.col("w").alias("cost")))
-    for k in range(1, (last or 0) + 1):
-        into = e.join(done.select(F.col("v").alias("p"), "cost"), F.col("s") == F.col("p")).groupBy("d").agg(F.max("cost").alias("best"))
-        now = levels.where(F.col("level") == k).join(into, F.col("v") == F.col("d")).select("v", (F.col("best") + F.col("w")).alias("cost"))
-        done = tmp.keep(done.unionByName(now))
-    return done
+    w = weights.select(F.col(node).alias("v"), F.when(F.coalesce(weight, F.lit(0)) == 0, F.lit(1.0)).otherwise(F.col(weight).cast("double")).alias("w"))
+    return _levels(edges, src, dst, w).where("level is not null").select("v", "cost")
 
 
 def fusion_regions(edges: DataFrame, src: str, dst: str, barriers: DataFrame, barrier: str) -> DataFrame:

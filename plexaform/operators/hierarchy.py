@@ -18,8 +18,9 @@ part in the rounds; leaves are joined to their parents once. Every round is writ
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import Scratch
 from .prefix import bucketed_prefix_sum, group_buckets
@@ -160,6 +161,38 @@ def hierarchy(df: DataFrame, node: str, parent: str, paths: bool = False, scratc
     return good.unionByName(bad)
 
 
+def subtree_totals(df: DataFrame, node: str, parent: str, sums: dict[str, Column], maxima: dict[str, Column], scratch: Scratch | None = None) -> DataFrame:
+    """node, children, then each of ``sums`` and ``maxima`` over the node and all its descendants, whatever the depth.
+
+    Bottom-up over power-of-two strides: after round k a node has the totals of what lies fewer than 2^k steps below it, and the next
+    round adds the totals of the nodes whose 2^k-th ancestor it is. A node given more than once counts once, with the greatest of
+    each value; a parent that is NULL or not a node makes a root; ``children`` counts distinct nodes. Nodes on or below loops are left
+    out. Maxima may be structs. NULLs count as 0 in sums and are ignored in maxima. An empty table gives no rows."""
+    tmp = scratch or Scratch(df.sparkSession)
+    values = [c.alias(n) for n, c in [*sums.items(), *maxima.items()]]
+    rows = df.where(F.col(node).isNotNull()).select(F.col(node).cast("string").alias("v"), F.col(parent).cast("string").alias("p"), *values)
+    rows = tmp.keep(rows.groupBy("v").agg(F.min("p").alias("p"), *[F.coalesce(F.max(n), F.lit(0)).alias(n) for n in sums], *[F.max(n).alias(n) for n in maxima]))
+    there = rows.select(F.col("v").alias("pv"))
+    state = tmp.keep(rows.join(there, rows.p == there.pv, "left").select("v", F.col("pv").alias("anc"), *sums, *maxima, F.lit(0).cast("bigint").alias("children")))
+    active = state.where("anc is not null").count()
+    first = True
+    while active:
+        moving = state.where("anc is not null")
+        more = moving.groupBy(F.col("anc").alias("a")).agg(*[F.sum(n).alias(f"m_{n}") for n in sums], *[F.max(n).alias(f"m_{n}") for n in maxima], F.count(F.lit(1)).alias("n"))
+        up = state.select(F.col("v").alias("u"), F.col("anc").alias("anc2"))
+        jumped = moving.join(up, moving.anc == up.u).select("v", F.col("anc2").alias("anc"), *sums, *maxima, "children")
+        both = state.where("anc is null").unionByName(jumped).join(more, F.col("v") == F.col("a"), "left")
+        new = tmp.keep(both.select("v", "anc", *[(F.col(n) + F.coalesce(f"m_{n}", F.lit(0))).alias(n) for n in sums], *[F.greatest(n, f"m_{n}").alias(n) if not isinstance(state.schema[n].dataType, T.StructType)
+                                   else F.when(F.col(n).isNull() | (F.col(f"m_{n}") > F.col(n)), F.col(f"m_{n}")).otherwise(F.col(n)).alias(n) for n in maxima], F.coalesce("n", F.lit(0)).alias("children") if first else F.col("children")))
+        left = new.where("anc is not null").count()
+        tmp.drop(state)
+        state, first = new, False
+        if left == active:
+            break
+        active = left
+    return state.where("anc is null").select(F.col("v").alias("node"), "children", *sums, *maxima)
+
+
 def descendants(tree: DataFrame, wanted: DataFrame) -> DataFrame:
     """Columns ancestor, node, steps: every descendant of the nodes named in ``wanted`` (one column), by their ranges.
 

@@ -6,8 +6,8 @@ independent and run in parallel. A key's events are read in batches, so only its
 from __future__ import annotations
 
 import struct
+from decimal import Decimal
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,10 +37,21 @@ def decode_event(raw: Column) -> Column:
         _unsigned(h, 21, 16).cast("decimal(20,0)").alias("sequence")))
 
 
+def valid_events(events: DataFrame, key: str) -> DataFrame:
+    """The events that change a book: known tag and side, a level, no negative quantity, a sequence above every valid one before.
+
+    events: key, position, kind, side, price_ticks, quantity, sequence; NULL fields make an event invalid. Whether a sequence is
+    above the earlier ones is a running maximum, as a rejected sequence never raises it."""
+    fine = F.coalesce(F.col("kind").isin(1, 2, 3) & F.col("side").isin(0, 1) & (F.col("price_ticks") - BASE_TICK).between(0, LEVELS - 1) & (F.col("quantity") >= 0), F.lit(False))
+    before = Window.partitionBy(key).orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
+    seen = events.withColumn("__fine", fine).withColumn("__high", F.max(F.when(F.col("__fine"), F.col("sequence"))).over(before))
+    return seen.where(F.col("__fine") & (F.col("sequence") > F.coalesce("__high", F.lit(0)))).drop("__fine", "__high")
+
+
 def book_state(events: DataFrame, key: str) -> DataFrame:
-    """Best bid and ask after all valid events, as a batch: the last quantity per side and level, then the outer levels.
+    """Best bid and ask level after all valid events, as a batch: the last quantity per side and level, then the outer levels.
 
-    events: key, kind, side, level, quantity, sequence (unique and increasing per key)."""
+    events: key, kind, side, level, quantity, sequence (valid ones: unique and increasing per key)."""
     last = events.groupBy(key, "side", "level").agg(F.max_by(F.when(F.col("kind") == 3, 0).otherwise(F.col("quantity")), "sequence").alias("q"))
     live = last.where("q > 0")
     return live.groupBy(key).agg(F.max(F.when(F.col("side") == 0, F.col("level"))).alias("best_bid"), F.min(F.when(F.col("side") == 1, F.col("level"))).alias("best_ask"))
@@ -55,11 +66,15 @@ def last_n(df: DataFrame, key: str, order: str, n: int) -> DataFrame:
 
 
 class Book:
-    """State of one key: two sides of 64 levels, risk exposure and the smoothed price."""
+    """State of one key: quantities of two sides of 64 levels, what is held and reserved, the smoothed price and last spread.
 
-    def __init__(self, max_position: int, max_order: int, alpha: float = 0.125):
-        self.levels = np.zeros((2, LEVELS), np.int64)
-        self.sequence, self.exposure, self.price, self.spread = 0, 0, None, None
+    A word per side marks the levels that hold something, so the best level is its highest or lowest bit."""
+
+    def __init__(self, max_position: int, max_order: int, position: int = 0, alpha: float = 0.125):
+        self.quantities = [[0] * LEVELS, [0] * LEVELS]
+        self.live = [0, 0]
+        self.messages, self.sequence, self.position, self.reserved = 0, 0, position, 0
+        self.price, self.spread = 0.0, 0
         self.max_position, self.max_order, self.alpha = max_position, max_order, alpha
 
     def apply(self, kind: int, side: int, price: int, quantity: int, sequence: int) -> int:
@@ -67,73 +82,77 @@ class Book:
         level = price - BASE_TICK
         if kind not in (1, 2, 3) or side not in (0, 1) or not 0 <= level < LEVELS or quantity < 0 or sequence <= self.sequence:
             return -1
+        mask = 1 << level
+        held = 0 if kind == 3 else quantity
         self.sequence = sequence
-        self.levels[side, level] = 0 if kind == 3 else quantity
-        return 1 << level
+        self.quantities[side][level] = held
+        self.live[side] = self.live[side] | mask if held else self.live[side] & ~mask
+        return mask
 
-    def best(self) -> tuple[int, int]:
-        bid, ask = np.flatnonzero(self.levels[0]), np.flatnonzero(self.levels[1])
-        return (int(bid[-1]) if len(bid) else -1, int(ask[0]) if len(ask) else -1)
+    def top(self) -> tuple[int, int, int, int]:
+        """Price and quantity of the best bid and of the best ask; zeros for an empty side."""
+        bids, asks = self.live
+        bid, ask = bids.bit_length() - 1, (asks & -asks).bit_length() - 1
+        return (*((BASE_TICK + bid, self.quantities[0][bid]) if bids else (0, 0)), *((BASE_TICK + ask, self.quantities[1][ask]) if asks else (0, 0)))
 
     def admit(self, side: int, quantity: int) -> int:
         """0 accepted (and reserved), 1 too large an order, 2 too large an exposure."""
         if quantity > self.max_order:
             return 1
-        after = self.exposure + (quantity if side == 0 else -quantity)
-        if abs(after) > self.max_position:
+        after = self.reserved + (quantity if side == 0 else -quantity)
+        if abs(self.position + after) > self.max_position:
             return 2
-        self.exposure = after
+        self.reserved = after
         return 0
 
     def admit_by_mask(self, side: int, quantity: int) -> int:
         """The same without branches, for comparison."""
         large = int(quantity > self.max_order)
-        after = self.exposure + quantity * (1 - 2 * side)
-        wide = int(abs(after) > self.max_position) * (1 - large)
-        ok = 1 - (large | wide)
-        self.exposure += ok * (after - self.exposure)
+        after = self.reserved + quantity * (1 - 2 * side)
+        wide = int(abs(self.position + after) > self.max_position) * (1 - large)
+        self.reserved += (1 - (large | wide)) * (after - self.reserved)
         return large + 2 * wide
 
-    def features(self) -> tuple[float, bool]:
-        bid, ask = self.best()
-        if bid < 0 and ask < 0:
-            return (self.price if self.price is not None else 0.0, False)
-        if bid < 0 or ask < 0:
-            mid, spread = float(max(bid, ask) + BASE_TICK), 0
+    def smooth(self, bid: int, bid_quantity: int, ask: int, ask_quantity: int) -> tuple[float, int, bool]:
+        """Smoothed price, spread and whether it changed; a one-sided book is priced at its side, an empty one at 0, spread 0."""
+        if bid and ask:
+            price, spread = (ask * bid_quantity + bid * ask_quantity) / (bid_quantity + ask_quantity), ask - bid
         else:
-            qb, qa = int(self.levels[0, bid]), int(self.levels[1, ask])
-            mid, spread = ((bid + BASE_TICK) * qa + (ask + BASE_TICK) * qb) / (qa + qb), ask - bid
-        changed = self.spread is not None and spread != self.spread
-        self.price = mid if self.price is None else self.price + self.alpha * (mid - self.price)
+            price, spread = float(bid or ask), 0
+        changed = spread != self.spread
+        self.price += self.alpha * (price - self.price)
         self.spread = spread
-        return self.price, changed
+        return self.price, spread, changed
 
 
-DECISIONS = "key bigint, sequence bigint, status int, best_bid int, best_ask int, changed_mask decimal(20,0), accepted boolean, reason int, price double, spread_changed boolean, wire binary"
+DECISIONS = ("key bigint, position bigint, sequence bigint, status int, best_bid int, bid_quantity bigint, best_ask int, ask_quantity bigint, changed_mask decimal(20,0), accepted boolean, reason int, "
+             "price double, spread int, spread_changed boolean, wire binary")
+_NAMES = [field.split()[0] for field in DECISIONS.split(", ")]
 
 
-def decide(rows: pd.DataFrame, book: Book) -> pd.DataFrame:
+def decide(rows: pd.DataFrame, book: Book, masked: bool = False) -> pd.DataFrame:
+    """One decision per message of a key, in the order given. On the wire goes the number of the message, invalid ones counted."""
+    gate, pack = book.admit_by_mask if masked else book.admit, struct.Struct(">QIBBi").pack
     out = []
-    for r in rows.itertuples():
-        mask = book.apply(r.kind, r.side, r.price_ticks, r.quantity, r.sequence)
+    for key, position, kind, side, price, quantity, sequence in zip(*(rows[c].tolist() for c in ("key", "position", "kind", "side", "price_ticks", "quantity", "sequence"))):
+        book.messages += 1
+        mask = book.apply(kind, side, price, quantity, sequence)
         if mask < 0:
-            out.append((r.key, r.sequence, -2, None, None, None, False, 3, None, None, None))
+            out.append((key, position, sequence, -2, None, None, None, None, Decimal(0), False, 3, None, None, None, b""))
             continue
-        bid, ask = book.best()
-        reason = book.admit(r.side, r.quantity)
-        price, changed = book.features()
-        wire = struct.pack(">QIBBi", r.sequence, r.sequence & 0xFFFFFFFF, int(reason == 0), reason, r.quantity)
-        out.append((r.key, r.sequence, 0, bid, ask, mask, reason == 0, reason, price, changed, wire))
-    from decimal import Decimal
-
-    return pd.DataFrame([(*o[:5], None if o[5] is None else Decimal(o[5]), *o[6:]) for o in out], columns=["key", "sequence", "status", "best_bid", "best_ask", "changed_mask", "accepted", "reason", "price", "spread_changed", "wire"])
+        top = book.top()
+        reason = gate(side, quantity)
+        wire = pack(book.messages, sequence & 0xFFFFFFFF, not reason, reason, quantity)
+        out.append((key, position, sequence, 0, *top, Decimal(mask), not reason, reason, *book.smooth(*top), wire))
+    return pd.DataFrame(out, columns=_NAMES)
 
 
-def run_pipeline(events: DataFrame, max_position: int, max_order: int) -> DataFrame:
+def run_pipeline(events: DataFrame, max_position: int, max_order: int, position: int = 0, masked: bool = False) -> DataFrame:
     """events: key, position, kind, side, price_ticks, quantity, sequence -> one decision per event.
 
     An invalid event (unknown tag, side or level, negative quantity, sequence not above the last) has status -2 and
-    reason 3 and changes no state. NULL fields make an event invalid. Events of a key are taken in ``position`` order."""
+    reason 3, an empty wire, and changes no state. NULL fields make an event invalid. Events of a key are taken in ``position``
+    order; ``position`` is also what is held at the start. The ring of the last wires is ``last_n`` of the valid decisions."""
     clean = events.na.fill(-1, ["kind", "side", "price_ticks", "quantity", "sequence"])
 
     def fold(batches):
@@ -142,8 +161,8 @@ def run_pipeline(events: DataFrame, max_position: int, max_order: int) -> DataFr
         for pdf in batches:
             for k, part in pdf.groupby("key", sort=False, dropna=False):
                 if book is None or k != key:
-                    key, book = k, Book(max_position, max_order)
-                yield decide(part, book)
+                    key, book = k, Book(max_position, max_order, position)
+                yield decide(part, book, masked)
 
     return clean.repartition("key").sortWithinPartitions("key", "position").mapInPandas(fold, DECISIONS)
 

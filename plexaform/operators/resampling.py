@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 
 def draws(spark, rounds: int, picks: Column | int, population: Column | int, seed: int) -> DataFrame:
-    """round, k, pick: ``picks`` draws with replacement from 0..population-1 per round, by a fixed congruence."""
+    """round, k, pick: ``picks`` draws with replacement from 0..population-1 per round.
+
+    A draw is the leading 52 bits of the MD5 of seed, round and k, modulo the population: any engine gives the same ones."""
     grid = spark.range(rounds).select(F.col("id").alias("round")).withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), (F.lit(picks) - 1).cast("bigint"))))
-    x = (F.col("round") * 7919 + F.col("k") * 104729 + F.lit(seed)) * 48271 % 2147483647
-    return grid.withColumn("pick", (x * 16807 % 2147483647) % F.lit(population))
+    text = F.concat_ws("-", F.lit(str(seed)), F.col("round").cast("string"), F.col("k").cast("string"))
+    return grid.withColumn("pick", F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint") % F.lit(population))
 
 
 def cluster_bootstrap(samples: DataFrame, cluster: str, value: str, rounds: int, q: float, seed: int, clusters: int) -> DataFrame:

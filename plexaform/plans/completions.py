@@ -11,7 +11,6 @@ from ..operators import learning, market as mk, resampling
 from ..operators import sequences as sq
 from ..session import Scratch, load
 from ..sources import files, logs
-from .domain import _market
 from .registry import Registry
 
 R = Registry()
@@ -68,29 +67,6 @@ def boot13_minimised_failure(spark, sf_dir):
     return spark.createDataFrame([(x,) for x in resampling.minimise_failure(list(range(20)), lambda s: 3 in s and 11 in s)], "element int")
 
 
-@R.add("stream05_gates_agree", "SELECT 0::BIGINT AS different")
-def stream05_gates_agree(spark, sf_dir):
-    """Branching and branch-free risk gate over every key's orders: decisions that differ."""
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = mk.Book(500, 45), mk.Book(500, 45)
-        rows = pdf.sort_values("sequence", kind="stable")
-        return pd.DataFrame({"n": [sum(a.admit(s, q) != b.admit_by_mask(s, q) for s, q in zip(rows["side"], rows["quantity"]))]})
-    return _market(spark, sf_dir).groupBy("key").applyInPandas(run, "n bigint").agg(F.sum("n").alias("different"))
-
-
-@R.add("stream06_features")
-def stream06_features(spark, sf_dir):
-    return mk.run_pipeline(_market(spark, sf_dir), 500, 45).where("status = 0").select("key", "sequence", F.round("price", 9).alias("price"), "spread_changed")
-
-
-@R.add("stream09_final_states")
-def stream09_final_states(spark, sf_dir):
-    p = mk.run_pipeline(_market(spark, sf_dir), 500, 45)
-    return p.groupBy("key").agg(F.count(F.lit(1)).alias("events"), F.count_if(F.col("status") == 0).alias("valid"), F.count_if("accepted").alias("accepted"), F.max_by("best_bid", "sequence").alias("best_bid"), F.max_by("best_ask", "sequence").alias("best_ask"))
-
-
 @R.add("codec10_trace_round_trip", "SELECT i - 1 AS position, i % 3 + 1 AS kind, CAST(i AS DECIMAL(20,0)) AS sequence FROM range(1, 201) t(i)")
 def codec10_trace_round_trip(spark, sf_dir):
     """An adversarial trace of 200 messages is encoded, written with its header, read back and decoded."""

@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import derived
+from ..functions.cleaning import name_key
 from ..operators import datasets as ds
+from ..operators import learning
 from ..operators import plansearch as ps
 from ..operators import relations as rel
-from ..session import load
+from ..session import Scratch, load
+from .core_problems import sql_name
 from .registry import Registry
 
 R = Registry()
@@ -69,23 +72,56 @@ def data07_preferences(spark, sf_dir):
     return ds.pairwise_preferences(c, ["g"], "u").where("wins is not null").select("g", "u", "wins")
 
 
-@R.add("data09_ensemble", """SELECT c_nationkey, round(avg(c_acctbal), 6) AS mean, round(stddev_pop(c_acctbal), 6) AS spread, stddev_pop(c_acctbal) > 3000 OR count(*) < 5 OR max(c_acctbal) < 0 OR bool_or(c_mktsegment IS NULL) AS abstain FROM customer GROUP BY 1""")
-def data09_ensemble(spark, sf_dir):
-    return load(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.round(F.avg("c_acctbal"), 6).alias("mean"), F.round(F.stddev_pop("c_acctbal"), 6).alias("spread"),
-        ((F.stddev_pop("c_acctbal") > 3000) | (F.count(F.lit(1)) < 5) | (F.max("c_acctbal") < 0) | F.bool_or(F.col("c_mktsegment").isNull())).alias("abstain"))
+#: five members of a linear ensemble, as a trained model gives them: weight of size and of price
+_MEMBERS = [(0.60, 0.40), (0.50, 0.50), (0.66, 0.34), (0.58, 0.45), (0.40, 0.52)]
+_SCORED = "s AS (SELECT p_brand AS g, p_partkey AS i, p_type AS family, p_size % 11 = 0 AS baseline, CAST((p_size * 37 + p_partkey * 11) % 101 AS DOUBLE) / 101 AS u, [" + ", ".join(f"p_size / 50.0::DOUBLE * {a}::DOUBLE + p_retailprice / 2000 * {b}::DOUBLE" for a, b in _MEMBERS) + "] AS m FROM part), sc AS (SELECT g, i, family, baseline, u, list_avg(m) AS mean, list_stddev_pop(m) AS spread FROM s)"
+
+
+def _scored_parts(spark, sf_dir) -> DataFrame:
+    """g (root), i (candidate), family, baseline, u (utility), mean and population deviation of the members' scores."""
+    p = load(spark, sf_dir, "part")
+    members = [F.col("p_size") / 50.0 * a + F.col("p_retailprice") / 2000 * b for a, b in _MEMBERS]
+    mean, spread = learning.ensemble(members)
+    return p.select(F.col("p_brand").alias("g"), F.col("p_partkey").alias("i"), F.col("p_type").alias("family"), (F.col("p_size") % 11 == 0).alias("baseline"),
+                    (((F.col("p_size") * 37 + F.col("p_partkey") * 11) % 101).cast("double") / 101).alias("u"), mean.alias("mean"), spread.alias("spread"))
 
 
-@R.add("data10_shadow_report", "WITH r AS (SELECT c_nationkey AS g, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey * 31 % 97 DESC, c_custkey) AS k, c_acctbal > 9000 AS good FROM customer) SELECT g, count(*) FILTER (WHERE good AND k <= 10) AS found, count(*) FILTER (WHERE good) AS wanted FROM r GROUP BY g")
+@R.add("data09_ensemble", f"""WITH {_SCORED}, t AS (SELECT quantile_disc(spread, 0.95) AS t FROM sc WHERE i % 5 = 0), b AS (SELECT g, list_sort(list(DISTINCT family)) AS fs FROM sc GROUP BY g),
+    r AS (SELECT g, round(max(mean), 9) AS best, arg_min(i, (-round(mean, 9), i)) AS first, list_filter([CASE WHEN bool_and(spread > (SELECT t FROM t)) THEN 'ensemble uncertainty above threshold' END, CASE WHEN count(*) FILTER (WHERE baseline) = 0 THEN 'no baseline' END, CASE WHEN g NOT IN (SELECT g FROM sc WHERE i % 5 <> 0) THEN 'unseen root' END,
+      CASE WHEN count(DISTINCT family) < 3 THEN 'too few families' END], lambda x: x IS NOT NULL) AS reasons FROM sc GROUP BY g) SELECT g, best, first, array_to_string(reasons, '; ') AS reasons, len(reasons) > 0 AS abstain FROM r""")
+def data09_ensemble(spark, sf_dir):
+    """Per root the best candidate by mean score, and why a recommendation is withheld: the deviations' 95th percentile on the
+    calibration part is the threshold, and roots, families and baselines must have been seen."""
+    s = _scored_parts(spark, sf_dir)
+    threshold = s.where("i % 5 = 0").agg(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY spread)")).scalar()
+    seen = s.where("i % 5 <> 0").select(F.col("g").alias("k")).distinct()
+    r = s.groupBy("g").agg(F.round(F.max("mean"), 9).alias("best"), F.min_by("i", F.struct(-F.round("mean", 9), F.col("i"))).alias("first"), F.min("spread").alias("least"), F.count_if("baseline").alias("baselines"), F.count_distinct("family").alias("families"))
+    r = r.join(seen, F.col("g") == F.col("k"), "left")
+    reasons = F.array_compact(F.array(F.when(F.col("least") > threshold, "ensemble uncertainty above threshold"), F.when(F.col("baselines") == 0, "no baseline"), F.when(F.col("k").isNull(), "unseen root"), F.when(F.col("families") < 3, "too few families")))
+    return r.select("g", "best", "first", F.array_join(reasons, "; ").alias("reasons"), (F.size(reasons) > 0).alias("abstain"))
+
+
+@R.add("data10_shadow_report", f"""WITH {_SCORED}, r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY round(mean, 9) DESC, i) AS k, count(*) OVER (PARTITION BY g) AS n, max(baseline::INTEGER) OVER (PARTITION BY g) AS based, first_value(i) OVER (PARTITION BY g ORDER BY u DESC, i DESC) AS winner,
+      sum(baseline::INTEGER) OVER (PARTITION BY g ORDER BY round(mean, 9) DESC, i) AS nb FROM sc), q AS (SELECT *, k <= greatest(2, 1 + CAST(ceil((n - 1) * 0.1::DOUBLE) AS BIGINT)) OR (baseline AND nb = 1) AS taken FROM r WHERE n >= 2 AND based = 1),
+    x AS (SELECT g, max(n) AS n, min(k) FILTER (WHERE i = winner) AS place, count(*) FILTER (WHERE taken) AS taken, bool_or(taken AND i = winner) AS hit, max(u) - max(u) FILTER (WHERE taken) AS regret FROM q GROUP BY g)
+    SELECT count(*) AS roots, round(avg(hit::INTEGER), 9) AS recall_at_budget, round(avg((place <= 1)::INTEGER), 9) AS recall_at_1, round(avg((place <= 5)::INTEGER), 9) AS recall_at_5, round(avg((place <= greatest(1, ceil(n * 0.1::DOUBLE)))::INTEGER), 9) AS recall_at_tenth,
+      round(sum(n) / CAST(sum(taken) AS DOUBLE), 9) AS reduction, round(max(regret), 9) AS largest_regret, round(list_sort(list(regret))[1 + count(*) // 2], 9) AS median_regret FROM x""")
 def data10_shadow_report(spark, sf_dir):
-    w = Window.partitionBy("g").orderBy(F.desc("s"), "c_custkey")
-    r = load(spark, sf_dir, "customer").selectExpr("c_nationkey AS g", "c_custkey", "c_custkey * 31 % 97 AS s", "c_acctbal > 9000 AS good").withColumn("k", F.row_number().over(w))
-    return r.groupBy("g").agg(F.count_if(F.col("good") & (F.col("k") <= 10)).alias("found"), F.count_if("good").alias("wanted"))
+    """What a budget of a tenth of the candidates (two at least, and the baseline) would have found per root, against full search."""
+    return learning.shadow_report(_scored_parts(spark, sf_dir).withColumn("mean", F.round("mean", 9)), "g", "i", "mean", "u", "baseline", 0.1, 2)
+
+
+#: fixed values: families and languages of the controlled corpus
+_FAMILIES = ["stable_compaction", "wire_codec", "stateful_delta", "aos_fused_reduction", "lifetime_extension", "gpu_schedule"]
+_LANGUAGES = ["c", "cpp", "rust", "zig", "julia"]
 
 
-@R.add("data11_synthetic_corpus", "SELECT i AS root, 'project-' || (i % 7) AS project, (['c', 'cpp', 'rust'])[1 + i % 3] AS language, i % 5 = 0 AS baseline FROM range(500) t(i)")
+@R.add("data11_synthetic_corpus", f"""WITH f AS (SELECT {_FAMILIES} AS fs, {_LANGUAGES} AS ls), x AS (SELECT o AS root, fs[1 + o % 6] AS own, fs[1 + (o + 1) % 6] AS next, ls[1 + o % 5] AS language, 'synthetic-project-' || (o % 12) AS project, fs[1 + f] AS family, v AS variant, o % 2 = 0 AS wide FROM f, range(60) a(o), range(6) b(f), range(5) c(v)),
+    y AS (SELECT *, CASE WHEN family = own THEN 0.10::DOUBLE + (root % 4) * 0.025::DOUBLE + CASE WHEN variant = 1 AND wide THEN 0.05::DOUBLE WHEN variant = 1 THEN -0.02::DOUBLE WHEN variant >= 2 THEN -0.08::DOUBLE - 0.01::DOUBLE * variant ELSE 0.0::DOUBLE END WHEN family = next THEN 0.0::DOUBLE ELSE -0.04::DOUBLE - 0.01::DOUBLE * variant END AS utility FROM x)
+    SELECT root, project, language, family, variant, family = own AS applicable, round(utility, 9) AS utility, CASE WHEN family = own THEN CASE WHEN round(utility, 9) >= 0.03 THEN 'material_regional_win' ELSE 'small_win_below_floor' END WHEN family = next THEN 'compiler_identical' ELSE 'measured_regression' END AS outcome FROM y""")
 def data11_synthetic_corpus(spark, sf_dir):
-    langs = F.array(*[F.lit(x) for x in ("c", "cpp", "rust")])
-    return spark.range(500).select(F.col("id").alias("root"), F.concat(F.lit("project-"), (F.col("id") % 7).cast("string")).alias("project"), langs[(F.col("id") % 3).cast("int")].alias("language"), (F.col("id") % 5 == 0).alias("baseline"))
+    """A controlled corpus of 60 roots: every family in five variants per root, with its outcome by fixed rules."""
+    return ds.controlled_corpus(spark, 60, _FAMILIES, _LANGUAGES)
 
 
 @R.add("data12_scrub", r"""SELECT doc_id, CASE WHEN doc_kind IN ('report', 'log', 'review') THEN doc_kind ELSE 'other' END AS kind, CASE WHEN n_chars = 0 THEN 0 ELSE pow(2, floor(log2(n_chars))) END AS size_bucket, CASE WHEN project IS NULL OR length(project) > 96 OR regexp_matches(project, '[/\\]|\.[a-z]{1,4}$|[0-9a-f]{16,}') OR NOT regexp_full_match(project, '[A-Za-z0-9_.:+-]+') THEN 'other' ELSE project END AS project FROM documents""")
@@ -222,10 +258,41 @@ def plan01_frontier(spark, sf_dir):
     return rel.pareto(p, ["score", "macs"], ["queue_us"], "token").select("token", "sequence", "traversal", "policy")
 
 
-@R.add("rank13_beam", f"WITH {_EST} SELECT token, sequence, traversal, policy FROM e WHERE interactive >= 0.95 ORDER BY round(score, 9) DESC, queue_us, token || '|' || sequence || '|' || traversal || '|' || policy LIMIT 10")
+_WIDE = "SELECT * FROM e WHERE interactive >= 0.9"
+
+
+def _beam_sql(width: int, depth: int) -> str:
+    """Beam steps written out: neighbours change one setting to the next value in its list."""
+    def near(name: str, values: list) -> str:
+        lit = lambda v: f"'{v}'" if isinstance(v, str) else str(v)
+        return f"(abs(list_position([{', '.join(map(lit, values))}], a.{name}) - list_position([{', '.join(map(lit, values))}], b.{name})) = 1)"
+    names = ["token", "sequence", "traversal", "policy"]
+    one = " OR ".join("(" + near(n, _DIMS[n]) + "".join(f" AND a.{m} = b.{m}" for m in names if m != n) + ")" for n in names)
+    key = "token || '|' || sequence || '|' || traversal || '|' || policy"
+    out = f"{_EST}, w AS (SELECT *, {key} AS k FROM ({_WIDE})), b0 AS (SELECT * FROM w WHERE token = 1 AND sequence = 1 ORDER BY round(score, 9) DESC, k LIMIT {width})"
+    for d in range(1, depth + 1):
+        out += f", b{d} AS (SELECT DISTINCT b.* FROM b{d - 1} a JOIN w b ON {one} ORDER BY round(b.score, 9) DESC, b.k LIMIT {width})"
+    return f"WITH {out} " + " UNION ALL ".join(f"SELECT {d} AS step, token, sequence, traversal, policy FROM b{d}" for d in range(depth + 1))
+
+
+@R.add("rank13_beam", _beam_sql(6, 3))
 def rank13_beam(spark, sf_dir):
-    p = _plans(spark).where("interactive >= 0.95").withColumn("k", F.concat_ws("|", "token", "sequence", "traversal", "policy"))
-    return p.orderBy(F.desc(F.round("score", 9)), "queue_us", "k").limit(10).select("token", "sequence", "traversal", "policy")
+    """Beam over plans: from single-row plans on, a step changes one setting to a neighbouring value."""
+    names = ["token", "sequence", "traversal", "policy"]
+    w = _plans(spark).where("interactive >= 0.9").select(*names, F.round("score", 9).alias("score"), F.concat_ws("|", *names).alias("k"))
+    place = lambda n, c: F.array_position(F.array(*[F.lit(v) for v in _DIMS[n]]), c)
+
+    def expand(front: DataFrame) -> DataFrame:
+        a = front.select(*[F.col(n).alias(f"a_{n}") for n in names])
+        step = F.lit(False)
+        for n in names:
+            one = F.abs(place(n, F.col(f"a_{n}")) - place(n, F.col(n))) == 1
+            for m in names:
+                one = one & (F.col(f"a_{m}") == F.col(m)) if m != n else one
+            step = step | one
+        return w.join(F.broadcast(a), step, "left_semi")  # the front holds at most ``width`` rows
+
+    return ps.beam(w.where("token = 1 and sequence = 1"), expand, "score", "k", 6, 3).select("step", *names)
 
 
 _SM = {"warp": 32, "register_unit": 256, "threads": 2048, "warps": 64, "registers": 65536, "shared": 102400, "blocks": 32, "block_threads": 1024}
@@ -245,49 +312,134 @@ def plan03_occupancy(spark, sf_dir):
     return x.select("local", "unroll", "vector", "staged", o["resident"].cast("bigint").alias("resident"), F.round(o["occupancy"], 9).alias("occupancy"))
 
 
-@R.add("plan04_queue_assignment")
+_OPS = "o AS (SELECT plan, l, d, fixed, row_number() OVER (PARTITION BY plan ORDER BY l) AS k, count(*) OVER (PARTITION BY plan) AS n FROM (SELECT l_orderkey AS plan, l_linenumber AS l, sum(l_quantity) AS d, bool_or(l_returnflag = 'R') AS fixed FROM lineitem GROUP BY 1, 2))"
+_SCHEDULE = """t AS (SELECT plan, n, bits, 0::BIGINT AS k, 0.0::DOUBLE AS f0, 0.0::DOUBLE AS f1, 0.0::DOUBLE AS e1, 0.0::DOUBLE AS e2, 0.0::DOUBLE AS m FROM w
+      UNION ALL SELECT plan, n, bits, k, CASE WHEN q = 0 THEN done ELSE f0 END, CASE WHEN q = 1 THEN done ELSE f1 END, done, e1, greatest(m, done) FROM (
+        SELECT t.plan, t.n, t.bits, o.k, f0, f1, e1, m, (t.bits >> (t.n - o.k)) & 1 AS q, greatest(CASE WHEN (t.bits >> (t.n - o.k)) & 1 = 0 THEN f0 ELSE f1 END, CASE WHEN o.k >= 3 AND o.k % 2 = 1 THEN e2 ELSE 0.0 END) + o.d AS done
+        FROM t JOIN o ON o.plan = t.plan AND o.k = t.k + 1 WHERE NOT (o.fixed AND (t.bits >> (t.n - o.k)) & 1 = 1)))"""
+
+
+def _operations(spark, sf_dir) -> DataFrame:
+    """An order is a plan, its line numbers (seven at most) are operations; every odd one from the third on waits for the one before last;
+    what was returned must be computed."""
+    lines = load(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("plan"), F.col("l_linenumber").alias("l")).agg(F.sum("l_quantity").alias("d"), F.bool_or(F.col("l_returnflag") == "R").alias("fixed"), F.max("l_linestatus").alias("status"))
+    ops = lines.groupBy("plan").agg(F.array_sort(F.collect_list(F.struct("l", "d", "fixed", "status"))).alias("ops"))
+    after = F.transform("ops", lambda o, k: F.when((k >= 2) & (k % 2 == 0), F.array((k - 2).cast("int"))))
+    return ops.select("plan", F.transform("ops", lambda o: o.d).alias("durations"), after.alias("after"), F.transform("ops", lambda o: F.when(o.fixed, F.array(F.lit("compute")))).alias("allowed"),
+                      F.transform("ops", lambda o: F.array(F.when(o.status == "F", "compute").otherwise("copy"))).alias("given"))
+
+
+@R.add("plan04_queue_assignment", f"""WITH RECURSIVE {_OPS}, w AS (SELECT plan, n, unnest(range(1 << n)) AS bits FROM (SELECT DISTINCT plan, n FROM o)), {_SCHEDULE},
+    b AS (SELECT plan, n, min(round(m, 6)) AS makespan, arg_min(bits, (round(m, 6), bits)) AS bits, count(*) AS legal FROM t WHERE k = n GROUP BY plan, n) SELECT plan, makespan, legal, array_to_string(list_transform(range(1, n + 1), lambda i: CASE WHEN (bits >> (n - i)) & 1 = 0 THEN 'compute' ELSE 'copy' END), ',') AS assignment FROM b""")
 def plan04_queue_assignment(spark, sf_dir):
-    """Best of all queue assignments of six operations by makespan."""
-    import itertools
+    """Best of all allowed queue assignments of every plan's operations by makespan."""
+    return ps.best_schedules(_operations(spark, sf_dir), ["compute", "copy"]).select("plan", "assignment", F.round("makespan", 6).alias("makespan"), "legal")
+
 
-    ops = [(f"o{i}", 10.0 + 3 * i) for i in range(6)]
-    deps = {("o0", "o2"), ("o1", "o3"), ("o2", "o5")}
-    rows = [(",".join(a), ps.makespan(ops, deps, dict(zip([o for o, _ in ops], a)))) for a in itertools.product(("copy", "compute"), repeat=6)]
-    return spark.createDataFrame(rows, "assignment string, makespan double").orderBy("makespan", "assignment").limit(5)
+_GIVEN = "w AS (SELECT plan, n, CAST(sum(CASE WHEN status = 'F' THEN 0 ELSE 1 << (n - k) END) AS BIGINT) AS bits FROM (SELECT o.*, s.status FROM o JOIN (SELECT l_orderkey AS plan, l_linenumber AS l, max(l_linestatus) AS status FROM lineitem GROUP BY 1, 2) s ON s.plan = o.plan AND s.l = o.l) GROUP BY plan, n)"
 
 
-@R.add("stream14_makespan")
+@R.add("stream14_makespan", f"WITH RECURSIVE {_OPS.replace(chr(39) + 'R' + chr(39), chr(39) + chr(39))}, {_GIVEN}, {_SCHEDULE} SELECT plan, round(m, 6) AS makespan FROM t WHERE k = n")
 def stream14_makespan(spark, sf_dir):
-    return plan04_queue_assignment(spark, sf_dir).agg(F.min("makespan").alias("makespan"))
+    """Makespan of every plan on the queues its operations are given to."""
+    o = _operations(spark, sf_dir)
+    return ps.best_schedules(o.withColumn("allowed", F.col("given")), ["compute", "copy"]).select("plan", F.round("makespan", 6).alias("makespan"))
+
 
+#: rules of the search: name, factor on the cost
+_RULES = [("fuse", 0.9), ("tile", 0.95), ("vector", 0.92)]
 
-@R.add("plan05_rule_search", "WITH s AS (SELECT p_partkey AS k, p_retailprice AS c FROM part ORDER BY c, k LIMIT 20), r AS (SELECT k, f, c * CASE f WHEN 'fuse' THEN 0.9::DOUBLE WHEN 'tile' THEN 0.95::DOUBLE ELSE 1.0::DOUBLE END AS c FROM s, (VALUES ('fuse'), ('tile'), ('keep')) v(f) WHERE NOT (f = 'fuse' AND k % 2 = 1)) SELECT k, f AS rule, round(c, 9) AS cost FROM r ORDER BY c, k, f LIMIT 20")
+
+def _rules_sql(width: int, depth: int) -> str:
+    legal = "NOT contains(s.rules, r.f) AND NOT (r.f = 'fuse' AND s.k % 2 = 1) AND NOT (r.f = 'vector' AND NOT contains(s.rules, 'tile'))"
+    out = f"r AS (SELECT * FROM (VALUES {', '.join(f'({n!r}, {x}::DOUBLE)' for n, x in _RULES)}) v(f, x)), s0 AS (SELECT p_partkey AS k, '' AS rules, p_retailprice AS c FROM part ORDER BY round(-c, 6) DESC, k || ':' LIMIT {width})"
+    for d in range(1, depth + 1):
+        out += f", s{d} AS (SELECT k, rules, max(c) AS c FROM (SELECT s.k, array_to_string(list_sort(list_append(CASE WHEN s.rules = '' THEN [] ELSE string_split(s.rules, '+') END, r.f)), '+') AS rules, s.c * r.x AS c FROM s{d - 1} s JOIN r ON {legal}) GROUP BY k, rules ORDER BY round(-max(c), 6) DESC, k || ':' || rules LIMIT {width})"
+    return f"WITH {out} " + " UNION ALL ".join(f"SELECT {d} AS step, k, rules, round(c, 6) AS cost FROM s{d}" for d in range(depth + 1))
+
+
+@R.add("plan05_rule_search", _rules_sql(20, 3))
 def plan05_rule_search(spark, sf_dir):
-    """One beam step: states x rules, legality, cost factor, best twenty."""
-    s = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_retailprice").alias("c")).orderBy("c", "k").limit(20)
-    rules = F.explode(F.array(*[F.struct(F.lit(n).alias("f"), F.lit(v).alias("x")) for n, v in (("fuse", 0.9), ("tile", 0.95), ("keep", 1.0))]))
-    r = s.select("k", "c", rules.alias("r")).where(~((F.col("r.f") == "fuse") & (F.col("k") % 2 == 1))).select("k", F.col("r.f").alias("rule"), (F.col("c") * F.col("r.x")).alias("cost"))
-    return r.orderBy("cost", "k", "rule").limit(20).select("k", "rule", F.round("cost", 9).alias("cost"))
+    """Rules with cost factors over all parts: a step applies one more legal rule to a state, and the cheapest twenty go on."""
+    s = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.lit("").alias("rules"), F.col("p_retailprice").alias("c"))
+    named = lambda df: df.withColumn("score", F.round(-F.col("c"), 6)).withColumn("key", F.concat(F.col("k").cast("string"), F.lit(":"), "rules"))
+    rules = F.explode(F.array(*[F.struct(F.lit(n).alias("f"), F.lit(v).alias("x")) for n, v in _RULES]))
+
+    def expand(front: DataFrame) -> DataFrame:
+        r = front.select("k", "rules", "c", rules.alias("r"))
+        r = r.where(~F.contains("rules", F.col("r.f")) & ~((F.col("r.f") == "fuse") & (F.col("k") % 2 == 1)) & ~((F.col("r.f") == "vector") & ~F.contains("rules", F.lit("tile"))))
+        grown = F.array_join(F.array_sort(F.array_append(F.when(F.col("rules") == "", F.array().cast("array<string>")).otherwise(F.split("rules", r"\+")), F.col("r.f"))), "+")
+        return named(r.select("k", grown.alias("rules"), (F.col("c") * F.col("r.x")).alias("c")))
+
+    return ps.beam(named(s), expand, "score", "key", 20, 3).select("step", "k", "rules", F.round("c", 6).alias("cost"))
+
 
+def _trace_sql() -> str:
+    return f"x AS (SELECT node_id AS k, max(nullif(nullif(trim(parent_id), ''), '-')) AS p, max(coalesce(CASE WHEN isnan(decision_confidence) THEN NULL ELSE decision_confidence END, 0)) AS c, CAST(1 + max(coalesce(child_count, 0)) AS DOUBLE) AS w FROM lazy_trace_nodes WHERE node_id IS NOT NULL GROUP BY 1)"
 
-@R.add("plan06_best_first")
+
+def _lazy_sql(batch: int, rounds: int, budget: float) -> str:
+    out = f"{_trace_sql()}, o0 AS (SELECT k, c, w FROM x WHERE p IS NULL OR p NOT IN (SELECT k FROM x))"
+    for r in range(rounds):
+        before = f"coalesce((SELECT max(spent) FROM t{r - 1}), 0)" if r else "0"
+        place = f"coalesce((SELECT max(place) FROM t{r - 1}), 0)" if r else "0"
+        whole = f" AND (SELECT count(*) FROM t{r - 1}) = least({batch}, (SELECT count(*) FROM o{r - 1}))" if r else ""
+        out += f", t{r} AS (SELECT * FROM (SELECT k, c, w, {r} AS round, {place} + row_number() OVER v AS place, {before} + sum(w) OVER v AS spent FROM (SELECT * FROM o{r} ORDER BY c DESC, k LIMIT {batch}) WINDOW v AS (ORDER BY c DESC, k ROWS UNBOUNDED PRECEDING)) WHERE spent <= {budget}{whole})"
+        out += f", o{r + 1} AS (SELECT * FROM o{r} WHERE k NOT IN (SELECT k FROM t{r}) UNION ALL SELECT x.k, x.c, x.w FROM x JOIN t{r} ON x.p = t{r}.k)"
+    return f"WITH {out} " + " UNION ALL ".join(f"SELECT k AS state, round, place, spent FROM t{r}" for r in range(rounds))
+
+
+@R.add("plan06_best_first", _lazy_sql(40, 4, 400.0))
 def plan06_best_first(spark, sf_dir):
-    """Best-first over subsets of four actions with exact dedup by content; a budget of 12 nodes."""
-    acts = {"a": 5, "b": 3, "c": 8, "d": 1}
-    order = ps.best_first((), lambda s: [tuple(sorted({*s, x})) for x in acts if x not in s], lambda s: sum(acts[x] for x in s), lambda s: "".join(s), 12)
-    return spark.createDataFrame([(i, "".join(s)) for i, s in enumerate(order)], "step int, state string")
+    """Best-first over the trace's states by confidence, forty at a time, within 160 states and 400 units of work (one and one per child)."""
+    n = load(spark, sf_dir, "lazy_trace_nodes").where("node_id is not null")
+    parent = F.nullif(F.nullif(F.trim("parent_id"), F.lit("")), F.lit("-"))
+    x = n.groupBy(F.col("node_id").alias("k")).agg(F.max(parent).alias("p"), F.max(F.coalesce(F.when(~F.isnan("decision_confidence"), F.col("decision_confidence")), F.lit(0.0))).alias("c"), (1 + F.max(F.coalesce("child_count", F.lit(0)))).cast("double").alias("w"))
+    there = x.select(F.col("k").alias("pk"))
+    start = x.join(there, F.col("p") == F.col("pk"), "left_anti").select("k", "c", "w")
+
+    def expand(front: DataFrame) -> DataFrame:
+        return x.join(front.select(F.col("k").alias("f")), F.col("p") == F.col("f"), "left_semi").select("k", "c", "w")
+
+    return ps.best_first(start, expand, "c", "w", "k", 40, 160, 400.0).select(F.col("k").alias("state"), "round", "place", "spent")
+
 
+_ACTIONS = f"a AS (SELECT DISTINCT {sql_name('project')} AS g, action.family AS f FROM search_examples WHERE {sql_name('project')} IS NOT NULL AND action.family IS NOT NULL)"
 
-@R.add("plan07_canonical_levels", "SELECT level, count(DISTINCT key) AS states, count(*) AS sequences FROM (SELECT len(s) AS level, list_sort(s) AS key FROM (SELECT [a] AS s FROM (VALUES ('a'), ('b'), ('c')) x(a) UNION ALL SELECT [a, b] FROM (VALUES ('a'), ('b'), ('c')) x(a), (VALUES ('a'), ('b'), ('c')) y(b) WHERE a <> b)) GROUP BY level")
+
+def _actions(spark, sf_dir) -> DataFrame:
+    """g, f: the action families known in each project."""
+    e = load(spark, sf_dir, "search_examples").select(name_key(F.col("project")).alias("g"), F.col("action.family").alias("f"))
+    return e.where("g is not null and f is not null").distinct()
+
+
+@R.add("plan07_canonical_levels", f"""WITH {_ACTIONS}, n AS (SELECT g, count(*) AS n FROM a GROUP BY g), k AS (SELECT unnest([1, 2, 3]) AS step),
+    c AS (SELECT step, CASE step WHEN 1 THEN n WHEN 2 THEN n * (n - 1) ELSE n * (n - 1) // 2 * (n - 2) END AS raw, CASE step WHEN 1 THEN n WHEN 2 THEN n * (n - 1) // 2 ELSE n * (n - 1) * (n - 2) // 6 END AS fresh FROM n, k)
+    SELECT step, CAST(sum(raw) AS BIGINT) AS raw, CAST(sum(fresh) AS BIGINT) AS fresh, CAST(sum(raw) - sum(fresh) AS BIGINT) AS repeated FROM c GROUP BY step""")
 def plan07_canonical_levels(spark, sf_dir):
-    """Level-synchronous search: sequences and, by canonical form, the states they reach."""
-    one = spark.createDataFrame([("a",), ("b",), ("c",)], "x string")
-    l1 = one.select(F.array("x").alias("s"))
-    l2 = l1.select("s", F.explode(F.array(F.lit("a"), F.lit("b"), F.lit("c"))).alias("y")).where(~F.array_contains("s", F.col("y"))).select(F.array_append("s", F.col("y")).alias("s"))
-    return l1.unionByName(l2).groupBy(F.size("s").cast("bigint").alias("level")).agg(F.count_distinct(F.array_sort("s")).alias("states"), F.count(F.lit(1)).alias("sequences"))
+    """Canonical search over sets of actions of each project: successors per step, and how many are states seen before."""
+    a = _actions(spark, sf_dir)
 
+    def expand(front: DataFrame) -> DataFrame:
+        step = front.join(a.select(F.col("g").alias("ga"), "f"), F.col("g") == F.col("ga")).where(~F.array_contains("acts", F.col("f")))
+        step = step.select("g", F.array_sort(F.array_append("acts", F.col("f"))).alias("acts"), "paths")
+        return step.withColumn("key", F.concat_ws("|", "g", F.array_join("acts", "+")))
 
-R.add("plan08_exhaustive", R.sql["plan07_canonical_levels"])(plan07_canonical_levels)
+    start = a.select("g").distinct().select("g", F.array().cast("array<string>").alias("acts"), F.col("g").alias("key"))
+    return ps.canonical_search(start, expand, "key", 3)[1]
+
+
+@R.add("plan08_exhaustive", f"""WITH RECURSIVE {_ACTIONS}, s AS (SELECT DISTINCT g, CAST([] AS VARCHAR[]) AS acts, 0 AS step FROM a UNION ALL SELECT s.g, list_append(s.acts, a.f), s.step + 1 FROM s JOIN a ON a.g = s.g AND NOT list_contains(s.acts, a.f) WHERE s.step < 3)
+    SELECT g, step, count(*) AS sequences, count(DISTINCT list_sort(acts)) AS states FROM s WHERE step > 0 GROUP BY g, step""")
+def plan08_exhaustive(spark, sf_dir):
+    """Every sequence of up to three different actions of a project, unreduced: what the canonical search is compared with."""
+    a = _actions(spark, sf_dir)
+    level = a.select("g").distinct().withColumn("acts", F.array().cast("array<string>"))
+    out = None
+    for k in (1, 2, 3):
+        level = level.join(a.select(F.col("g").alias("ga"), "f"), F.col("g") == F.col("ga")).where(~F.array_contains("acts", F.col("f"))).select("g", F.array_append("acts", F.col("f")).alias("acts"))
+        out = level.withColumn("step", F.lit(k)) if out is None else out.unionByName(level.withColumn("step", F.lit(k)))
+    return out.groupBy("g", "step").agg(F.count(F.lit(1)).alias("sequences"), F.count_distinct(F.array_sort("acts")).alias("states"))
 
 
 @R.add("plan09_dominance", "SELECT a.l_orderkey AS dominated, b.l_orderkey AS dominator FROM (SELECT l_orderkey, list(DISTINCT l_returnflag || l_linestatus) AS s FROM lineitem GROUP BY 1) a JOIN (SELECT l_orderkey, list(DISTINCT l_returnflag || l_linestatus) AS s FROM lineitem GROUP BY 1) b ON b.l_orderkey = a.l_orderkey + 1 WHERE list_has_all(b.s, a.s)")
@@ -311,24 +463,68 @@ def plan11_cost_gate(spark, sf_dir):
     return load(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_size") < 5, "raw").when(F.col("p_retailprice") / F.col("p_size") > 100, "reduced").otherwise("probe").alias("mode"))
 
 
-@R.add("plan13_grammar_coverage", "WITH RECURSIVE r AS (SELECT * FROM (VALUES ('compare','mask'),('mask','count'),('count','guard'),('guard','scan'),('scan','compact'),('mask','scan')) v(a,b)), c AS (SELECT a, b FROM r UNION SELECT c.a, r.b FROM c JOIN r ON c.b = r.a) SELECT a AS rule, count(*) AS reaches FROM c GROUP BY a")
+@R.add("plan13_grammar_coverage", """WITH RECURSIVE g AS (SELECT DISTINCT graph_hash, nodes, edges FROM projection_graphs), n AS (SELECT DISTINCT graph_hash, n.id AS id, n.kind AS kind FROM (SELECT graph_hash, unnest(nodes) AS n FROM g) WHERE n.kind IS NOT NULL),
+    r AS (SELECT s.kind AS a, d.kind AS b, count(*) AS uses FROM (SELECT DISTINCT graph_hash, e.id, e.src, e.dst FROM (SELECT graph_hash, unnest(edges) AS e FROM g)) e JOIN n s ON s.graph_hash = e.graph_hash AND s.id = e.src JOIN n d ON d.graph_hash = e.graph_hash AND d.id = e.dst GROUP BY 1, 2),
+    c AS (SELECT a, b FROM r UNION SELECT c.a, r.b FROM c JOIN r ON c.b = r.a) SELECT a AS kind, max(u.uses) AS uses, count(*) AS reaches FROM c JOIN (SELECT a AS k, CAST(sum(uses) AS BIGINT) AS uses FROM r GROUP BY a) u ON u.k = c.a GROUP BY a""")
 def plan13_grammar_coverage(spark, sf_dir):
+    """The grammar in use: which kinds of node follow which, how often, and how many kinds each reaches through such rules."""
     from ..operators.graph import transitive_closure
-    r = spark.createDataFrame([("compare", "mask"), ("mask", "count"), ("count", "guard"), ("guard", "scan"), ("scan", "compact"), ("mask", "scan")], "a string, b string")
-    return transitive_closure(r, "a", "b").groupBy(F.col("a").alias("rule")).agg(F.count(F.lit(1)).alias("reaches"))
-
-
-@R.add("plan14_archetypes", "SELECT doc_id, list_filter([CASE WHEN regexp_matches(text, '(?i)queue|fence') THEN 'protocol' END, CASE WHEN regexp_matches(text, '(?i)cache|buffer') THEN 'residency' END, CASE WHEN regexp_matches(text, '(?i)proof|lemma') THEN 'proof' END], lambda x: x IS NOT NULL) AS archetypes FROM documents WHERE text IS NOT NULL")
+    p = load(spark, sf_dir, "projection_graphs")
+    n = p.select("graph_hash", F.explode("nodes").alias("n")).where("n.kind is not null").select("graph_hash", F.col("n.id").alias("id"), F.col("n.kind").alias("kind")).distinct()
+    e = p.select("graph_hash", F.explode("edges").alias("e")).select("graph_hash", F.col("e.id").alias("eid"), "e.src", "e.dst").distinct()
+    s, d = n.toDF("sg", "sid", "a"), n.toDF("dg", "did", "b")
+    r = e.join(s, (F.col("graph_hash") == F.col("sg")) & (F.col("src") == F.col("sid"))).join(d, (F.col("graph_hash") == F.col("dg")) & (F.col("dst") == F.col("did")))
+    r = Scratch(spark).keep(r.groupBy("a", "b").agg(F.count(F.lit(1)).alias("uses")))
+    reach = transitive_closure(r, "a", "b").groupBy(F.col("a").alias("kind")).agg(F.count(F.lit(1)).alias("reaches"))
+    return reach.join(r.groupBy(F.col("a").alias("k")).agg(F.sum("uses").alias("uses")), F.col("kind") == F.col("k")).drop("k")
+
+
+#: fixed values: archetypes, and the parts of words that are evidence of each
+_ARCHETYPES = {
+    "stable-partition-prefix-scatter": ["stable_partition", "partition", "prefix", "scan", "scatter", "compact"],
+    "sparse-indexed-update": ["operator[]", "index", "lookup", "patch", "delta", "dirty"],
+    "parse-validate-materialize": ["parse", "decode", "validate", "serialize", "encode", "materialize"],
+    "retained-cache-conditional-patch": ["lookup", "has_value", "insert", "erase", "swap", "assign", "load"],
+    "state-transition-coalescing": ["coalesce", "publish", "commit", "rollback", "advance", "retire", "detach"],
+    "structured-traversal-fusion": ["operator->", "getelementptr", "loop", "traverse"],
+    "realization-lifetime": ["reserve", "resize", "clear", "emplace", "push_back", "allocat", "release"],
+}
+_ARCH_SQL = "[" + ", ".join(f"{{'id': '{k}', 'evidence': list_filter({v}, lambda n: contains(t, n))}}" for k, v in _ARCHETYPES.items()) + "]"
+_ROUTE_SQL = "CASE WHEN list_contains(ids, 'state-transition-coalescing') THEN 'finite_protocol_plan_then_local_lowerer' WHEN len(ids) > 0 THEN 'architectural_realization_plan_adapter_required' ELSE 'no_supported_structured_archetype' END"
+
+
+@R.add("plan14_archetypes", f"""WITH x AS (SELECT doc_id, list_filter({_ARCH_SQL}, lambda a: len(a.evidence) > 0) AS found FROM (SELECT doc_id, lower(text) AS t FROM documents WHERE text IS NOT NULL)), y AS (SELECT doc_id, found, list_transform(found, lambda a: a.id) AS ids FROM x)
+    SELECT doc_id, array_to_string(list_transform(found, lambda a: a.id || ':' || array_to_string(a.evidence, '+') || ':' || CASE WHEN len(a.evidence) >= 2 THEN 'high' ELSE 'medium' END), ' ') AS archetypes, {_ROUTE_SQL} AS route FROM y""")
 def plan14_archetypes(spark, sf_dir):
-    t = F.col("text")
-    a = F.array_compact(F.array(F.when(t.rlike("(?i)queue|fence"), "protocol"), F.when(t.rlike("(?i)cache|buffer"), "residency"), F.when(t.rlike("(?i)proof|lemma"), "proof")))
-    return load(spark, sf_dir, "documents").where("text is not null").select("doc_id", a.alias("archetypes"))
-
-
-@R.add("plan15_contracts", r"SELECT doc_id, regexp_extract(text, 'Limit: ([0-9.]+)', 1) AS limit_value, len(regexp_extract_all(text, '0x[0-9a-f]+')) AS addresses FROM documents WHERE text IS NOT NULL")
+    """Archetypes a text gives evidence of, with the evidence and how sure it makes, and the route that follows."""
+    d = load(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.lower("text").alias("t"))
+    every = F.array(*[F.struct(F.lit(k).alias("id"), F.filter(F.array(*[F.lit(x) for x in v]), lambda n: F.contains(F.col("t"), n)).alias("evidence")) for k, v in _ARCHETYPES.items()])
+    d = d.select("doc_id", F.filter(every, lambda a: F.size(a.evidence) > 0).alias("found"))
+    ids = F.transform("found", lambda a: a.id)
+    route = F.when(F.array_contains(ids, "state-transition-coalescing"), "finite_protocol_plan_then_local_lowerer").when(F.size("found") > 0, "architectural_realization_plan_adapter_required").otherwise("no_supported_structured_archetype")
+    shown = F.transform("found", lambda a: F.concat(a.id, F.lit(":"), F.array_join(a.evidence, "+"), F.lit(":"), F.when(F.size(a.evidence) >= 2, "high").otherwise("medium")))
+    return d.select("doc_id", F.array_join(shown, " ").alias("archetypes"), route.alias("route"))
+
+
+#: fixed values: patterns of facts a text may state, in the syntax both engines share
+_FACTS = {
+    "max_elements": r"(?i)(?:limit|max|bound|capacity)[ _:=]{1,3}([0-9]{1,9})",
+    "element_bits": r"u?int(8|16|32|64)_t",
+    "byte_order": r"(?i)(big|little)[ -]endian",
+    "capacity_policy": r"(?i)(unchanged|truncat|fail)",
+    "aliasing": r"(?i)(disjoint|in-place|alias)",
+    "no_growth": r"(?i)(caller-owned|preallocated|no growth|no-growth)",
+}
+
+
+@R.add("plan15_contracts", f"""WITH x AS (SELECT doc_id, {', '.join(f"nullif(regexp_extract(text, '{p}', 1), '') AS {n}" for n, p in _FACTS.items())}, len(regexp_extract_all(text, '0x[0-9a-f]+')) AS addresses FROM documents WHERE text IS NOT NULL)
+    SELECT *, array_to_string(list_filter([{', '.join(f"CASE WHEN {n} IS NULL THEN '{n}' END" for n in _FACTS)}], lambda u: u IS NOT NULL), ' ') AS unresolved, CASE WHEN {' AND '.join(f'{n} IS NOT NULL' for n in _FACTS)} THEN 'complete' ELSE 'contract_blocked' END AS status FROM x""")
 def plan15_contracts(spark, sf_dir):
-    d = load(spark, sf_dir, "documents").where("text is not null")
-    return d.select("doc_id", F.regexp_extract("text", "Limit: ([0-9.]+)", 1).alias("limit_value"), F.size(F.regexp_extract_all("text", F.lit("(0x[0-9a-f]+)"), 1)).cast("bigint").alias("addresses"))
+    """Facts of a bounded contract that a text states, what stays unresolved, and whether the contract is complete."""
+    facts = {n: F.nullif(F.regexp_extract("text", p, 1), F.lit("")) for n, p in _FACTS.items()}
+    d = load(spark, sf_dir, "documents").where("text is not null").select("doc_id", *[c.alias(n) for n, c in facts.items()], F.size(F.regexp_extract_all("text", F.lit("(0x[0-9a-f]+)"), 1)).cast("bigint").alias("addresses"))
+    unresolved = F.array_compact(F.array(*[F.when(F.col(n).isNull(), n) for n in _FACTS]))
+    return d.select("*", F.array_join(unresolved, " ").alias("unresolved"), F.when(F.size(unresolved) == 0, "complete").otherwise("contract_blocked").alias("status"))
 
 
 @R.add("plan16_economic_decision", "SELECT p_partkey, CASE WHEN p_size % 10 = 0 THEN 'ESCALATE' WHEN p_size / 50.0::DOUBLE * 0.25::DOUBLE < 0.05 THEN 'STOP' WHEN p_retailprice < 950 THEN 'ESCALATE' ELSE 'CONTINUE' END AS decision FROM part")
@@ -337,17 +533,40 @@ def plan16_economic_decision(spark, sf_dir):
     return load(spark, sf_dir, "part").select("p_partkey", d.alias("decision"))
 
 
-_AUTH = [("network", "(?i)endpoint|socket|quote"), ("clock", "(?i)timer|timestamp|clock"), ("storage", "(?i)cache|disk|buffer")]
+#: fixed values: what leaves a local unit, in order, and the words that show it
+_AUTH = [
+    ("device_runtime", r"\b(vk[A-Z][a-z]+|cuda|hip[A-Z][a-z]+)"),
+    ("network_io", r"\b(send|recv|socket|connect|accept|poll)\b"),
+    ("filesystem_io", r"\b(open|read|write|close|fsync|mmap)\b"),
+    ("synchronization", r"\b(atomic|mutex|lock|semaphore|futex|barrier|fence)\b"),
+    ("allocation", r"\b(new|delete|malloc|free|reserve|push_back)\b"),
+    ("callback", r"\b(callback|visitor|handler)\b"),
+    ("exception_unwind", r"\b(throw|try|catch)\b"),
+    ("foreign_object_model", r"(pxr::|PyObject|objc_msgSend)"),
+    ("dynamic_dispatch", r"\b(dynamic_cast|typeid|virtual)\b"),
+]
 
 
-@R.add("plan17_authorities", "SELECT rule, CAST(sum(n) AS BIGINT) AS hits FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS rule, len(regexp_extract_all(text, '{p}')) AS n FROM documents WHERE text IS NOT NULL" for n, p in _AUTH) + ") GROUP BY rule")
+@R.add("plan17_authorities", "SELECT category, count(*) AS documents, CAST(sum(n) AS BIGINT) AS observations FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS category, len(list_distinct(regexp_extract_all(text, '{p}'))) AS n FROM documents WHERE text IS NOT NULL" for n, p in _AUTH) + ") WHERE n > 0 GROUP BY category")
 def plan17_authorities(spark, sf_dir):
+    """Per category the documents that show it and the different observations in them: one scan tries all patterns."""
     d = load(spark, sf_dir, "documents").where("text is not null")
-    sums = d.agg(*[F.sum(F.size(F.regexp_extract_all("text", F.lit(f"({p})"), 0)).cast("bigint")).alias(n) for n, p in _AUTH])
-    return sums.select(F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(n).alias("hits")) for n, _ in _AUTH])).alias("x")).select("x.*")
+    found = F.array(*[F.struct(F.lit(n).alias("category"), F.size(F.array_distinct(F.regexp_extract_all("text", F.lit(p), 0))).alias("n")) for n, p in _AUTH])
+    return d.select(F.explode(found).alias("x")).where("x.n > 0").groupBy("x.category").agg(F.count(F.lit(1)).alias("documents"), F.sum("x.n").alias("observations"))
 
 
-@R.add("stream10_batch_simulator")
-def stream10_batch_simulator(spark, sf_dir):
+def _batches(spark, sf_dir) -> DataFrame:
     o = load(spark, sf_dir, "events").selectExpr("user_id AS scenario", "event_id AS id", "CAST(event_id * 50 AS DOUBLE) AS arrival_us", "user_id % 40 + 1 AS prompt_tokens", "event_id % 6 + 1 AS generated_tokens")
     return ps.simulate_batches(o, 4, 32, 250.0, 2000.0, [(1, 900.0), (2, 1100.0), (4, 1500.0)])
+
+
+@R.add("stream10_batch_simulator")
+def stream10_batch_simulator(spark, sf_dir):
+    """When each request of each scenario gets its first and its last token."""
+    return _batches(spark, sf_dir).drop("gaps")
+
+
+@R.add("stream10_batch_figures")
+def stream10_batch_figures(spark, sf_dir):
+    """Requests, throughput, makespan, and percentiles of the time to the first token and between tokens, per scenario."""
+    return ps.batch_figures(_batches(spark, sf_dir))

@@ -195,12 +195,39 @@ def codec09_palette_index(spark, sf_dir):
 
 
 def _market(spark, sf_dir) -> DataFrame:
+    """Order events of every user, some of them invalid: unknown tags, negative quantities, sequences that fall back."""
+    i, u = F.col("event_id"), F.col("user_id")
     return load(spark, sf_dir, "events").select(
-        (F.col("user_id") % 16).alias("key"), F.col("event_id").alias("position"), F.when(F.col("event_type") == "purchase", 3).otherwise(1).alias("kind"), (F.col("user_id") % 2).cast("int").alias("side"),
-        (F.lit(mk.BASE_TICK) + F.col("user_id") % mk.LEVELS).cast("int").alias("price_ticks"), (F.floor("value") % 50).cast("int").alias("quantity"), (F.col("event_id") + 1).alias("sequence"))
+        u.alias("key"), i.alias("position"), F.when(F.col("event_type") == "purchase", 3).when(i % 17 == 0, 9).when(i % 5 == 1, 2).otherwise(1).alias("kind"), (i % 2).cast("int").alias("side"),
+        (F.lit(mk.BASE_TICK) + (u * 7 + i * 3) % mk.LEVELS).cast("int").alias("price_ticks"), F.when(i % 29 == 0, -1).otherwise(F.floor("value") % 50).cast("int").alias("quantity"), (i + F.when(i % 23 == 0, -200).otherwise(1)).alias("sequence"))
 
 
-_MK = "SELECT user_id % 16 AS key, event_id + 1 AS sequence, CASE WHEN event_type = 'purchase' THEN 3 ELSE 1 END AS kind, user_id % 2 AS side, user_id % 64 AS level, CAST(floor(value) AS BIGINT) % 50 AS quantity FROM events"
+_MK = """SELECT user_id AS key, event_id AS position, CASE WHEN event_type = 'purchase' THEN 3 WHEN event_id % 17 = 0 THEN 9 WHEN event_id % 5 = 1 THEN 2 ELSE 1 END AS kind, event_id % 2 AS side, (user_id * 7 + event_id * 3) % 64 AS level,
+    CASE WHEN event_id % 29 = 0 THEN -1 ELSE CAST(floor(value) AS BIGINT) % 50 END AS quantity, event_id + CASE WHEN event_id % 23 = 0 THEN -200 ELSE 1 END AS sequence FROM events"""
+_LIVE = f"""m AS ({_MK}), v AS (SELECT * FROM (SELECT *, max(CASE WHEN fine THEN sequence END) OVER (PARTITION BY key ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high
+    FROM (SELECT *, kind IN (1, 2, 3) AND quantity >= 0 AS fine FROM m)) WHERE fine AND sequence > coalesce(high, 0))"""
+
+
+def _fold_sql(most: int, order: int, start: int) -> str:
+    """The whole fold as a recursion over the messages of all keys at once: n (number of the message), the event's columns, ok, and
+    after it bid, ask (levels, -1 and 64 for none), their quantities, reason, price, spread, changed."""
+    at = lambda side, name: f"CASE WHEN ok AND side = {side} THEN list_transform(range(64), lambda i: CASE WHEN i = level THEN CASE WHEN kind = 3 THEN 0 ELSE quantity END ELSE {name}[i + 1] END) ELSE {name} END AS {name}"
+    carried = "key, n, position, kind, side, level, quantity, sequence, ok, last_sequence"
+    return f"""m AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY position) AS n FROM ({_MK})),
+    f AS (SELECT DISTINCT key, 0::BIGINT AS n, NULL::BIGINT AS position, 0::BIGINT AS kind, 0::BIGINT AS side, 0::BIGINT AS level, 0::BIGINT AS quantity, 0::BIGINT AS sequence, false AS ok, 0::BIGINT AS last_sequence, list_transform(range(64), lambda i: 0::BIGINT) AS bids, list_transform(range(64), lambda i: 0::BIGINT) AS asks,
+        0::BIGINT AS reserved, -1::BIGINT AS bid, 64::BIGINT AS ask, 0::BIGINT AS bq, 0::BIGINT AS aq, 3 AS reason, 0.0::DOUBLE AS price, 0::BIGINT AS spread, false AS changed FROM m
+      UNION ALL SELECT {carried}, bids, asks, CASE WHEN ok AND reason = 0 THEN reserved + signed ELSE reserved END, bid, ask, bq, aq, CASE WHEN ok THEN reason ELSE 3 END,
+        CASE WHEN ok THEN price + 0.125::DOUBLE * (mid - price) ELSE price END, CASE WHEN ok THEN gap ELSE spread END, ok AND gap <> spread FROM (
+        SELECT *, CASE WHEN bid >= 0 AND ask < 64 THEN ((100000 + ask) * bq + (100000 + bid) * aq) / CAST(bq + aq AS DOUBLE) WHEN bid >= 0 THEN 100000.0 + bid WHEN ask < 64 THEN 100000.0 + ask ELSE 0.0 END AS mid, CASE WHEN bid >= 0 AND ask < 64 THEN ask - bid ELSE 0 END AS gap,
+          CASE WHEN quantity > {order} THEN 1 WHEN abs({start} + reserved + signed) > {most} THEN 2 ELSE 0 END AS reason FROM (
+          SELECT *, CASE WHEN bid >= 0 THEN bids[bid + 1] ELSE 0 END AS bq, CASE WHEN ask < 64 THEN asks[ask + 1] ELSE 0 END AS aq FROM (
+            SELECT *, list_max(list_transform(range(64), lambda i: CASE WHEN bids[i + 1] > 0 THEN i ELSE -1 END)) AS bid, list_min(list_transform(range(64), lambda i: CASE WHEN asks[i + 1] > 0 THEN i ELSE 64 END)) AS ask, CASE WHEN side = 0 THEN quantity ELSE -quantity END AS signed FROM (
+              SELECT {carried}, {at(0, 'bids')}, {at(1, 'asks')}, reserved, price, spread FROM (
+                SELECT m.key, m.n, m.position, m.kind, m.side, m.level, m.quantity, m.sequence, m.kind IN (1, 2, 3) AND m.quantity >= 0 AND m.sequence > f.last_sequence AS ok,
+                  CASE WHEN m.kind IN (1, 2, 3) AND m.quantity >= 0 AND m.sequence > f.last_sequence THEN m.sequence ELSE f.last_sequence END AS last_sequence, f.bids, f.asks, f.reserved, f.price, f.spread FROM f JOIN m ON m.key = f.key AND m.n = f.n + 1))))))"""
+
+
+_FOLD = _fold_sql(500, 45, 60)
 
 
 @R.add("stream01_decode", "SELECT event_id, 1 AS kind, CAST(user_id % 2 AS INTEGER) AS side, CAST(100000 - user_id AS INTEGER) AS price_ticks, CAST(-(user_id % 7) AS INTEGER) AS quantity, CAST(event_id AS DECIMAL(20,0)) AS sequence FROM events")
@@ -216,15 +243,48 @@ def stream02_encode(spark, sf_dir):
     return load(spark, sf_dir, "events").select("event_id", F.hex(raw).alias("wire"))
 
 
-@R.add("stream03_book_state", f"SELECT key, max(CASE WHEN side = 0 THEN level END) AS best_bid, min(CASE WHEN side = 1 THEN level END) AS best_ask FROM (SELECT key, side, level, max_by(CASE WHEN kind = 3 THEN 0 ELSE quantity END, sequence) AS q FROM ({_MK}) GROUP BY ALL) WHERE q > 0 GROUP BY key")
+@R.add("stream03_book_state", f"WITH {_LIVE} SELECT key, max(CASE WHEN side = 0 THEN level END) AS best_bid, min(CASE WHEN side = 1 THEN level END) AS best_ask FROM (SELECT key, side, level, max_by(CASE WHEN kind = 3 THEN 0 ELSE quantity END, sequence) AS q FROM v GROUP BY ALL) WHERE q > 0 GROUP BY key")
 def stream03_book_state(spark, sf_dir):
-    m = _market(spark, sf_dir).withColumn("level", (F.col("price_ticks") - mk.BASE_TICK).cast("bigint"))
+    m = mk.valid_events(_market(spark, sf_dir), "key").withColumn("level", (F.col("price_ticks") - mk.BASE_TICK).cast("bigint"))
     return mk.book_state(m, "key")
 
 
-@R.add("stream04_pipeline")
+def _decisions(spark, sf_dir, masked: bool = False) -> DataFrame:
+    return mk.run_pipeline(_market(spark, sf_dir), 500, 45, 60, masked)
+
+
+@R.add("stream04_pipeline", f"WITH RECURSIVE {_FOLD} SELECT key, position, CASE WHEN ok THEN 0 ELSE -2 END AS status, ok AND reason = 0 AS accepted, reason FROM f WHERE n > 0")
 def stream04_pipeline(spark, sf_dir):
-    return mk.run_pipeline(_market(spark, sf_dir), 500, 45)
+    """The risk gate's decision on every message."""
+    return _decisions(spark, sf_dir).select("key", "position", "status", "accepted", "reason")
+
+
+@R.add("stream05_gates_agree", f"WITH RECURSIVE {_FOLD} SELECT key, count(*) FILTER (WHERE ok AND reason = 0) AS branching, count(*) FILTER (WHERE ok AND reason = 0) AS masked, CAST(sum(reason) AS BIGINT) AS reasons FROM f WHERE n > 0 GROUP BY key")
+def stream05_gates_agree(spark, sf_dir):
+    """Per key the orders that the branching and the branch-free gate accept, and the sum of the latter's reasons."""
+    a = _decisions(spark, sf_dir).groupBy("key").agg(F.count_if("accepted").alias("branching"))
+    b = _decisions(spark, sf_dir, True).groupBy(F.col("key").alias("k")).agg(F.count_if("accepted").alias("masked"), F.sum("reason").alias("reasons"))
+    return a.join(b, F.col("key") == F.col("k")).drop("k")
+
+
+@R.add("stream06_features", f"WITH RECURSIVE {_FOLD} SELECT key, position, round(price, 6) AS price, spread, changed AS spread_changed FROM f WHERE ok")
+def stream06_features(spark, sf_dir):
+    """Smoothed price and spread after every valid message."""
+    return _decisions(spark, sf_dir).where("status = 0").select("key", "position", F.round("price", 6).alias("price"), F.col("spread").cast("bigint").alias("spread"), "spread_changed")
+
+
+@R.add("stream09_final_states", f"""WITH RECURSIVE {_FOLD}, w AS (SELECT *, lpad(to_hex(n), 16, '0') || lpad(to_hex(sequence & 4294967295), 8, '0') || CASE WHEN reason = 0 THEN '01' ELSE '00' END || lpad(to_hex(reason), 2, '0') || lpad(to_hex(quantity), 8, '0') AS wire, row_number() OVER (PARTITION BY key ORDER BY n DESC) AS r FROM f WHERE ok),
+    t AS (SELECT key, count(*) AS messages, count(*) FILTER (WHERE ok) AS valid FROM f WHERE n > 0 GROUP BY key)
+    SELECT t.key, messages, valid, max(CASE WHEN r = 1 THEN CASE WHEN bid >= 0 THEN 100000 + bid ELSE 0 END END) AS best_bid, max(CASE WHEN r = 1 THEN CASE WHEN ask < 64 THEN 100000 + ask ELSE 0 END END) AS best_ask,
+      upper(string_agg(CASE WHEN r <= 8 THEN wire END, ' ' ORDER BY n)) AS ring FROM t LEFT JOIN w ON w.key = t.key GROUP BY t.key, messages, valid""")
+def stream09_final_states(spark, sf_dir):
+    """The whole pipeline: per key the messages, valid ones, top of the book at the end and what the ring of 8 then holds."""
+    d = _decisions(spark, sf_dir)
+    totals = d.groupBy("key").agg(F.count(F.lit(1)).alias("messages"), F.count_if(F.col("status") == 0).alias("valid"), F.max_by("best_bid", F.when(F.col("status") == 0, F.col("position"))).cast("bigint").alias("best_bid"),
+                                  F.max_by("best_ask", F.when(F.col("status") == 0, F.col("position"))).cast("bigint").alias("best_ask"))
+    last = mk.last_n(d.where("status = 0").select(F.col("key").alias("k"), "position", "wire"), "k", "position", 8)
+    ring = last.groupBy("k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", F.hex("wire").alias("h")))), lambda x: x.h), " ").alias("ring"))
+    return totals.join(ring, F.col("key") == F.col("k"), "left").drop("k")
 
 
 @R.add("stream07_decision_wire", "SELECT event_id, upper(lpad(to_hex(event_id), 16, '0') || lpad(to_hex(event_id & 4294967295), 8, '0') || '01' || '00' || lpad(to_hex(user_id % 50), 8, '0')) AS wire FROM events")

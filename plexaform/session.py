@@ -45,6 +45,10 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+_ROOTS: dict[str, list[str]] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage, outlive lost executors and give the planner true sizes."""
 
@@ -55,26 +59,33 @@ class Scratch:
         self._fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
         self._fs.deleteOnExit(path)
         self._n = 0
-        self._paths: dict[int, str] = {}
+        _ROOTS.setdefault(spark.sparkContext.applicationId, []).append(self.root)
 
     def keep(self, df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
-        """Write ``df`` once and read it back."""
+        """Write ``df`` once and read it back; the shuffle files behind it go when it is written."""
         self._n += 1
         path = f"{self.root}/{self._n}"
         writer = df.write.option("compression", "zstd")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+        before = self.spark.conf.get(_CLEANUP, "false")
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(out)] = path
         out._plexaform_path = path
         return out
 
     def drop(self, *tables: DataFrame | None) -> None:
-        """Delete tables that no later step reads, and let Spark drop the shuffle files of finished steps."""
+        """Delete tables that no later step reads."""
         for table in tables:
             path = getattr(table, "_plexaform_path", None)
             if path:
                 self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(path), True)
 
-    def release(self) -> None:
-        """Shuffle files of finished steps go once the driver's JVM has collected their handles."""
-        self.spark._jvm.System.gc()
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete every table written by ``Scratch`` in this session; results not yet read can't be read any more."""
+    for root in _ROOTS.pop(spark.sparkContext.applicationId, []):
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

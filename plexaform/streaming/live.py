@@ -7,13 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.market import DECISIONS, LEVELS, Book, decide
+from ..operators.market import DECISIONS, Book, decide
 
 
 def running_counter(stream: DataFrame, key: str, value: str) -> DataFrame:
@@ -45,16 +44,17 @@ def increasing(stream: DataFrame, key: str, sequence: str, columns: list[str]) -
 
 def live_pipeline(stream: DataFrame, max_position: int, max_order: int) -> DataFrame:
     """The order-book pipeline over a stream of key, position, kind, side, price_ticks, quantity, sequence."""
-    state_schema = "levels binary, sequence bigint, exposure bigint, price double, spread bigint"
+    state_schema = "bids array<bigint>, asks array<bigint>, messages bigint, sequence bigint, reserved bigint, price double, spread bigint"
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         book = Book(max_position, max_order)
         if state.exists:
-            levels, book.sequence, book.exposure, book.price, book.spread = state.get
-            book.levels = np.frombuffer(levels, np.int64).reshape(2, LEVELS).copy()
+            bids, asks, book.messages, book.sequence, book.reserved, book.price, book.spread = state.get
+            book.quantities = [list(bids), list(asks)]
+            book.live = [sum(1 << i for i, q in enumerate(side) if q) for side in book.quantities]
         pdf = pd.concat(list(batches), ignore_index=True).sort_values("position", kind="stable")
         out = decide(pdf, book)
-        state.update((book.levels.tobytes(), int(book.sequence), int(book.exposure), book.price, None if book.spread is None else int(book.spread)))
+        state.update((*book.quantities, book.messages, int(book.sequence), int(book.reserved), book.price, int(book.spread)))
         yield out
 
     return stream.groupBy("key").applyInPandasWithState(run, DECISIONS, state_schema, "append", GroupStateTimeout.NoTimeout)

@@ -103,19 +103,19 @@ def test_pipeline_rejects_without_effect(spark):
     df = spark.createDataFrame(rows, "key bigint, position bigint, kind int, side int, price_ticks int, quantity int, sequence bigint")
     got = sorted(run_pipeline(df, 1000, 100).collect(), key=lambda r: (r["sequence"], r["status"] != 0))
     assert [r["status"] for r in got] == [0, -2, -2, 0, -2]
-    assert got[0]["best_bid"] == 17 and int(got[0]["changed_mask"]) == 1 << 17
+    assert (got[0]["best_bid"], got[0]["bid_quantity"]) == (100017, 44) and int(got[0]["changed_mask"]) == 1 << 17
     assert run_pipeline(adversarial_trace(spark, 200), 500, 45).count() == 200
 
 
 def test_risk_gates_agree():
     rnd = random.Random(1)
     a, b = Book(1000, 10), Book(1000, 10)
-    a.exposure = b.exposure = 990
+    a.position = b.position = 990
     assert [a.admit(0, 10), a.admit(0, 1)] == [0, 2]
-    a.exposure = 990
+    a.reserved = 0
     for _ in range(500):
         side, q = rnd.randrange(2), rnd.randrange(14)
-        assert a.admit(side, q) == b.admit_by_mask(side, q) and a.exposure == b.exposure
+        assert a.admit(side, q) == b.admit_by_mask(side, q) and a.reserved == b.reserved
 
 
 def test_minimise_failure():
