@@ -8,6 +8,8 @@ these once more encoded as text.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,46 +70,93 @@ def array_rows(df: DataFrame, record: str, steps: list[tuple[str, str]], fields:
     return df.selectExpr(f"{record} AS record_key", f"inline({level(0, '', record, '')})")
 
 
-def variant_tree(df: DataFrame, record: str, top: str, key: str, again: str | None = None, keyed: bool = False) -> DataFrame:
-    """df: ``record`` and VARIANT ``top`` that holds objects -> record_key, parent_key, level, position, k, child_key, o.
-
-    ``again`` names the field through which such objects hold further ones, to any depth. With ``keyed`` an object
-    without ``key`` takes the name under which it is held as its key."""
+def _identity(key: str, keyed: bool) -> str:
     own = f"try_variant_get(c.o, '$.{key}', 'string')"
-    ident = f"coalesce({own}, c.k)" if keyed else own
+    return f"coalesce({own}, c.k)" if keyed else own
 
+
+def _unrolled(df: DataFrame, record: str, top: str, key: str, again: str | None, keyed: bool) -> Iterator[tuple[DataFrame, str]]:
+    """Tables with record_key and array columns of levels, and the SQL of all levels of such a table as one array.
+
+    Deeper objects than one expression reaches come in further tables."""
     def row(parent: str, level: str, pos: str) -> str:
-        return f"struct({parent} AS parent_key, {level} AS level, {pos} AS position, c.k AS k, {ident} AS child_key, c.o AS o)"
+        return f"struct({parent} AS parent_key, {level} AS level, {pos} AS position, c.k AS k, {_identity(key, keyed)} AS child_key, c.o AS o)"
+
+    below = members(f"try_variant_get(p.o, '$.{again}', 'variant')", key)
+    deeper = f"transform({below}, (c, i) -> {row('p.child_key', 'p.level + 1', "concat(p.position, '.', CAST(i AS STRING))")})"
+    count = LEVELS if again else 1
+    every = f"concat({', '.join(f'l{i}' for i in range(count))})"
 
     def unroll(source: DataFrame, first: str) -> DataFrame:
         out = source.withColumn("l0", F.expr(first))
-        for i in range(1, LEVELS if again else 1):
-            held = members(f"try_variant_get(p.o, '$.{again}', 'variant')", key)
-            out = out.withColumn(f"l{i}", F.expr(f"flatten(transform(l{i - 1}, p -> transform({held}, (c, i) -> {row('p.child_key', 'p.level + 1', "concat(p.position, '.', CAST(i AS STRING))")})))"))
+        for i in range(1, count):
+            out = out.withColumn(f"l{i}", F.expr(f"flatten(transform(l{i - 1}, p -> {deeper}))"))
         return out
 
-    chunk = unroll(df.selectExpr(f"{record} AS record_key", f"{top} AS v"),
-                   f"transform({members('v', key)}, (c, i) -> {row('record_key', '0', 'CAST(i AS STRING)')})")
-    cols = [f"l{i}" for i in range(LEVELS if again else 1)]
-    parts = []
+    chunk = unroll(df.selectExpr(f"{record} AS record_key", f"{top} AS v"), f"transform({members('v', key)}, (c, i) -> {row('record_key', '0', 'CAST(i AS STRING)')})")
     while True:
-        parts.append(chunk.select("record_key", F.expr(f"inline(concat({', '.join(cols)}))")))
+        yield chunk, every
         if not again:
-            break
-        last = chunk.selectExpr("record_key", f"filter({cols[-1]}, p -> size({members(f"try_variant_get(p.o, '$.{again}', 'variant')", key)}) > 0) AS l").where("size(l) > 0")
+            return
+        last = chunk.selectExpr("record_key", f"filter(l{count - 1}, p -> size({below}) > 0) AS l").where("size(l) > 0")
         if not last.limit(1).count():
-            break
-        held = members(f"try_variant_get(p.o, '$.{again}', 'variant')", key)
-        chunk = unroll(last, f"flatten(transform(l, p -> transform({held}, (c, i) -> {row('p.child_key', 'p.level + 1', "concat(p.position, '.', CAST(i AS STRING))")})))")
+            return
+        chunk = unroll(last, f"flatten(transform(l, p -> {deeper}))")
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
 
 
+def variant_tree(df: DataFrame, record: str, top: str, key: str, again: str | None = None, keyed: bool = False) -> DataFrame:
+    """df: ``record`` and VARIANT ``top`` that holds objects -> record_key, parent_key, level, position, k, child_key, o.
+
+    ``again`` names the field through which such objects hold further ones, to any depth. With ``keyed`` an object
+    without ``key`` takes the name under which it is held as its key."""
+    return _union([chunk.select("record_key", F.expr(f"inline({every})")) for chunk, every in _unrolled(df, record, top, key, again, keyed)])
+
+
+def variant_links(df: DataFrame, record: str, top: str, kind: str, key: str, inner: list[tuple[str, str, str, str]], again: str | None = None, keyed: bool = False) -> DataFrame:
+    """record_key, child_kind, parent_key, child_key of the objects below ``top`` and of those nested in them, in one pass.
+
+    The outermost objects are of ``kind``; ``inner`` lists further kinds as (kind, kind of the holder, path from the holder, key field),
+    holders first. Each text is read once: all kinds of a record become one array, and one ``inline`` emits its rows. Objects without a
+    key give no rows."""
+    parts = []
+    for chunk, every in _unrolled(df, record, top, key, again, keyed):
+        name = {kind: "a0"}
+        chunk = chunk.withColumn("a0", F.expr(every))
+        for n, (child, holder, path, field) in enumerate(inner, 1):
+            held = members(f"try_variant_get(p.o, '$.{path}', 'variant')", field)
+            chunk = chunk.withColumn(f"a{n}", F.expr(f"flatten(transform({name[holder]}, p -> transform({held}, (c, i) -> struct(p.child_key AS parent_key, {_identity(field, False)} AS child_key, c.o AS o))))"))
+            name[child] = f"a{n}"
+        rows = ", ".join(f"transform({column}, x -> struct('{k}' AS child_kind, x.parent_key AS parent_key, x.child_key AS child_key))" for k, column in name.items())
+        parts.append(chunk.select("record_key", F.expr(f"inline(filter(concat({rows}), r -> r.child_key IS NOT NULL))")))
+    return _union(parts)
+
+
+def array_links(df: DataFrame, record: str, kinds: list[tuple[str, list[tuple[str, str]]]]) -> DataFrame:
+    """record_key, child_kind, parent_key, child_key of several kinds of objects in typed arrays, in one pass.
+
+    ``kinds``: (kind, steps as in ``array_rows``). Objects without a key give no rows."""
+    arrays = []
+    for kind, steps in kinds:
+        text = f"CAST({record} AS STRING)"
+        inner = lambda parent, x, k: f"transform({x}, c -> struct('{kind}' AS child_kind, {parent} AS parent_key, c.{k} AS child_key))"  # noqa: B023, E731
+        (field, key), *rest = steps
+        if not rest:
+            arrays.append(inner(text, field, key))
+        else:
+            (deep, deep_key), = rest
+            arrays.append(f"flatten(filter(transform({field}, p -> {inner(f'p.{key}', f'p.{deep}', deep_key)}), r -> r IS NOT NULL))")
+    every = ", ".join(f"coalesce({a}, array())" for a in arrays)
+    return df.selectExpr(f"{record} AS record_key", f"inline(filter(concat({every}), r -> r.child_key IS NOT NULL))")
+
+
 def variant_children(tree: DataFrame, field: str, key: str, keyed: bool = False) -> DataFrame:
     """One row per object held under ``field`` by each row of ``tree``; the same columns as there."""
-    own = f"try_variant_get(c.o, '$.{key}', 'string')"
-    ident = f"coalesce({own}, c.k)" if keyed else own
     held = members(f"try_variant_get(o, '$.{field}', 'variant')", key)
-    return tree.selectExpr("record_key", f"inline(transform({held}, (c, i) -> struct(child_key AS parent_key, level + 1 AS level, concat(position, '/', CAST(i AS STRING)) AS position, c.k AS k, {ident} AS child_key, c.o AS o)))")
+    return tree.selectExpr("record_key", f"inline(transform({held}, (c, i) -> struct(child_key AS parent_key, level + 1 AS level, concat(position, '/', CAST(i AS STRING)) AS position, c.k AS k, {_identity(key, keyed)} AS child_key, c.o AS o)))")

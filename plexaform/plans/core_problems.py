@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.cleaning import hex_key, name_key, present
 from ..operators.hierarchy import descendants, hierarchy
 from ..operators.hotkeys import heavy_keys, keyed_states
-from ..operators.nested import array_rows, variant_children, variant_tree, whole
+from ..operators.nested import array_links, array_rows, variant_links, variant_tree, whole
 from ..session import Scratch, load
 from .registry import Registry
 
@@ -84,48 +84,39 @@ def p1_nodes_by_family(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- 4: nested records
 
 
+def _evidence_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = load(spark, sf_dir, "device_evidence").select("evidence_id", F.expr(whole("payload")).alias("v"))
+    return df.selectExpr("evidence_id", "coalesce(try_variant_get(v, '$.evidence.obligations', 'variant'), try_variant_get(v, '$.obligations', 'variant')) AS top")
+
+
 def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Obligations with those nested under ``refines``, whatever the layout of the payload."""
-    df = load(spark, sf_dir, "device_evidence").select("evidence_id", F.expr(whole("payload")).alias("v"))
-    top = df.selectExpr("evidence_id", "coalesce(try_variant_get(v, '$.evidence.obligations', 'variant'), try_variant_get(v, '$.obligations', 'variant')) AS top")
-    return variant_tree(top, "evidence_id", "top", "id", again="refines", keyed=True)
+    return variant_tree(_evidence_top(spark, sf_dir), "evidence_id", "top", "id", again="refines", keyed=True)
 
 
-def _frontiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _frontiers_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = load(spark, sf_dir, "trace_trees").select("tree_id", F.expr(whole("frontiers")).alias("v0"))
     # the text may itself be an encoded text, and the frontiers may be wrapped with their count
     df = df.selectExpr("tree_id", f"CASE WHEN try_variant_get(v0, '$', 'array<variant>') IS NULL AND try_variant_get(v0, '$', 'map<string,variant>') IS NULL THEN {whole("try_variant_get(v0, '$', 'string')")} ELSE v0 END AS v")
-    top = df.selectExpr("tree_id", "coalesce(try_variant_get(v, '$.frontiers', 'variant'), v) AS top")
-    return variant_tree(top, "tree_id", "top", "frontier_id")
-
+    return df.selectExpr("tree_id", "coalesce(try_variant_get(v, '$.frontiers', 'variant'), v) AS top")
 
-_TILE = [("edges", "id"), ("consumer_tiles", "tile_id")]
 
-
-def _links(rows: DataFrame, table: str, kind: str) -> DataFrame:
-    return rows.where("child_key IS NOT NULL AND record_key IS NOT NULL").select(
-        F.lit(table).alias("table_name"), "record_key", F.lit(kind).alias("child_kind"), "parent_key", "child_key")
+def _frontiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variant_tree(_frontiers_top(spark, sf_dir), "tree_id", "top", "frontier_id")
 
 
 @R.add("p4_found")
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    graphs = load(spark, sf_dir, "projection_graphs")
-    obligations, frontiers = _evidence(spark, sf_dir), _frontiers(spark, sf_dir)
-    options = variant_children(frontiers, "options", "action_id")
-    added = variant_children(options.withColumn("o", F.expr("try_variant_get(o, '$.delta', 'variant')")), "added", "edge_id")
-    parts = [
-        _links(array_rows(graphs, "graph_hash", [("nodes", "id")], {}), "projection_graphs", "node"),
-        _links(array_rows(graphs, "graph_hash", [("edges", "id")], {}), "projection_graphs", "edge"),
-        _links(array_rows(graphs, "graph_hash", _TILE, {}), "projection_graphs", "tile"),
-        _links(obligations, "device_evidence", "obligation"),
-        _links(variant_children(obligations, "witnesses", "witness_id"), "device_evidence", "witness"),
-        _links(frontiers, "trace_trees", "frontier"),
-        _links(options, "trace_trees", "option"),
-        _links(added, "trace_trees", "delta_edge"),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    """One pass over each table: all kinds of a record in one array, one ``inline``."""
+    parts = {
+        "projection_graphs": array_links(load(spark, sf_dir, "projection_graphs"), "graph_hash", [("node", [("nodes", "id")]), ("edge", [("edges", "id")]), ("tile", [("edges", "id"), ("consumer_tiles", "tile_id")])]),
+        "device_evidence": variant_links(_evidence_top(spark, sf_dir), "evidence_id", "top", "obligation", "id", [("witness", "obligation", "witnesses", "witness_id")], again="refines", keyed=True),
+        "trace_trees": variant_links(_frontiers_top(spark, sf_dir), "tree_id", "top", "frontier", "frontier_id", [("option", "frontier", "options", "action_id"), ("delta_edge", "option", "delta.added", "edge_id")]),
+    }
+    out = None
+    for table, rows in parts.items():
+        part = rows.where("record_key IS NOT NULL").select(F.lit(table).alias("table_name"), "record_key", "child_kind", "parent_key", "child_key")
+        out = part if out is None else out.unionByName(part)
     return out.distinct()
 
 

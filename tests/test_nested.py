@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from plexaform.operators.nested import array_rows, variant_children, variant_tree, whole
+from plexaform.operators.nested import array_links, array_rows, variant_children, variant_links, variant_tree, whole
 
 
 def tree(spark, payloads, again="refines", keyed=True):
@@ -39,3 +39,17 @@ def test_typed_arrays(spark):
     rows = array_rows(df, "k", [("es", "id"), ("ts", "tid")], {"copy": "x.tid"}).collect()
     assert sorted((r["parent_key"] or "", r["position"], r["child_key"], r["copy"]) for r in rows) == [("", "3.0", "u", "u"), ("e", "0.0", "t0", "t0"), ("e", "0.2", "t0", "t0")]
     assert array_rows(df, "k", [("es", "id")], {}).count() == 3
+
+
+def test_links_in_one_pass(spark):
+    deep = None
+    for i in range(9, 0, -1):
+        deep = [{"id": f"n{i}", "w": [{"wid": f"w{i}", "x": {"in": {"e": f"e{i}"}}}, None, {"no": 1}], **({"refines": deep} if deep else {})}]
+    df = spark.createDataFrame([("r", json.dumps({"o": deep})), ("s", None), ("t", "{")], "rec string, payload string")
+    top = df.selectExpr("rec", f"{whole('payload')} AS v").selectExpr("rec", "try_variant_get(v, '$.o', 'variant') AS top")
+    got = {tuple(r) for r in variant_links(top, "rec", "top", "node", "id", [("witness", "node", "w", "wid"), ("edge", "witness", "x.in", "e")], again="refines", keyed=True).collect()}
+    want = {("r", "node", "r" if i == 1 else f"n{i - 1}", f"n{i}") for i in range(1, 10)} | {("r", "witness", f"n{i}", f"w{i}") for i in range(1, 10)} | {("r", "edge", f"w{i}", f"e{i}") for i in range(1, 10)}
+    assert got == want
+    typed = spark.createDataFrame([("g", [("e", [("t0",), None, ("t0",)]), None, ("f", None), (None, [("u",)])], [("n",), None]), ("h", None, None), ("i", [], [])], "k string, es array<struct<id string, ts array<struct<tid string>>>>, ns array<struct<id string>>")
+    rows = sorted(tuple(r) for r in array_links(typed, "k", [("edge", [("es", "id")]), ("tile", [("es", "id"), ("ts", "tid")]), ("node", [("ns", "id")])]).collect() if r["parent_key"])
+    assert rows == [("g", "edge", "g", "e"), ("g", "edge", "g", "f"), ("g", "node", "g", "n"), ("g", "tile", "e", "t0"), ("g", "tile", "e", "t0")]
