@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .binding import bound
@@ -13,13 +13,46 @@ from .binding import bound
 Q4_BYTES, Q8_BYTES = 144, 292
 
 
+def _spans(blobs: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All bytes of a batch, and per blob its start, its length and whether it is there."""
+    blobs = blobs.cast(pa.large_binary())
+    offsets = np.frombuffer(blobs.buffers()[1], np.int64)[blobs.offset:blobs.offset + len(blobs) + 1]
+    data = blobs.buffers()[2]
+    return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), offsets[:-1], np.diff(offsets), ~np.asarray(blobs.is_null())
+
+
+def _blocks(blobs: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which blobs have exactly ``width`` bytes, and those as the rows of a matrix."""
+    data, starts, lengths, there = _spans(blobs)
+    good = there & (lengths == width)
+    return good, data[starts[good][:, None] + np.arange(width)]
+
+
+def _lists(good: np.ndarray, values: np.ndarray) -> pa.Array:
+    """A list of int per blob from the rows of a matrix; NULL where a blob is not good."""
+    offsets = np.r_[0, np.cumsum(np.where(good, values.shape[1], 0))].astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(values, np.int32).ravel()), mask=pa.array(~good))
+    return lists
+
+
+def _doubles(good: np.ndarray, values: np.ndarray) -> pa.Array:
+    out = np.zeros(len(good))
+    out[good] = values
+    return pa.array(out, mask=~good)
+
+
 def blob_bytes(raw: Column, start: int, count: int) -> Column:
     """array of ``count`` unsigned bytes from 0-based ``start``; fewer where the blob ends before, NULL for NULL.
 
-    An Arrow batch at a time: there is no built-in expression from a binary to the array of its bytes."""
-    @F.pandas_udf("array<int>")
-    def cut(blobs: pd.Series) -> pd.Series:
-        return blobs.map(lambda b: None if b is None else np.frombuffer(b, np.uint8)[start:start + count].astype(np.int32))
+    An Arrow batch at a time, on the batch's own buffer: there is no built-in expression from a binary to the array of its
+    bytes."""
+    @F.arrow_udf("array<int>")
+    def cut(blobs: pa.Array) -> pa.Array:
+        data, starts, lengths, there = _spans(blobs)
+        part = np.where(there, np.clip(lengths - start, 0, count), 0)
+        offsets = np.r_[0, np.cumsum(part)]
+        at = np.repeat(starts + start - offsets[:-1], part) + np.arange(offsets[-1])
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(data[at].astype(np.int32)), mask=pa.array(~there))
     return cut(raw)
 
 
@@ -59,12 +92,18 @@ def half_value(bits: Column) -> Column:
 
 
 def parse_q4(raw: Column) -> Column:
-    """struct d, dmin, scales, minima, quants; a block of another length is NULL."""
-    b = blob_bytes(raw, 0, 4)
-    scales, minima = scale_min(blob_bytes(raw, 4, 12))
-    return F.when(F.octet_length(raw) == Q4_BYTES, F.struct(
-        half_value(b[0].bitwiseOR(F.shiftleft(b[1], 8))).alias("d"), half_value(b[2].bitwiseOR(F.shiftleft(b[3], 8))).alias("dmin"),
-        scales.alias("scales"), minima.alias("minima"), nibbles(blob_bytes(raw, 16, 128)).alias("quants")))
+    """struct d, dmin, scales, minima, quants; a block of another length, or NULL, gives NULLs."""
+    @F.arrow_udf("d double, dmin double, scales array<int>, minima array<int>, quants array<int>")
+    def parse(blobs: pa.Array) -> pa.Array:
+        good, b = _blocks(blobs, Q4_BYTES)
+        halves = np.ascontiguousarray(b[:, :4]).view("<f2").astype(float)
+        low, high, mixed = b[:, 4:8], b[:, 8:12], b[:, 12:16]
+        scales = np.concatenate([low & 63, (mixed & 15) | (low >> 6 << 4)], 1)
+        minima = np.concatenate([high & 63, (mixed >> 4) | (high >> 6 << 4)], 1)
+        q = b[:, 16:].reshape(len(b), 4, 1, 32)
+        quants = np.concatenate([q & 15, q >> 4], 2).reshape(len(b), 256)
+        return pa.StructArray.from_arrays([_doubles(good, halves[:, 0]), _doubles(good, halves[:, 1]), _lists(good, scales), _lists(good, minima), _lists(good, quants)], ["d", "dmin", "scales", "minima", "quants"])
+    return parse(raw)
 
 
 def dequantise_q4(d: Column, dmin: Column, scales: Column, minima: Column, quants: Column) -> Column:
@@ -72,18 +111,15 @@ def dequantise_q4(d: Column, dmin: Column, scales: Column, minima: Column, quant
     return F.transform(quants, lambda q, i: d * scales[(i / 32).cast("int")] * q - dmin * minima[(i / 32).cast("int")])
 
 
-def parse_q8(df: DataFrame, raw: str) -> DataFrame:
-    """``df`` with q8: struct d, quants (256 int8), sums (16 int16); little endian. Another length gives NULL."""
-    @F.pandas_udf("d double, quants array<int>, sums array<int>")
-    def parse(blobs: pd.Series) -> pd.DataFrame:
-        rows = []
-        for b in blobs:
-            if b is None or len(b) != Q8_BYTES:
-                rows.append((None, None, None))
-            else:
-                rows.append((float(np.frombuffer(b, "<f4", 1)[0]), np.frombuffer(b, "i1", 256, 4).astype(int).tolist(), np.frombuffer(b, "<i2", 16, 260).astype(int).tolist()))
-        return pd.DataFrame(rows, columns=["d", "quants", "sums"])
-    return df.withColumn("q8", parse(F.col(raw)))
+def parse_q8(raw: Column) -> Column:
+    """struct d, quants (256 int8), sums (16 int16); little endian. Another length, or NULL, gives NULLs."""
+    @F.arrow_udf("d double, quants array<int>, sums array<int>")
+    def parse(blobs: pa.Array) -> pa.Array:
+        good, b = _blocks(blobs, Q8_BYTES)
+        d = np.ascontiguousarray(b[:, :4]).view("<f4").astype(float)[:, 0]
+        sums = np.ascontiguousarray(b[:, 260:]).view("<i2")
+        return pa.StructArray.from_arrays([_doubles(good, d), _lists(good, b[:, 4:260].view(np.int8)), _lists(good, sums)], ["d", "quants", "sums"])
+    return parse(raw)
 
 
 def dot_q4_q8(w: Column, a: Column) -> Column:

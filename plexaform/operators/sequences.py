@@ -144,12 +144,18 @@ def affine_recurrence(values: Column, keep: float, take: float, start: float = 0
     return F.aggregate(values, F.lit(start), lambda y, x: y * F.lit(keep) + x * F.lit(take))
 
 
+#: Values of a recurrence taken at once.
+BLOCK = 64
+
+
 def long_recurrence(df: DataFrame, order: list[str], value: str, keep: float, take: float, out: str, seq: list[str] | None = None) -> DataFrame:
-    """The same recurrence at every row, over sequences of any length (one, or one per ``seq``).
+    """The same recurrence at every row, over sequences of any length (one, or one per ``seq``); from a NULL or NaN on a
+    sequence is NULL.
 
     Rows are range-partitioned by (seq, order), so a long sequence spans several partitions. y is affine in the state
     before a block: each partition reports (a, b) with y_end = a * y_start + b of its last sequence, those compositions
     (one row per partition) are scanned, and every partition then runs from its start."""
+    import numpy as np
     import pandas as pd
 
     seq = seq or []
@@ -161,12 +167,25 @@ def long_recurrence(df: DataFrame, order: list[str], value: str, keep: float, ta
         pdf = pdf.sort_values([*seq, *order], kind="stable")
         return [(repr(k), g) for k, g in pdf.groupby(seq, sort=False, dropna=False)] if seq else [("", pdf)]
 
-    def fold(pdf: pd.DataFrame, y: float) -> list[float]:
-        ys = []
-        for x in pdf[value].to_numpy():
-            y = keep * y + take * x
-            ys.append(y)
-        return ys
+    # a block of values at a time: what its own values give is a product with a triangle of powers, and only the ends are chained
+    powers = keep ** np.arange(BLOCK + 1, dtype=float)
+    triangle = np.tril(powers[np.abs(np.subtract.outer(np.arange(BLOCK), np.arange(BLOCK)))]).T * take
+
+    def fold(pdf: pd.DataFrame, y: float) -> np.ndarray:
+        x = pdf[value].to_numpy(float)
+        if not np.isfinite(x).all():
+            # undefined values stay with what follows them and must not reach back in their block
+            out = np.empty(len(x))
+            for k, v in enumerate(x.tolist()):
+                out[k] = y = keep * y + take * v
+            return out
+        rows = -(-len(x) // BLOCK)
+        own = np.pad(x, (0, rows * BLOCK - len(x))).reshape(rows, BLOCK) @ triangle
+        begin = np.empty(rows)
+        for k, end in enumerate(own[:, -1].tolist()):
+            begin[k] = y
+            y = end + powers[BLOCK] * y
+        return (own + begin[:, None] * powers[1:]).ravel()[:len(x)]
 
     def ends(key, pdf):
         p = parts(pdf)
@@ -175,9 +194,10 @@ def long_recurrence(df: DataFrame, order: list[str], value: str, keep: float, ta
 
     start: dict[int, float] = {}
     at, state = None, 0.0
-    for r in sorted(ranged.groupBy("__pid").applyInPandas(ends, "pid int, first string, last string, a double, b double").collect()):
+    for r in sorted(ranged.groupBy("__pid").applyInPandas(ends, "pid int, first string, last string, a double, b double").collect(), key=lambda r: r["pid"]):
         start[r["pid"]] = state if r["first"] == at else 0.0
-        state = r["b"] + (r["a"] * start[r["pid"]] if r["first"] == r["last"] else 0.0)
+        end = float("nan") if r["b"] is None else r["b"]
+        state = end + (r["a"] * start[r["pid"]] if r["first"] == r["last"] else 0.0)
         at = r["last"]
 
     def run(key, pdf):

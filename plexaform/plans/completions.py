@@ -33,21 +33,22 @@ def map27_softmax(spark, sf_dir):
     return e.join(t, F.col("g") == F.col("h")).select("c_custkey", F.round(F.col("e") / F.col("t"), 12).alias("p"))
 
 
-@R.add("seq19_differential", "SELECT 0::BIGINT AS prefix, 0::BIGINT AS compaction")
+@R.add("seq19_differential", "SELECT count(*) AS prefix, CAST(sum(floor(value)) AS BIGINT) AS total, (SELECT count(*) FROM orders WHERE o_orderkey % 3 > 0) AS compaction FROM events")
 def seq19_differential(spark, sf_dir):
-    """Two formulations of each family must agree: rows that differ."""
+    """Two formulations of each family must agree: rows on which they do, and the sum of all values."""
     e = load(spark, sf_dir, "events").select("ts", "event_id", F.floor("value").cast("bigint").alias("v"), "value")
     a = sq.global_prefix_sum(e, ["ts", "event_id"], "v", "s").select(F.col("event_id").alias("k"), "s")
     day = e.withColumn("d", F.col("ts").cast("date"))
     totals = day.groupBy("d").agg(F.sum("v").alias("t")).withColumn("before", F.coalesce(F.sum("t").over(Window.orderBy("d").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     local = day.withColumn("l", F.sum("v").over(Window.partitionBy("d").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)))
-    b = local.join(totals.select(F.col("d").alias("d2"), "before"), F.col("d") == F.col("d2")).select("event_id", (F.col("l") + F.col("before")).alias("s2"))
-    prefix = a.join(b, F.col("k") == F.col("event_id")).agg(F.count_if(F.col("s") != F.col("s2"))).scalar()
+    b = local.join(totals.select(F.col("d").alias("d2"), "before"), F.col("d") == F.col("d2")).select("ts", "event_id", (F.col("l") + F.col("before")).alias("s2"))
+    prefix = a.join(b, F.col("k") == F.col("event_id")).agg(F.count_if(F.col("s") == F.col("s2"))).scalar()
     o = load(spark, sf_dir, "orders").selectExpr("o_orderkey AS i", "o_orderkey % 3 AS m")
     x = sq.offsets_by_mask(o, "i", F.col("m") > 0).select("i", "offset")
     y = sq.global_index(o.where("m > 0"), ["i"], "n").select(F.col("i").alias("j"), "n")
-    compaction = x.join(y, F.col("i") == F.col("j"), "full_outer").agg(F.count_if(~F.col("offset").eqNullSafe(F.col("n")))).scalar()
-    return spark.range(1).select(prefix.alias("prefix"), compaction.alias("compaction"))
+    compaction = x.join(y, F.col("i") == F.col("j"), "full_outer").agg(F.count_if(F.col("offset") == F.col("n"))).scalar()
+    total = b.agg(F.max_by("s2", F.struct("ts", "event_id"))).scalar()
+    return spark.range(1).select(prefix.alias("prefix"), total.alias("total"), compaction.alias("compaction"))
 
 
 @R.add("kern17_step_status", "SELECT event_id, CASE event_id % 5 WHEN 0 THEN -1 WHEN 1 THEN -2 ELSE 0 END AS native, CASE event_id % 5 WHEN 0 THEN -2 WHEN 1 THEN -2 ELSE 0 END AS pipeline FROM events")
@@ -62,9 +63,12 @@ def kern17_step_status(spark, sf_dir):
     return d.select("event_id", F.when(F.col("n") != 18, -1).when(~valid, -2).otherwise(0).alias("native"), F.when((F.col("n") != 18) | ~valid, -2).otherwise(0).alias("pipeline"))
 
 
-@R.add("boot13_minimised_failure", "SELECT * FROM (VALUES (3), (11)) t(element)")
+@R.add("boot13_minimised_failure", "SELECT n_name FROM nation WHERE n_regionkey = 2")
 def boot13_minimised_failure(spark, sf_dir):
-    return spark.createDataFrame([(x,) for x in resampling.minimise_failure(list(range(20)), lambda s: 3 in s and 11 in s)], "element int")
+    """A sequence that fails as long as it holds every nation of region 2 is cut down to just those."""
+    rows = [(r["n_name"], r["n_regionkey"]) for r in load(spark, sf_dir, "nation").orderBy("n_nationkey").collect()]  # one test sequence
+    needed = {x for x in rows if x[1] == 2}
+    return spark.createDataFrame([(n,) for n, _ in resampling.minimise_failure(rows, lambda s: needed <= set(s))] or [(None,)], "n_name string").where("n_name is not null")
 
 
 @R.add("codec10_trace_round_trip", "SELECT i - 1 AS position, i % 3 + 1 AS kind, CAST(i AS DECIMAL(20,0)) AS sequence FROM range(1, 201) t(i)")
@@ -72,12 +76,9 @@ def codec10_trace_round_trip(spark, sf_dir):
     """An adversarial trace of 200 messages is encoded, written with its header, read back and decoded."""
     t = mk.adversarial_trace(spark, 200)
     raw = t.select("position", mk.encode_event(F.col("kind"), F.col("side"), F.col("price_ticks"), F.col("quantity"), F.col("sequence")).alias("raw"))
-    messages = [bytes(r["raw"]) for r in raw.orderBy("position").collect()]  # the artifact is small by its definition
-    tmp = Scratch(spark)
-    header = __import__("struct").pack(files.HEADER, files.MAGIC, len(messages), 7)
-    blob = spark.createDataFrame([(bytearray(header + b"".join(messages)),)], "content binary")
-    back = files.split_binary_trace(tmp.keep(blob).withColumn("path", F.lit("memory")))
-    d = back.select("position", mk.decode_event(F.col("message")).alias("d"))
+    path = f"{Scratch(spark).root}/adversarial.trace"
+    files.write_binary_trace(spark, path, raw, "position", "raw", 7)
+    d = files.read_binary_trace(spark, path).select("position", mk.decode_event(F.col("message")).alias("d"))
     return d.select(F.col("position").cast("bigint").alias("position"), F.col("d.kind").cast("bigint").alias("kind"), "d.sequence")
 
 
@@ -125,10 +126,14 @@ def src17_sinks(spark, sf_dir):
 
 @R.add("data08_preference_model")
 def data08_preference_model(spark, sf_dir):
-    """Pairwise logistic scorer of parts within a brand, and its share of rightly ordered pairs among all held-out ones."""
+    """Ensemble of pairwise logistic scorers of parts within a brand: its share of rightly ordered pairs among all held-out ones, and
+    the calibrated thresholds on its deviation and residual."""
     p = load(spark, sf_dir, "part").selectExpr("p_brand", "p_partkey", "p_size / 50.0D AS f0", "p_retailprice / 2000.0D AS f1", "p_size * 0.6D / 50 + p_retailprice * 0.4D / 2000 AS u")
-    train = learning.preference_differences(p.where("p_partkey % 5 <> 0"), "p_brand", "p_partkey", ["f0", "f1"], "u")
-    c = learning.train_preferences(train, 2)
-    test = p.where("p_partkey % 5 = 0").withColumn("score", F.col("f0") * c[0] + F.col("f1") * c[1])
-    counted = learning.ordered_pairs(test, "p_brand", "p_partkey", "score", "u")
-    return counted.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), (F.try_divide(F.sum("ordered"), F.sum("pairs")) > 0.95).alias("ordered"))
+    train = Scratch(spark).keep(learning.preference_differences(p.where("p_partkey % 5 > 1"), "p_brand", "p_partkey", ["f0", "f1"], "u"))
+    members = learning.train_ensemble(train, 2)
+    mean, spread = learning.ensemble([F.col("f0") * a + F.col("f1") * b for a, b in members])
+    scored = p.where("p_partkey % 5 < 2").withColumn("score", mean).withColumn("spread", spread).withColumn("residual", F.abs(F.col("score") - F.col("u")))
+    counted = learning.ordered_pairs(scored.where("p_partkey % 5 = 0"), "p_brand", "p_partkey", "score", "u")
+    limits = learning.calibration(scored.where("p_partkey % 5 = 1"), "spread", "residual")
+    held = counted.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), (F.try_divide(F.sum("ordered"), F.sum("pairs")) > 0.95).alias("ordered"))
+    return held.withColumn("members", F.lit(len(members))).withColumn("uncertainty", limits.select("uncertainty").scalar()).withColumn("residual", limits.select("residual").scalar())

@@ -137,28 +137,49 @@ def codec05_nibbles(spark, sf_dir):
     return d.select("id", F.aggregate(F.transform("q", lambda v, i: (v * (i + 1)).cast("bigint")), F.lit(0).cast("bigint"), lambda a, v: a + v).alias("weighted"))
 
 
-@R.add("codec01_parse_q4")
+_NIB = "(CASE WHEN (i % 64) < 32 THEN (('0x' || hx[2*(16+(i//64)*32+i%32)+1:2*(16+(i//64)*32+i%32)+2])::BIGINT) & 15 ELSE (('0x' || hx[2*(16+(i//64)*32+i%32)+1:2*(16+(i//64)*32+i%32)+2])::BIGINT) >> 4 END)"
+_SCALES = "[" + ", ".join([f"{_HB(4 + k)} & 63" for k in range(4)] + [f"({_HB(12 + k)} & 15) | (({_HB(4 + k)} >> 6) << 4)" for k in range(4)]) + "]"
+_MINIMA = "[" + ", ".join([f"{_HB(8 + k)} & 63" for k in range(4)] + [f"({_HB(12 + k)} >> 4) | (({_HB(8 + k)} >> 6) << 4)" for k in range(4)]) + "]"
+_Q4 = f"q AS (SELECT id, {_SCALES} AS scales, {_MINIMA} AS minima, list_transform(range(0, 256), lambda i: {_NIB}) AS quants, hx FROM ({_HEXED}))"
+#: value of a 16-bit float whose bits are h
+_HALF = "CASE WHEN (h >> 10) & 31 = 31 THEN NULL ELSE CASE WHEN h & 32768 <> 0 THEN -1.0 ELSE 1.0 END * CASE WHEN (h >> 10) & 31 = 0 THEN (h & 1023) * pow(2, -24) ELSE pow(2, ((h >> 10) & 31) - 15) * (1 + (h & 1023) / 1024.0) END END::DOUBLE"
+_ACT = "a AS (SELECT o_orderkey AS id, '0000803F' || repeat(sha256(CAST(o_orderkey AS VARCHAR)), 10)[1:576] AS ax FROM orders)"
+_SIGNED = "((('0x' || ax[2*(4+i)+1:2*(4+i)+2])::BIGINT + 128) % 256 - 128)"
+_SUM16 = "(((('0x' || ax[2*(260+2*j)+3:2*(260+2*j)+4])::BIGINT << 8 | ('0x' || ax[2*(260+2*j)+1:2*(260+2*j)+2])::BIGINT) + 32768) % 65536 - 32768)"
+
+
+def _activations(spark, sf_dir):
+    """288 bytes of digest behind a scale of 1.0: blocks of 292 bytes."""
+    return _blocks(spark, sf_dir).withColumn("act", F.unhex(F.concat(F.lit("0000803F"), F.left(F.repeat("h", F.lit(10)), F.lit(576)))))
+
+
+_total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x)
+
+
+@R.add("codec01_parse_q4", f"WITH {_Q4}, b AS (SELECT *, {_HB(0)} | ({_HB(1)} << 8) AS h1, {_HB(2)} | ({_HB(3)} << 8) AS h2 FROM q) SELECT id, {_HALF.replace('h ', 'h1 ')} AS d, {_HALF.replace('h ', 'h2 ')} AS dmin, CAST(list_sum(scales) AS BIGINT) AS scales, CAST(list_sum(minima) AS BIGINT) AS minima, CAST(list_sum(quants) AS BIGINT) AS quants FROM b")
 def codec01_parse_q4(spark, sf_dir):
-    return _blocks(spark, sf_dir).select("id", qz.parse_q4(F.col("raw")).alias("b")).select("id", "b.d", "b.dmin", F.size("b.quants").alias("n"))
+    """Parsed blocks; an infinite or undefined scale is shown as NULL."""
+    d = _blocks(spark, sf_dir).select("id", qz.parse_q4(F.col("raw")).alias("b"))
+    finite = lambda c: F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c))
+    return d.select("id", finite("b.d").alias("d"), finite("b.dmin").alias("dmin"), *[_total(f"b.{c}").alias(c) for c in ("scales", "minima", "quants")])
 
 
-@R.add("codec06_dequantise")
+@R.add("codec06_dequantise", f"WITH {_Q4} SELECT id, list_sum(list_transform(range(0, 256), lambda i: 0.5::DOUBLE * scales[1 + i // 32] * quants[1 + i] - 0.25::DOUBLE * minima[1 + i // 32])) AS total FROM q")
 def codec06_dequantise(spark, sf_dir):
     d = _blocks(spark, sf_dir).select("id", qz.parse_q4(F.col("raw")).alias("b")).select("id", "b.*")
     v = qz.dequantise_q4(F.lit(0.5), F.lit(0.25), F.col("scales"), F.col("minima"), F.col("quants"))
     return d.select("id", F.aggregate(v, F.lit(0.0), lambda a, x: a + x).alias("total"))
 
 
-@R.add("codec02_parse_q8")
+@R.add("codec02_parse_q8", f"WITH {_ACT} SELECT id, 1.0::DOUBLE AS d, CAST(list_sum(list_transform(range(0, 256), lambda i: {_SIGNED})) AS BIGINT) AS total, CAST(list_sum(list_transform(range(0, 16), lambda j: {_SUM16})) AS BIGINT) AS sums FROM a")
 def codec02_parse_q8(spark, sf_dir):
-    b = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.unhex(F.concat(F.lit("0000803F"), F.left(F.repeat(F.sha2(F.col("o_orderkey").cast("string"), 256), F.lit(10)), F.lit(576)))).alias("raw"))
-    return qz.parse_q8(b, "raw").select("id", "q8.d", F.aggregate("q8.quants", F.lit(0), lambda a, x: a + x).alias("total"), F.size("q8.sums").alias("sums"))
+    return _activations(spark, sf_dir).select("id", qz.parse_q8(F.col("act")).alias("q8")).select("id", "q8.d", _total("q8.quants").alias("total"), _total("q8.sums").alias("sums"))
 
 
-@R.add("codec07_block_dot")
+@R.add("codec07_block_dot", f"""WITH {_Q4}, {_ACT}, x AS (SELECT id, scales, minima, list_transform(range(0, 256), lambda i: quants[1 + i] * {_SIGNED}) AS p, list_transform(range(0, 16), lambda j: {_SUM16}) AS s FROM q JOIN a USING (id))
+    SELECT id, 0.5::DOUBLE * list_sum(list_transform(range(0, 256), lambda i: p[1 + i] * scales[1 + i // 32])) - 0.25::DOUBLE * list_sum(list_transform(range(0, 16), lambda j: s[1 + j] * minima[1 + j // 2])) AS dot FROM x""")
 def codec07_block_dot(spark, sf_dir):
-    b = _blocks(spark, sf_dir).withColumn("act", F.unhex(F.concat(F.lit("0000803F"), F.left(F.repeat("h", F.lit(10)), F.lit(576)))))
-    b = qz.parse_q8(b.withColumn("q4", qz.parse_q4(F.col("raw"))), "act")
+    b = _activations(spark, sf_dir).select("id", qz.parse_q4(F.col("raw")).alias("q4"), qz.parse_q8(F.col("act")).alias("q8"))
     w = F.struct(F.lit(0.5).alias("d"), F.lit(0.25).alias("dmin"), F.col("q4.scales").alias("scales"), F.col("q4.minima").alias("minima"), F.col("q4.quants").alias("quants"))
     return b.withColumn("w", w).select("id", qz.dot_q4_q8(F.col("w"), F.col("q8")).alias("dot"))
 

@@ -125,24 +125,26 @@ def seq13_running_max(spark, sf_dir):
     return _events(spark, sf_dir).select("user_id", "i", sq.running_max("value", sq.running(["user_id"], ["i"])).alias("m"))
 
 
-@R.add("seq14_recurrence", """SELECT user_id, list_reduce(list_prepend(0.0::DOUBLE, list(value ORDER BY ts, event_id)), lambda y, x: y * 0.875::DOUBLE + x * 0.125::DOUBLE) AS y FROM events GROUP BY user_id""")
+@R.add("seq14_recurrence", """SELECT user_id, round(list_reduce(list_prepend(0.0::DOUBLE, list(value ORDER BY ts, event_id)), lambda y, x: y * 0.875::DOUBLE + x * 0.125::DOUBLE), 9) AS y FROM events GROUP BY user_id""")
 def seq14_recurrence(spark, sf_dir):
     e = load(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
     y = sq.long_recurrence(e, ["ts", "event_id"], "value", 0.875, 0.125, "y", ["user_id"])
-    return y.groupBy("user_id").agg(F.max_by("y", F.struct("ts", "event_id")).alias("y"))
+    return y.groupBy("user_id").agg(F.round(F.max_by("y", F.struct("ts", "event_id")), 9).alias("y"))
 
 
 @R.add("seq14_folded_recurrence", R.sql["seq14_recurrence"])
 def seq14_folded_recurrence(spark, sf_dir):
     """The same as a fold over collected arrays, for sequences known to be short."""
     e = load(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("a"))
-    return e.select("user_id", sq.affine_recurrence(F.transform("a", lambda s: s.value), 0.875, 0.125).alias("y"))
+    return e.select("user_id", F.round(sq.affine_recurrence(F.transform("a", lambda s: s.value), 0.875, 0.125), 9).alias("y"))
 
 
-@R.add("seq14_long_recurrence")
+@R.add("seq14_long_recurrence", """WITH RECURSIVE n AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS k FROM events), b AS (SELECT k, event_id, sum(value * 0.125::DOUBLE * pow(0.875::DOUBLE, -(k % 400))) OVER (PARTITION BY k // 400 ORDER BY k) * pow(0.875::DOUBLE, k % 400) AS own FROM n),
+    e AS (SELECT k // 400 AS g, max(k % 400) + 1 AS len, max_by(own, k) AS own FROM b GROUP BY 1), c AS (SELECT min(g) AS g, 0.0::DOUBLE AS y FROM e UNION ALL SELECT c.g + 1, e.own + pow(0.875::DOUBLE, CASE WHEN e.g = 0 THEN e.len - 1 ELSE e.len END) * c.y FROM c JOIN e ON e.g = c.g)
+    SELECT event_id, round(own + pow(0.875::DOUBLE, CASE WHEN k < 400 THEN k ELSE k % 400 + 1 END) * c.y, 6) AS y FROM b JOIN c ON c.g = k // 400""")
 def seq14_long_recurrence(spark, sf_dir):
     e = load(spark, sf_dir, "events").select("ts", "event_id", "value")
-    return sq.long_recurrence(e, ["ts", "event_id"], "value", 0.875, 0.125, "y").select("event_id", F.round("y", 9).alias("y"))
+    return sq.long_recurrence(e, ["ts", "event_id"], "value", 0.875, 0.125, "y").select("event_id", F.round("y", 6).alias("y"))
 
 
 @R.add("seq15_stencil3", f"WITH {EV_SQL}, n AS (SELECT *, lag(value) OVER w AS l, lead(value) OVER w AS r FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY i)) SELECT user_id, i, CASE WHEN l IS NULL OR r IS NULL THEN value ELSE l * 0.25::DOUBLE + value * 0.5::DOUBLE + r * 0.25::DOUBLE END AS y FROM n")

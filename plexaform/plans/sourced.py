@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -84,3 +86,47 @@ def src21_idempotent_store(spark, sf_dir):
 @R.add("src08_adversarial_trace", f"SELECT i % 4 AS key, i AS position, CAST(i % 3 + 1 AS INTEGER) AS kind, CAST(i % 2 AS INTEGER) AS side, CAST({mk.BASE_TICK} + (i * 37) % 64 AS INTEGER) AS price_ticks, CAST((i * 13) % 50 AS INTEGER) AS quantity, i AS sequence FROM range(1, 201) t(i)")
 def src08_adversarial_trace(spark, sf_dir):
     return mk.adversarial_trace(spark, 200)
+
+
+@R.add("src02_records", "SELECT stage, count(*) AS n, CAST(sum(target) AS BIGINT) AS target FROM search_examples GROUP BY 1")
+def src02_records(spark, sf_dir):
+    """Records written as JSON lines and read back by their schema."""
+    path = f"{Scratch(spark).root}/records"
+    files.write_json_lines(load(spark, sf_dir, "search_examples").select("example_id", "branch_id", "stage", "target"), path)
+    rows = files.read_records(spark, path, "example_id bigint, branch_id string, stage string, target int")
+    return rows.groupBy("stage").agg(F.count(F.lit(1)).alias("n"), F.sum("target").alias("target"))
+
+
+def _nation_trace(spark, sf_dir) -> tuple[str, int]:
+    path = f"{Scratch(spark).root}/nations.trace"
+    k = F.col("n_nationkey")
+    n = load(spark, sf_dir, "nation").select(k, mk.encode_event(F.lit(1), k % 2, mk.BASE_TICK + k, F.col("n_regionkey") * 10, k + 1).alias("raw"))
+    return path, files.write_binary_trace(spark, path, n, "n_nationkey", "raw", 7)
+
+
+@R.add("src06_trace_write", "SELECT 16 + 18 * count(*) AS length, '5354484654563100' || lpad(to_hex(count(*)), 8, '0') || '00000007' AS header FROM nation")
+def src06_trace_write(spark, sf_dir):
+    """Length and header of the file that is written."""
+    path, _ = _nation_trace(spark, sf_dir)
+    return spark.read.format("binaryFile").load(path).select("length", F.hex(F.substring("content", 1, 16)).alias("header"))
+
+
+@R.add("src07_trace_read", "SELECT CAST(n_nationkey AS BIGINT) AS position, n_nationkey % 2 AS side, 100000 + n_nationkey AS price_ticks, n_regionkey * 10 AS quantity, CAST(n_nationkey + 1 AS DECIMAL(20,0)) AS sequence FROM nation")
+def src07_trace_read(spark, sf_dir):
+    """The file read back and decoded, message by message."""
+    path, _ = _nation_trace(spark, sf_dir)
+    d = files.read_binary_trace(spark, path).select(F.col("position").cast("bigint").alias("position"), mk.decode_event(F.col("message")).alias("d"))
+    return d.select("position", "d.side", "d.price_ticks", "d.quantity", "d.sequence")
+
+
+@R.add("src13_manifest", "SELECT 'n' || n_nationkey AS src, 'r' || n_regionkey AS dst, r_name AS region, CAST(n_nationkey AS VARCHAR) AS weight FROM nation JOIN region ON r_regionkey = n_regionkey")
+def src13_manifest(spark, sf_dir):
+    """A graph manifest written as one file and loaded to its node and edge tables."""
+    n = [r.asDict() for r in load(spark, sf_dir, "nation").collect()]  # a manifest describes one small graph
+    r = [x.asDict() for x in load(spark, sf_dir, "region").collect()]
+    nodes = [{"id": f"n{x['n_nationkey']}", "kind": "nation"} for x in n] + [{"id": f"r{x['r_regionkey']}", "kind": "region", "name": x["r_name"]} for x in r]
+    path = f"{Scratch(spark).root}/graph.json"
+    files.write_bytes(spark, path, json.dumps({"nodes": nodes, "edges": [{"src": f"n{x['n_nationkey']}", "dst": f"r{x['n_regionkey']}", "weight": x["n_nationkey"]} for x in n]}).encode())
+    nodes, edges = files.load_manifest(spark, path)
+    named = nodes.select("id", F.col("attrs")["name"].alias("region"))
+    return edges.join(named, F.col("dst") == F.col("id")).select("src", "dst", "region", F.col("attrs")["weight"].alias("weight"))

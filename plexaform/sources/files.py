@@ -28,11 +28,24 @@ def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path, mode="FAILFAST")
 
 
-def write_binary_trace(path: str, messages: list[bytes], seed: int) -> None:
-    """One small artifact: header and messages."""
-    with open(path, "wb") as f:
-        f.write(struct.pack(HEADER, MAGIC, len(messages), seed))
-        f.writelines(messages)
+def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
+    """One small file, on whatever file system the path names."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        stream.write(bytearray(content))
+    finally:
+        stream.close()
+
+
+def write_binary_trace(spark: SparkSession, path: str, messages: DataFrame, order: str, message: str, seed: int) -> int:
+    """One artifact: header and messages in ``order``; gives their number. A trace is held by the driver once, as it is one file;
+    a message of another length is an error."""
+    rows = [bytes(r[0]) for r in messages.orderBy(order).select(message).toLocalIterator()]
+    if any(len(m) != MESSAGE_BYTES for m in rows):
+        raise ValueError(f"a message must have {MESSAGE_BYTES} bytes")
+    write_bytes(spark, path, struct.pack(HEADER, MAGIC, len(rows), seed) + b"".join(rows))
+    return len(rows)
 
 
 def read_binary_trace(spark: SparkSession, path: str) -> DataFrame:
@@ -52,8 +65,7 @@ def split_binary_trace(blobs: DataFrame) -> DataFrame:
 
 def load_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(nodes: id, kind, attrs; edges: src, dst, attrs) of a JSON or, where a YAML reader is installed, YAML manifest."""
-    with open(path, encoding="utf-8") as f:
-        text = f.read()
+    text = spark.read.text(path, wholetext=True).first()[0]
     try:
         data = json.loads(text)
     except ValueError:

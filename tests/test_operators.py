@@ -186,3 +186,47 @@ def test_capped_negatives_of_a_large_group(spark, tmp_path):
     df = entry.queries()["data18_capped_negatives"](spark, str(tmp_path))
     assert {r[0] for r in df.collect()} == want
     assert df._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") >= 2
+
+
+def test_blocks_of_any_length(spark):
+    """Blocks of a wrong length, empty ones and NULLs give NULLs; the others what their bytes say."""
+    import struct
+
+    from plexaform.functions import quantised as qz
+
+    rnd = random.Random(2)
+    q4 = [bytes(rnd.randrange(256) for _ in range(144)) for _ in range(5)]
+    q8 = [struct.pack("<f", 0.5 * i) + bytes(rnd.randrange(256) for _ in range(288)) for i in range(5)]
+    rows = [(0, None, None), (1, b"", b""), (2, q4[0][:-1], q8[0] + b"x"), *[(3 + i, a, b) for i, (a, b) in enumerate(zip(q4, q8))], (9, None, q8[1])]
+    df = spark.createDataFrame([(i, a and bytearray(a) if a is not None else None, b and bytearray(b) if b is not None else None) for i, a, b in rows], "i int, a binary, b binary").repartition(2)
+    got = {r["i"]: r for r in df.select("i", qz.parse_q4(F.col("a")).alias("w"), qz.parse_q8(F.col("b")).alias("x"), qz.blob_bytes(F.col("a"), 140, 6).alias("tail")).collect()}
+    for i, a, b in rows:
+        r = got[i]
+        assert r["tail"] == (None if a is None else list(a[140:146]))
+        if a is None or len(a) != 144:
+            assert r["w"]["quants"] is None and r["w"]["d"] is None and r["w"]["scales"] is None
+        else:
+            assert r["w"]["quants"] == [v for g in range(4) for part in (0, 4) for v in ((x >> part) & 15 for x in a[16 + 32 * g:48 + 32 * g])]
+            d = struct.unpack("<e", a[:2])[0]
+            assert r["w"]["d"] == d or d != d
+            s = a[4:16]
+            assert r["w"]["scales"] == [s[k] & 63 for k in range(4)] + [(s[8 + k] & 15) | (s[k] >> 6) << 4 for k in range(4)]
+            assert r["w"]["minima"] == [s[4 + k] & 63 for k in range(4)] + [(s[8 + k] >> 4) | (s[4 + k] >> 6) << 4 for k in range(4)]
+        if b is None or len(b) != 292:
+            assert r["x"]["quants"] is None
+        else:
+            assert r["x"]["d"] == struct.unpack("<f", b[:4])[0] and r["x"]["quants"] == list(struct.unpack("256b", b[4:260])) and r["x"]["sums"] == list(struct.unpack("<16h", b[260:]))
+
+
+def test_recurrence_blocks(spark):
+    """Block by block the recurrence gives what a plain loop gives; an undefined value stays undefined from there on."""
+    rnd = random.Random(6)
+    rows = [(k, i, rnd.gauss(0, 10)) for k in range(3) for i in range(200)]
+    rows[450] = (2, 50, float("nan"))
+    df = spark.createDataFrame(rows, "k int, i int, v double")
+    got = {(r["k"], r["i"]): r["y"] for r in sq.long_recurrence(df, ["i"], "v", 0.875, 0.125, "y", ["k"]).collect()}
+    for k in range(3):
+        y = 0.0
+        for kk, i, v in [r for r in rows if r[0] == k]:
+            y = 0.875 * y + 0.125 * v
+            assert got[k, i] == (None if y != y else pytest.approx(y, abs=1e-9))

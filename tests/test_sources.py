@@ -11,7 +11,10 @@ from plexaform.streaming import live
 
 def test_binary_trace(spark, tmp_path):
     messages = [bytes([i] * 18) for i in range(5)]
-    files.write_binary_trace(str(tmp_path / "t.bin"), messages, 7)
+    df = spark.createDataFrame([(i, bytearray(m)) for i, m in enumerate(messages)], "i int, m binary")
+    assert files.write_binary_trace(spark, str(tmp_path / "t.bin"), df, "i", "m", 7) == 5
+    with pytest.raises(ValueError):
+        files.write_binary_trace(spark, str(tmp_path / "s.bin"), spark.createDataFrame([(1, bytearray(b"short"))], "i int, m binary"), "i", "m", 7)
     got = files.read_binary_trace(spark, str(tmp_path / "t.bin")).orderBy("position").collect()
     assert [bytes(r["message"]) for r in got] == messages
     (tmp_path / "bad.bin").write_bytes((tmp_path / "t.bin").read_bytes() + b"x")
