@@ -208,7 +208,7 @@ def long_recurrence(df: DataFrame, order: list[str], value: str, keep: float, ta
             out_parts.append(g)
         return pd.concat(out_parts)[[*names, out]]
 
-    schema = ranged.select(*names).withColumn(out, F.lit(0.0)).schema
+    schema = ranged.select(*names).withColumn(out, F.lit(None).cast("double")).schema
     return ranged.groupBy("__pid").applyInPandas(run, schema)
 
 
