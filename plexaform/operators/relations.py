@@ -80,20 +80,23 @@ def latest_at_or_before(left: DataFrame, group: list[str], at: str, right: DataF
     return rows.select(*[F.col(c) for c in left.columns if c != out], found.alias(out))
 
 
-def nearest_sets(queries: DataFrame, qid: str, qset: str, base: DataFrame, bset: str) -> DataFrame:
+def nearest_sets(queries: DataFrame, qid: str, qset: str, base: DataFrame, bset: str, within: bool = False) -> DataFrame:
     """qid, distance: smallest Jaccard distance of each query's token set to any base set (1.0 where none shares a token).
 
     An inverted index on tokens finds the base sets that share one; sizes give the union, so sets are never compared
-    outright and queries without a shared token take the default."""
+    outright and queries without a shared token take the default. Equal base sets are one with their number. ``within``: the
+    queries are rows of the base, and a set that only the query itself has is not compared with it."""
     from ..session import Scratch
 
     tmp = Scratch(queries.sparkSession)
-    sets = base.select(F.array_sort(F.array_distinct(bset)).alias("s")).where("size(s) > 0").distinct()
-    sets = tmp.keep(sets.withColumn("b", F.xxhash64("s")))
+    sets = base.select(F.array_sort(F.array_distinct(bset)).alias("s")).where("size(s) > 0").groupBy("s").agg(F.count(F.lit(1)).alias("held"))
+    sets = tmp.keep(sets.withColumn("b", F.monotonically_increasing_id()))
     q = tmp.keep(queries.select(F.col(qid).alias("q"), F.array_distinct(qset).alias("s")))
-    bt = sets.select("b", F.size("s").alias("nb"), F.explode("s").alias("t"))
+    bt = sets.select("b", "held", F.size("s").alias("nb"), F.explode("s").alias("t"))
     qt = q.select("q", F.size("s").alias("nq"), F.explode("s").alias("u"))
-    shared = qt.join(bt, F.col("t") == F.col("u")).groupBy("q", "b").agg(F.count(F.lit(1)).alias("c"), F.first("nq").alias("nq"), F.first("nb").alias("nb"))
+    shared = qt.join(bt, F.col("t") == F.col("u")).groupBy("q", "b").agg(F.count(F.lit(1)).alias("c"), F.first("nq").alias("nq"), F.first("nb").alias("nb"), F.first("held").alias("held"))
+    if within:
+        shared = shared.where(~((F.col("c") == F.col("nq")) & (F.col("c") == F.col("nb")) & (F.col("held") == 1)))
     best = shared.groupBy("q").agg(F.min(1.0 - F.col("c") / (F.col("nq") + F.col("nb") - F.col("c"))).alias("d"))
     return q.select(F.col("q").alias(qid)).join(best, F.col(qid) == F.col("q"), "left").select(qid, F.coalesce("d", F.lit(1.0)).alias("distance"))
 

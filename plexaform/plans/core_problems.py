@@ -182,7 +182,12 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.selectExpr(_KIND_OF, "substr(node, 2) AS node_key", "substr(root, 2) AS root_key", "depth")
 
 
-@R.add("p5_hierarchy")
+@R.add("p5_hierarchy", f"""WITH RECURSIVE {_FOREST_SQL},
+    pt AS (SELECT record_kind, v, [left(record_kind, 1) || v] AS way FROM links l WHERE p IS NULL OR NOT EXISTS (SELECT 1 FROM links x WHERE x.record_kind = l.record_kind AND x.v = l.p)
+      UNION ALL SELECT l.record_kind, l.v, list_append(pt.way, left(l.record_kind, 1) || l.v) FROM pt JOIN links l ON l.record_kind = pt.record_kind AND l.p = pt.v),
+    o AS (SELECT *, row_number() OVER (ORDER BY way) - 1 AS first FROM pt), n AS (SELECT a, count(*) - 1 AS below FROM (SELECT unnest(way) AS a FROM pt) GROUP BY a)
+    SELECT f.record_kind, f.node_key, f.root_key, f.depth, n.below AS descendants, o.first, o.first + n.below AS last, array_to_string(list_transform(o.way, lambda x: substr(x, 2)), '/') AS path
+    FROM found f LEFT JOIN o ON o.record_kind = f.record_kind AND o.v = f.node_key LEFT JOIN n ON n.a = left(f.record_kind, 1) || f.node_key""")
 def p5_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Path, depth, root, number of descendants and nested-set range of every record."""
     rows = hierarchy(_linked(spark, sf_dir), "v", "p", paths=True)

@@ -123,7 +123,10 @@ def map36_safe_token(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", derived.safe_token(F.col("source"), "other").alias("token"))
 
 
-@R.add("map37_pseudonym")
+_PAD = [bytes(k ^ mask for k in b"test-key".ljust(64, b"\0")).hex() for mask in (0x36, 0x5C)]
+
+
+@R.add("map37_pseudonym", f"SELECT c_custkey, c_name, sha256(unhex('{_PAD[1]}') || unhex(sha256(unhex('{_PAD[0]}') || encode('customer') || unhex('00') || encode(c_name)))) AS pseudonym FROM customer")
 def map37_pseudonym(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived.pseudonyms(load(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_name", "customer", b"test-key", "pseudonym")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import relations as rel
+from ..operators.prefix import bucketed_prefix_sum, group_buckets
 from ..session import load
 from .registry import Registry
 
@@ -79,12 +80,12 @@ def join08_hazards(spark, sf_dir):
 _TOK = "list_distinct(string_split(lower({c}), ' '))"
 
 
-@R.add("join09_nearest_signature", """WITH q AS (SELECT p_partkey, list_distinct(string_split(lower(p_name || ' ' || p_type), ' ')) AS s FROM part WHERE p_partkey % 100 = 0), b AS (SELECT DISTINCT list_sort(list_distinct(string_split(lower(p_name || ' ' || p_type), ' '))) AS s FROM part WHERE p_partkey % 100 <> 0)
-    SELECT p_partkey, coalesce(min(1 - len(list_intersect(q.s, b.s)) / CAST(len(list_distinct(list_concat(q.s, b.s))) AS DOUBLE)), 1.0) AS distance FROM q CROSS JOIN b GROUP BY p_partkey""")
+@R.add("join09_nearest_signature", """WITH x AS (SELECT p_partkey, list_sort(list_distinct(string_split(lower(p_name || ' ' || p_type), ' '))) AS s FROM part), q AS (SELECT * FROM x WHERE p_partkey % 100 = 0), b AS (SELECT s, count(*) AS n FROM x GROUP BY s)
+    SELECT p_partkey, coalesce(min(1 - len(list_intersect(q.s, b.s)) / CAST(len(list_distinct(list_concat(q.s, b.s))) AS DOUBLE)) FILTER (WHERE q.s <> b.s OR b.n > 1), 1.0) AS distance FROM q CROSS JOIN b GROUP BY p_partkey""")
 def join09_nearest_signature(spark, sf_dir):
-    """Queries are the parts whose key is divisible by 100, against all others."""
+    """Queries are the parts whose key is divisible by 100, against all parts but the query itself."""
     p = load(spark, sf_dir, "part").select("p_partkey", F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " ").alias("s"))
-    return rel.nearest_sets(p.where("p_partkey % 100 = 0"), "p_partkey", "s", p.where("p_partkey % 100 <> 0"), "s")
+    return rel.nearest_sets(p.where("p_partkey % 100 = 0"), "p_partkey", "s", p, "s", within=True)
 
 
 @R.add("join10_symbol_resolution", """WITH d AS (SELECT p_brand AS symbol, count(DISTINCT p_size % 3) AS n FROM part WHERE p_size < 3 GROUP BY 1), r AS (SELECT DISTINCT p_brand AS symbol FROM part)
@@ -94,9 +95,15 @@ def join10_symbol_resolution(spark, sf_dir):
     return rel.resolution(p, "symbol", p.where("p_size < 3"), "unit")
 
 
-@R.add("join11_inverted_index", "SELECT p_brand AS symbol, list_sort(list(DISTINCT p_size)) AS units FROM part GROUP BY 1")
+@R.add("join11_inverted_index", "SELECT p_brand AS symbol, p_size AS unit, row_number() OVER (PARTITION BY p_brand ORDER BY p_size) AS place, count(*) AS hits FROM part GROUP BY p_brand, p_size")
 def join11_inverted_index(spark, sf_dir):
-    return load(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("symbol")).agg(F.array_sort(F.collect_set("p_size")).alias("units"))
+    """Postings: one row per symbol and unit with its place, so a symbol found everywhere is no array of its own."""
+    postings = load(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("symbol"), F.col("p_size").alias("unit")).agg(F.count(F.lit(1)).alias("hits"))
+    most = postings.groupBy("symbol").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    one = postings.withColumn("one", F.lit(1))
+    if group_buckets(most) > 1:
+        return bucketed_prefix_sum(one, ["symbol"], "unit", "one", "before", group_buckets(most)).select("symbol", "unit", (F.col("before") + 1).alias("place"), "hits")
+    return one.select("symbol", "unit", F.row_number().over(Window.partitionBy("symbol").orderBy("unit")).cast("bigint").alias("place"), "hits")
 
 
 _LANES = "t AS (SELECT n_nationkey AS g, l AS lane, 10.0::DOUBLE + l * 3 + n_nationkey AS us FROM nation, (VALUES (2), (4), (8), (16)) v(l))"

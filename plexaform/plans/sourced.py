@@ -62,7 +62,10 @@ def src18_dot_text(spark, sf_dir):
     return files.dot_text(n, "n_nationkey", "n_name", n, "n_nationkey", "n_regionkey")
 
 
-@R.add("src19_learning_lines")
+_FIELD = "CASE WHEN {0} IS NULL THEN NULL ELSE '\"{0}\":' || {1} END"
+
+
+@R.add("src19_learning_lines", "SELECT '{' || array_to_string(list_filter([" + ", ".join(_FIELD.format(c, v) for c, v in (("example_id", "example_id"), ("branch_id", "to_json(branch_id)"), ("stage", "to_json(stage)"), ("depth", "depth"), ("target", "target"))) + "], lambda x: x IS NOT NULL), ',') || '}' AS value FROM search_examples")
 def src19_learning_lines(spark, sf_dir):
     return load(spark, sf_dir, "search_examples").select(F.to_json(F.struct("example_id", "branch_id", "stage", "depth", "target")).alias("value"))
 

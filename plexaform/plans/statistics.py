@@ -246,7 +246,7 @@ def stream11_replay_reasons(spark, sf_dir):
 
 def _lifetime_items(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     events, items = _trace(spark, sf_dir)
-    scopes = F.array(F.lit("s1"), F.lit("s2"))
+    scopes = F.array(F.lit("s1"), F.lit("s2"), F.lit("s9"))
     i = items.select("*", F.when(F.col("id") == "click", F.array(F.lit("derived"))).when(F.col("id") == "view", F.array(F.lit("serialized_body"))).otherwise(F.array(F.lit("mixed_mutability"))).alias("traits"),
                      scopes.alias("candidate_scopes"), F.array(F.lit("heap"), F.lit("device")).alias("candidate_placements"), F.lit("s2").alias("current_scope"), F.lit("heap").alias("current_placement"), F.lit("s2").alias("consumer_scope"),
                      (F.col("id") != "purchase").alias("fallback"), F.lit("immutable").alias("consistency"), F.lit(False).alias("independent_observer"))
@@ -254,7 +254,7 @@ def _lifetime_items(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     return i, tr.attribution(events, items), contains
 
 
-@R.add("life01_candidates", f"WITH {_TR}, {_ATTR}, s AS (SELECT * FROM (VALUES ('s1'), ('s2')) s(candidate_scope)), p AS (SELECT * FROM (VALUES ('heap'), ('device')) p(candidate_placement)), f AS (SELECT information_id AS id, realization_ratio AS rr, retention_waste AS rw, transfer_ratio AS tt FROM a) "
+@R.add("life01_candidates", f"WITH {_TR}, {_ATTR}, s AS (SELECT * FROM (VALUES ('s1'), ('s2'), ('s9')) s(candidate_scope)), p AS (SELECT * FROM (VALUES ('heap'), ('device')) p(candidate_placement)), f AS (SELECT information_id AS id, realization_ratio AS rr, retention_waste AS rw, transfer_ratio AS tt FROM a) "
        "SELECT id, 'serialization-body-reuse' AS family, candidate_scope, candidate_placement FROM f, s, p WHERE id = 'view' AND rr > 1 UNION ALL SELECT id, 'repeated-derivation-elimination', candidate_scope, candidate_placement FROM f, s, p WHERE id = 'click' AND rr > 1 "
        "UNION ALL SELECT id, 'immutable-mutable-projection-split', candidate_scope, candidate_placement FROM f, s, p WHERE id NOT IN ('view', 'click') UNION ALL SELECT id, 'intermediate-realization-elimination', 's2', 'heap' FROM f WHERE rw >= 0.5 UNION ALL SELECT id, 'placement-resident-state', candidate_scope, candidate_placement FROM f, s, p WHERE tt > 1 AND candidate_placement <> 'heap'")
 def life01_candidates(spark, sf_dir):
@@ -262,7 +262,11 @@ def life01_candidates(spark, sf_dir):
     return tr.candidates(i, a, c).drop("mode")
 
 
-@R.add("life02_legality")
+_DIAG = """array_to_string(list_filter([CASE WHEN candidate_scope = 's9' THEN 'candidate scope is undeclared' END, CASE WHEN candidate_scope = 's9' THEN 'candidate scope does not contain consumer scope' END,
+    CASE WHEN candidate_scope = 's9' AND family <> 'intermediate-realization-elimination' THEN 'lifetime extension scope does not contain the current scope' END, CASE WHEN id = 'purchase' THEN 'candidate has no fallback' END], lambda d: d IS NOT NULL), '; ')"""
+
+
+@R.add("life02_legality", f"SELECT id, family, candidate_scope, candidate_placement, {_DIAG} AS diagnostics FROM ({R.sql['life01_candidates']})")
 def life02_legality(spark, sf_dir):
     i, a, c = _lifetime_items(spark, sf_dir)
     return tr.legality(tr.candidates(i, a, c), i, c).select("id", "family", "candidate_scope", "candidate_placement", F.array_join("diagnostics", "; ").alias("diagnostics"))
@@ -281,7 +285,7 @@ def life05_confusion(spark, sf_dir):
     return a.groupBy(F.when(F.col("realization_ratio") > 1, "reuse").otherwise("none").alias("found"), F.when(F.col("information_id").isin("view", "click"), "reuse").otherwise("none").alias("expected")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@R.add("life06_obligations")
+@R.add("life06_obligations", f"SELECT id, family, candidate_scope, candidate_placement, candidate_scope <> 's9' AS scope_declared, id <> 'purchase' AS has_fallback, {_DIAG} = '' AS legal FROM ({R.sql['life01_candidates']})")
 def life06_obligations(spark, sf_dir):
     """Structural obligations of each candidate as boolean columns."""
     i, a, c = _lifetime_items(spark, sf_dir)
