@@ -126,7 +126,12 @@ def p3_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.agg(*[F.max(F.when(F.col("q") == q, F.col("value"))).alias(f"p{q}") for q in PERMILLE]).withColumn("max_error", F.lit(0.0))
 
 
-@R.add("p3_daily_states")
+_STATES_SQL = f"""once AS ({_once_sql()}), x AS (SELECT *, CASE WHEN v > 0 THEN floor(log2(v)) END AS e0 FROM once), y AS (SELECT *, CASE WHEN v < pow(2.0::DOUBLE, e0) THEN e0 - 1 WHEN v >= pow(2.0::DOUBLE, e0 + 1) THEN e0 + 1 ELSE e0 END AS e FROM x),
+    s AS (SELECT source, grp, day, CASE WHEN v = 0 THEN 0 ELSE CAST((e + 1023) * 256 + floor((v / pow(2.0::DOUBLE, e) - 1) * 256) AS BIGINT) END AS digit, count(*) AS n FROM y GROUP BY ALL)"""
+_LOW = "(1 + ({0}) % 256 / 256.0::DOUBLE) * pow(2.0::DOUBLE, ({0}) // 256 - 1023)"
+
+
+@R.add("p3_daily_states", f"WITH {_STATES_SQL} SELECT source, grp, day, digit, n FROM s")
 def p3_daily_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mergeable states: per source, group and day the count of values by leading digit."""
     parts = []
@@ -136,7 +141,9 @@ def p3_daily_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-@R.add("p3_from_states")
+@R.add("p3_from_states", f"""WITH {_STATES_SQL}, m AS (SELECT source, grp, digit, sum(n) AS n FROM s GROUP BY ALL), r AS (SELECT *, sum(n) OVER w AS upto, sum(n) OVER (PARTITION BY source, grp) AS total FROM m WINDOW w AS (PARTITION BY source, grp ORDER BY digit)),
+    q AS (SELECT *, unnest({PERMILLE}) AS q FROM r) SELECT source, grp, CAST(total AS BIGINT) AS n, q, CASE WHEN digit = 0 THEN 0 ELSE {_LOW.format('digit')} / 2 + {_LOW.format('digit + 1')} / 2 END AS value, pow(2.0::DOUBLE, -9) AS max_error FROM q
+    WHERE upto >= greatest(1, (total * q + 999) // 1000) AND upto - n < greatest(1, (total * q + 999) // 1000)""")
 def p3_from_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles over all days read from the merged daily states alone, with the bound of their relative error (an
     error of at most 2^-1030 comes on top of it)."""
