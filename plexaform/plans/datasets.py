@@ -450,11 +450,12 @@ def plan09_dominance(spark, sf_dir):
     return s.join(b, F.col("l_orderkey") == F.col("k")).where(F.size(F.array_except("s", "t")) == 0).select(F.col("l_orderkey").alias("dominated"), "dominator")
 
 
-@R.add("plan10_equivalence_classes", "SELECT CAST(n_nationkey AS VARCHAR) AS v, min(CAST(n_nationkey AS VARCHAR)) OVER (PARTITION BY n_nationkey % 4) AS component FROM nation")
+@R.add("plan10_equivalence_classes", """WITH RECURSIVE e AS (SELECT DISTINCT node_id AS a, nullif(trim(canonical_of), '') AS b FROM lazy_trace_nodes WHERE node_id IS NOT NULL), u AS (SELECT a, b FROM e WHERE b IS NOT NULL UNION SELECT b, a FROM e WHERE b IS NOT NULL),
+    n AS (SELECT a AS v FROM e UNION SELECT b FROM u), c AS (SELECT v AS a, v AS b FROM n UNION SELECT c.a, u.b FROM c JOIN u ON c.b = u.a) SELECT a AS v, min(b) AS component FROM c GROUP BY a""")
 def plan10_equivalence_classes(spark, sf_dir):
-    """Commutative rewrites k ~ k + 4 close to classes by union-find over tables."""
+    """States and what they are said to be equal to close to classes by union-find over tables."""
     from ..operators.components import connected_components
-    e = load(spark, sf_dir, "nation").selectExpr("n_nationkey AS a", "IF(n_nationkey + 4 < 25, n_nationkey + 4, NULL) AS b")
+    e = load(spark, sf_dir, "lazy_trace_nodes").where("node_id is not null").select(F.col("node_id").alias("a"), F.nullif(F.trim("canonical_of"), F.lit("")).alias("b"))
     return connected_components(e, "a", "b")
 
 

@@ -26,7 +26,8 @@ def _node(col: Column) -> Column:
 
 #: the edges of all projection graphs, with cycles and self-edges
 _RAW = "SELECT graph_hash, e.src AS src, e.dst AS dst, e.role AS role FROM (SELECT graph_hash, unnest(edges) AS e FROM projection_graphs) WHERE e.src IS NOT NULL AND e.dst IS NOT NULL"
-_E = f"e AS (SELECT DISTINCT {_sql_node('src')} AS s, {_sql_node('dst')} AS d FROM ({_RAW}))"
+CALLS_SQL = f"SELECT DISTINCT {_sql_node('src')} AS s, {_sql_node('dst')} AS d FROM ({_RAW})"
+_E = f"e AS ({CALLS_SQL})"
 #: the same edges, each from its lesser to its greater node: an acyclic graph
 _D = f"d AS (SELECT DISTINCT least(s, d) AS s, greatest(s, d) AS d FROM (SELECT {_sql_node('src')} AS s, {_sql_node('dst')} AS d FROM ({_RAW})) WHERE s <> d)"
 

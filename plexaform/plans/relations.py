@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import relations as rel
+from ..functions.cleaning import present
 from ..operators.prefix import bucketed_prefix_sum, group_buckets
-from ..session import load
+from ..operators.sequences import global_index
+from ..session import Scratch, load
+from .core_problems import sql_present
+from .graphs import CALLS_SQL, _calls
 from .registry import Registry
 
 R = Registry()
@@ -56,12 +60,11 @@ def join06_set_differences(spark, sf_dir):
     return after.subtract(before).select(F.lit("created").alias("side"), "s").unionByName(before.subtract(after).select(F.lit("invalidated").alias("side"), "s"))
 
 
-_EDGES = "e AS (SELECT DISTINCT n_nationkey AS src, (n_nationkey * 7 + 3) % 25 AS dst FROM nation UNION SELECT n_nationkey, n_regionkey FROM nation)"
+_EDGES = f"e0 AS (SELECT * FROM ({CALLS_SQL})), e AS (SELECT s AS src, d AS dst FROM e0)"
 
 
 def _edges(spark, sf_dir):
-    n = load(spark, sf_dir, "nation")
-    return n.selectExpr("n_nationkey AS src", "(n_nationkey * 7 + 3) % 25 AS dst").unionByName(n.selectExpr("n_nationkey AS src", "n_regionkey AS dst")).distinct()
+    return _calls(spark, sf_dir).toDF("src", "dst")
 
 
 @R.add("join07_two_hops", f"WITH {_EDGES} SELECT x.src AS first, x.dst AS middle, y.dst AS last FROM e x JOIN e y ON x.dst = y.src")
@@ -129,17 +132,27 @@ def join14_overlapping_coverage(spark, sf_dir):
     return rel.repeated_keys(load(spark, sf_dir, "nation").select((F.col("n_nationkey") % 4).alias("region")), "region")
 
 
-@R.add("join15_boundary", f"WITH {_EDGES} SELECT src, dst FROM e WHERE dst NOT IN (SELECT src FROM e WHERE src > 4)")
+@R.add("join15_boundary", f"WITH {_EDGES} SELECT src, dst FROM e WHERE dst NOT IN (SELECT src FROM e WHERE src % 5 <> 4)")
 def join15_boundary(spark, sf_dir):
     e = _edges(spark, sf_dir)
-    return rel.orphans(e, "dst", e.where("src > 4"), "src")
-
-
-@R.add("join16_sibling_pairs", "SELECT a.n_nationkey AS preferred, b.n_nationkey AS other FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
-def join16_sibling_pairs(spark, sf_dir):
-    n = load(spark, sf_dir, "nation")
-    b = n.select(F.col("n_nationkey").alias("other"), F.col("n_regionkey").alias("r2"))
-    return n.join(b, (F.col("n_regionkey") == F.col("r2")) & (F.col("n_nationkey") < F.col("other"))).select(F.col("n_nationkey").alias("preferred"), "other")
+    return rel.orphans(e, "dst", e.where("src % 5 <> 4"), "src")
+
+
+@R.add("join16_sibling_order", f"""WITH x AS (SELECT node_id, min({sql_present('parent_id')}) AS parent, max(coalesce(CASE WHEN NOT isnan(decision_confidence) THEN decision_confidence END, -1)) AS c FROM lazy_trace_nodes WHERE node_id IS NOT NULL GROUP BY 1)
+    SELECT parent, node_id, row_number() OVER (PARTITION BY parent ORDER BY c DESC, node_id) AS rank, count(*) OVER (PARTITION BY parent) - row_number() OVER (PARTITION BY parent ORDER BY c DESC, node_id) AS preferred_over FROM x WHERE parent IS NOT NULL""")
+def join16_sibling_order(spark, sf_dir):
+    """Ordered pairs of siblings as membership: each sibling's rank by confidence and how many it is preferred over.
+
+    Positions in one order over all siblings, less that of the parent's first, so a parent of any number of children is ranked
+    across tasks."""
+    n = load(spark, sf_dir, "lazy_trace_nodes").where("node_id is not null")
+    c = F.max(F.coalesce(F.when(~F.isnan("decision_confidence"), F.col("decision_confidence")), F.lit(-1.0)))
+    x = n.groupBy("node_id").agg(F.min(present(F.col("parent_id"))).alias("parent"), (-c).alias("low")).where("parent is not null")
+    tmp = Scratch(spark)
+    placed = tmp.keep(global_index(x, ["parent", "low", "node_id"], "i"))
+    spans = placed.groupBy(F.col("parent").alias("p")).agg(F.min("i").alias("first"), F.count(F.lit(1)).alias("n"))
+    rank = F.col("i") - F.col("first") + 1
+    return placed.join(spans, F.col("parent") == F.col("p")).select("parent", "node_id", rank.alias("rank"), (F.col("n") - rank).alias("preferred_over"))
 
 
 @R.add("join17_group_members", "SELECT s_suppkey AS id, min(s_suppkey) OVER (PARTITION BY s_nationkey) AS representative, count(*) OVER (PARTITION BY s_nationkey) - 1 AS partners FROM supplier")
