@@ -89,14 +89,16 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
 
 
-def unit_gradient(vectors: np.ndarray, out: np.ndarray, bias: np.ndarray, flat: np.ndarray, order: np.ndarray, lengths: np.ndarray, labels: np.ndarray,
-                  single: bool, sure: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, float]:
-    """Summed gradient of the logistic loss over units for word vectors, outputs and bias, the number of units and their summed loss.
-
-    ``flat`` holds the words of all units in turn, ``order`` sorts it."""
+def unit_gradient(logits: np.ndarray, bias: np.ndarray, flat: np.ndarray, units: np.ndarray, first: np.ndarray, words: np.ndarray, lengths: np.ndarray, labels: np.ndarray,
+                  single: bool, sure: float) -> tuple[np.ndarray, np.ndarray, int, float]:
+    """What units contribute to the gradient of the logistic loss, the summed gradient of the bias, the number of units and their loss.
+
+    ``logits`` holds each word's vector times the outputs. A unit's vector is the mean of its words', so the gradient of a word's vector is
+    W @ outputs^T and that of the outputs vectors^T @ W, where W sums, per word, what each unit that holds it leaves over divided by the
+    unit's length; W is all that is summed here. ``flat``: the words of all units in turn; sorted by word, ``units`` are the units of
+    those, ``first`` where each of ``words`` begins."""
     starts = np.cumsum(lengths) - lengths
-    mean = np.add.reduceat(vectors[flat], starts) / lengths[:, None]
-    p = _sigmoid(mean @ out + bias)
+    p = _sigmoid(np.add.reduceat(logits[flat], starts) / lengths[:, None] + bias)
     if single:
         within = np.where(labels > 0, p, 0)
         target = within.argmax(1)
@@ -108,13 +110,10 @@ def unit_gradient(vectors: np.ndarray, out: np.ndarray, bias: np.ndarray, flat:
     else:
         y = labels
     g = (p - y).astype(np.float32)
-    per_word = np.repeat((g @ out.T) / lengths[:, None], lengths, axis=0)
-    sorted_ = flat[order]
-    first = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
-    words = np.zeros_like(vectors)
-    words[sorted_[first]] = np.add.reduceat(per_word[order], first)
+    share = np.zeros_like(logits)
+    share[words] = np.add.reduceat((g / lengths[:, None].astype(np.float32))[units], first)
     loss = -np.log(np.where(y > 0, p, 1 - p) + 1e-9).sum()
-    return words, mean.T @ g, g.sum(0), len(g), float(loss)
+    return share, g.sum(0), len(g), float(loss)
 
 
 class _Adam:
@@ -143,7 +142,7 @@ def train(spark: SparkSession, labelled: DataFrame, subjects: list[str], tmp: Sc
     if not words:
         return Model(subjects, table, out, bias)
     number = spark.sparkContext.broadcast({w: i for i, w in enumerate(words)})
-    coded = tmp.keep(units.mapInPandas(_packer(number, len(subjects)), "flat binary, order binary, lengths binary, labels binary, docs binary"))
+    coded = tmp.keep(units.mapInPandas(_packer(number, len(subjects)), ", ".join(f"{c} binary" for c in _PACKED)))
     own, subs, ends = features(words)
     width = np.diff(ends)
     adams = [_Adam(table), _Adam(out), _Adam(bias)]
@@ -154,12 +153,12 @@ def train(spark: SparkSession, labelled: DataFrame, subjects: list[str], tmp: Sc
         single, sure = r >= docs, 0.6 if r >= docs + plain else 0.0
         rate = 0.05 if not single else 0.03 if r < docs + plain + corrected // 2 else 0.015
         vectors = (table[own] + np.add.reduceat(table[subs], ends[:-1]) / width[:, None]).astype(np.float32)
-        state = spark.sparkContext.broadcast((vectors, out, bias))
-        parts = coded.mapInPandas(_gradient(state, single, sure), "words binary, outputs binary, bias binary, units bigint, loss double").collect()
+        state = spark.sparkContext.broadcast((vectors @ out, bias))
+        parts = coded.mapInPandas(_gradient(state, single, sure), "share binary, bias binary, units bigint, loss double").collect()
         state.destroy()
         n = max(1, sum(p["units"] for p in parts))
-        g_words = sum(np.frombuffer(p["words"], np.float32).reshape(vectors.shape) for p in parts) / n
-        g_out = sum(np.frombuffer(p["outputs"], np.float32).reshape(out.shape) for p in parts) / n
+        share = sum(np.frombuffer(p["share"], np.float32).reshape(len(words), -1) for p in parts) / n
+        g_words, g_out = share @ out.T, vectors.T @ share
         g_bias = sum(np.frombuffer(p["bias"], np.float32) for p in parts) / n
         g_table = np.zeros_like(table)
         np.add.at(g_table, own, g_words)
@@ -180,8 +179,12 @@ def _split_units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["doc_id", "sentence", "words", "labels"])
 
 
+#: Columns of packed units.
+_PACKED = ["flat", "first", "words", "by_sentence", "by_document", "lengths", "doc_lengths", "labels", "doc_labels"]
+
+
 def _packer(number, subjects: int):
-    """The units of a partition as one row of arrays: they are unpacked once here and not once a round."""
+    """The units of a partition as one row of arrays, all that does not change from round to round worked out once."""
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = [b for b in batches if len(b)]
         if not rows:
@@ -192,24 +195,26 @@ def _packer(number, subjects: int):
         for k, ys in enumerate(pdf["labels"]):
             labels[k, list(ys)] = 1
         flat = np.array([get(w) for ws in pdf["words"] for w in ws], np.int64)
-        ids = pdf["doc_id"].to_numpy()
-        arrays = {"flat": flat, "order": np.argsort(flat, kind="stable"), "lengths": pdf["words"].str.len().to_numpy(np.int64),
-                  "labels": labels, "docs": np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])}
-        yield pd.DataFrame({k: [v.tobytes()] for k, v in arrays.items()})
+        ids, lengths = pdf["doc_id"].to_numpy(), pdf["words"].str.len().to_numpy(np.int64)
+        docs = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        order = np.argsort(flat, kind="stable")
+        first = np.flatnonzero(np.r_[True, flat[order][1:] != flat[order][:-1]])
+        doc_lengths = np.add.reduceat(lengths, docs)
+        arrays = {"flat": flat, "first": first, "words": flat[order][first], "by_sentence": np.repeat(np.arange(len(lengths)), lengths)[order],
+                  "by_document": np.repeat(np.arange(len(docs)), doc_lengths)[order], "lengths": lengths, "doc_lengths": doc_lengths, "labels": labels, "doc_labels": labels[docs]}
+        yield pd.DataFrame({k: [arrays[k].tobytes()] for k in _PACKED})
     return pack
 
 
 def _gradient(state, single: bool, sure: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vectors, out, bias = state.value
+        logits, bias = state.value
         for batch in batches:
-            for row in batch.itertuples():
-                flat, order, lengths, first = (np.frombuffer(x, np.int64) for x in (row.flat, row.order, row.lengths, row.docs))
-                labels = np.frombuffer(row.labels, np.float32).reshape(len(lengths), -1)
-                if not single:
-                    labels, lengths = labels[first], np.add.reduceat(lengths, first)
-                w, o, b, n, loss = unit_gradient(vectors, out, bias, flat, order, lengths, labels, single, sure)
-                yield pd.DataFrame({"words": [w.astype(np.float32).tobytes()], "outputs": [o.astype(np.float32).tobytes()], "bias": [b.astype(np.float32).tobytes()], "units": [n], "loss": [loss]})
+            for row in batch.to_dict("records"):
+                whole = lambda name: np.frombuffer(row[name], np.int64)  # noqa: B023, E731
+                units, lengths, labels = (whole("by_sentence"), whole("lengths"), row["labels"]) if single else (whole("by_document"), whole("doc_lengths"), row["doc_labels"])
+                share, b, n, loss = unit_gradient(logits, bias, whole("flat"), units, whole("first"), whole("words"), lengths, np.frombuffer(labels, np.float32).reshape(len(lengths), -1), single, sure)
+                yield pd.DataFrame({"share": [share.astype(np.float32).tobytes()], "bias": [b.astype(np.float32).tobytes()], "units": [n], "loss": [loss]})
     return run
 
 

@@ -48,6 +48,33 @@ def test_held_out_accuracy(spark):
     assert right >= 0.9 * 80
 
 
+def test_gradient_is_the_slope_of_the_loss():
+    """The summed shares give the derivatives of the loss by word vectors and outputs."""
+    import numpy as np
+
+    from plexaform.llm.subjects import unit_gradient
+
+    rng = np.random.RandomState(3)
+    vectors, out, bias = rng.randn(7, 4), rng.randn(4, 3), rng.randn(3)
+    flat, lengths = np.array([0, 1, 1, 5, 2, 6, 0, 3, 4]), np.array([3, 1, 5])
+    labels = rng.randint(0, 2, (3, 3)).astype(float)
+    order = np.argsort(flat, kind="stable")
+    first = np.flatnonzero(np.r_[True, flat[order][1:] != flat[order][:-1]])
+
+    def at(v, o, b):
+        return unit_gradient(v @ o, b, flat, np.repeat(np.arange(3), lengths)[order], first, flat[order][first], lengths, labels, False, 0.0)
+    share, g_bias, n, loss = at(vectors, out, bias)
+    assert n == 3
+    for value, gradient, k in ((vectors, share @ out.T, 0), (out, vectors.T @ share, 1), (bias, g_bias, 2)):
+        for i in np.ndindex(value.shape):
+            step = np.zeros_like(value)
+            step[i] = 1e-5
+            moved = [vectors, out, bias]
+            up, down = list(moved), list(moved)
+            up[k], down[k] = value + step, value - step
+            assert abs((at(*up)[3] - at(*down)[3]) / 2e-5 - gradient[i]) < 1e-3
+
+
 def test_held_out_hand_labels(spark):
     """A fifth of the hand-labelled documents is kept from training; the labels, some of which are wrong, are what is compared with."""
     from pyspark.sql import functions as F
