@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import Scratch
+from ..session import Pile, Scratch
 from .components import connected_components
 
 
@@ -29,13 +29,14 @@ def reachable(edges: DataFrame, src: str, dst: str, seeds: DataFrame, seed: str,
     """v: the seeds and everything reached from them, to any depth; only newly reached nodes travel."""
     tmp = tmp or Scratch(edges.sparkSession)
     links = tmp.keep(edges.select(F.col(src).alias("s"), F.col(dst).alias("d")).where("s is not null and d is not null").distinct())
-    seen = front = tmp.keep(seeds.select(F.col(seed).alias("v")).where("v is not null").distinct())
+    front = tmp.keep(seeds.select(F.col(seed).alias("v")).where("v is not null").distinct())
+    seen = Pile(tmp, front)
     while True:
         step = links.join(front, F.col("s") == F.col("v"), "left_semi").select(F.col("d").alias("v")).distinct()
-        front = tmp.keep(step.join(seen, "v", "left_anti"))
+        front = tmp.keep(step.join(seen.all(), "v", "left_anti"))
         if not front.limit(1).count():
-            return seen
-        seen = tmp.keep(seen.unionByName(front))
+            return seen.all()
+        seen.add(front)
 
 
 def strong_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
@@ -103,17 +104,17 @@ def effect_closure(own: DataFrame, node: str, effect: str, calls: DataFrame, cal
     in which only newly found effects travel. Rounds go on until none is found: nodes x effects is finite, and a NULL
     effect counts as one effect."""
     tmp = Scratch(own.sparkSession)
-    total = fresh = tmp.keep(own.select(F.col(node).alias("n"), F.col(effect).alias("e")).distinct())
+    fresh = tmp.keep(own.select(F.col(node).alias("n"), F.col(effect).alias("e")).distinct())
+    total = Pile(tmp, fresh)
     links = tmp.keep(calls.select(F.col(caller).alias("c"), F.col(callee).alias("d")).distinct())
     while True:
         up = fresh.join(links, F.col("n") == F.col("d")).select(F.col("c").alias("n"), "e").distinct()
-        known = total.select(F.col("n").alias("kn"), F.col("e").alias("ke"))
+        known = total.all().select(F.col("n").alias("kn"), F.col("e").alias("ke"))
         new = tmp.keep(up.join(known, F.col("n").eqNullSafe(F.col("kn")) & F.col("e").eqNullSafe(F.col("ke")), "left_anti"))
         if not new.limit(1).count():
-            return total.select(F.col("n").alias(node), F.col("e").alias(effect))
-        grown = tmp.keep(total.unionByName(new))
-        tmp.drop(total, fresh)
-        total, fresh = grown, new
+            return total.all().select(F.col("n").alias(node), F.col("e").alias(effect))
+        total.add(new)
+        fresh = new
 
 
 def bounded_slice(edges: DataFrame, src: str, dst: str, seeds: DataFrame, seed: str, depth: int, budget: int) -> DataFrame:
@@ -150,12 +151,15 @@ def _levels(edges: DataFrame, src: str, dst: str, weighted: DataFrame) -> DataFr
     e = tmp.keep(edges.select(F.col(src).alias("s"), F.col(dst).alias("d")).where("s is not null and d is not null").distinct())
     need = e.groupBy("d").agg(F.count(F.lit(1)).alias("need"))
     waiting = tmp.keep(weighted.join(need, F.col("v") == F.col("d"), "left").select("v", "w", F.coalesce("need", F.lit(0)).cast("bigint").alias("need"), F.lit(0.0).alias("best")))
-    level, done = 0, []
+    level, done = 0, None
     while True:
         ready = tmp.keep(waiting.where("need <= 0").select("v", F.lit(level).alias("level"), (F.col("best") + F.col("w")).alias("cost")))
         if not ready.limit(1).count():
             break
-        done.append(ready)
+        if done is None:
+            done = Pile(tmp, ready)
+        else:
+            done.add(ready)
         freed = e.join(ready, F.col("s") == F.col("v")).groupBy("d").agg(F.count(F.lit(1)).alias("freed"), F.max("cost").alias("come"))
         rest = waiting.where("need > 0").join(freed, F.col("v") == F.col("d"), "left").select(
             "v", "w", (F.col("need") - F.coalesce("freed", F.lit(0))).alias("need"), F.greatest("best", "come").alias("best"))
@@ -163,9 +167,7 @@ def _levels(edges: DataFrame, src: str, dst: str, weighted: DataFrame) -> DataFr
         tmp.drop(waiting)
         waiting, level = new, level + 1
     out = waiting.select("v", F.lit(None).cast("int").alias("level"), F.lit(None).cast("double").alias("cost"))
-    for part in done:
-        out = out.unionByName(part)
-    return out
+    return out if done is None else out.unionByName(done.all())
 
 
 def critical_path(edges: DataFrame, src: str, dst: str, weights: DataFrame, node: str, weight: str) -> DataFrame:

@@ -51,9 +51,19 @@ def attention(pairs: DataFrame, group: str, score: str, value: str, dim: int) ->
     return w.groupBy(group).agg(F.array(*[F.sum(F.col("__w") * F.col(value)[k]) / F.sum("__w") for k in range(dim)]).alias("out"))
 
 
+#: Keys that one running state of attention takes in.
+ATTENTION_BLOCK = 10_000
+
+
 def attention_online(pairs: DataFrame, group: str, order: str, score: str, value: str) -> DataFrame:
-    """The same by one pass over the ordered keys of a group with a running maximum, denominator and output."""
-    state = F.struct(F.lit(float("-inf")).alias("m"), F.lit(0.0).alias("d"), F.array().cast("array<double>").alias("o"))
+    """The same by running states (maximum, denominator, output), of which a group has one per block of its keys.
+
+    A block is folded key by key; states are mergeable, each scaled to the common maximum, so a group of any size is shared among tasks
+    and no array holds more than a block. ``order`` must be unique within the group."""
+    from .prefix import group_buckets
+
+    largest = pairs.groupBy(group).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    start = F.struct(F.lit(float("-inf")).alias("m"), F.lit(0.0).alias("d"), F.array().cast("array<double>").alias("o"))
 
     def step(s, x):
         m = F.greatest(s.m, x[score])
@@ -61,8 +71,16 @@ def attention_online(pairs: DataFrame, group: str, order: str, score: str, value
         out = F.when(F.size(s.o) == 0, F.transform(x[value], lambda v: v.cast("double") * add)).otherwise(F.zip_with(s.o, x[value], lambda o, v: o * keep + v.cast("double") * add))
         return F.struct(m.alias("m"), (s.d * keep + add).alias("d"), out.alias("o"))
 
-    rows = pairs.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(order, score, value))).alias("__r"))
-    return rows.select(group, F.aggregate("__r", state, step, lambda s: F.transform(s.o, lambda v: v / s.d)).alias("out"))
+    def merge(s, x):
+        m = F.greatest(s.m, x.m)
+        a, b = F.exp(s.m - m), F.exp(x.m - m)
+        out = F.when(F.size(s.o) == 0, F.transform(x.o, lambda v: v * b)).otherwise(F.zip_with(s.o, x.o, lambda v, w: v * a + w * b))
+        return F.struct(m.alias("m"), (s.d * a + x.d * b).alias("d"), out.alias("o"))
+
+    blocks = pairs.withColumn("__b", F.pmod(F.xxhash64(order), F.lit(group_buckets(largest, ATTENTION_BLOCK))))
+    folded = blocks.groupBy(group, "__b").agg(F.array_sort(F.collect_list(F.struct(order, score, value))).alias("__r")).select(group, "__b", F.aggregate("__r", start, step).alias("__s"))
+    states = folded.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("__b", "__s"))).alias("__r"))
+    return states.select(group, F.aggregate(F.transform("__r", lambda x: x["__s"]), start, merge, lambda s: F.transform(s.o, lambda v: v / s.d)).alias("out"))
 
 
 def greedy(df: DataFrame, group: str, token: str, logit: str) -> DataFrame:

@@ -207,14 +207,22 @@ def seq24_interleave(spark, sf_dir):
     return o.select("o_orderkey", F.hex("w").alias("packed"), F.lower(F.array_join(back, "")).alias("inverse"))
 
 
-@R.add("seq25_columns_of_records", "SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS keys, list(o_orderstatus ORDER BY o_orderkey) AS states FROM orders GROUP BY o_custkey")
+@R.add("seq25_columns_of_records", """SELECT o_custkey, block, list(o_orderkey ORDER BY o_orderkey) AS keys, list(o_orderstatus ORDER BY o_orderkey) AS states
+    FROM (SELECT *, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) // 64 AS block FROM orders) GROUP BY o_custkey, block""")
 def seq25_columns_of_records(spark, sf_dir):
-    """Array of records to record of arrays."""
-    a = load(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))).alias("r"))
-    return a.select("o_custkey", F.transform("r", lambda x: x.o_orderkey).alias("keys"), F.transform("r", lambda x: x.o_orderstatus).alias("states"))
+    """Records to columns in blocks of 64 records: places come from one order over all records, so a key of any size is shared among tasks."""
+    o = load(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
+    placed = sq.global_index(o, ["o_custkey", "o_orderkey"], "i")
+    first = o.groupBy(F.col("o_custkey").alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    first = sq.global_prefix_sum(first, ["c"], "n", "upto").select("c", (F.col("upto") - F.col("n")).alias("first"))
+    a = placed.join(first, F.col("o_custkey") == F.col("c")).withColumn("block", F.floor((F.col("i") - F.col("first")) / 64))
+    a = a.groupBy("o_custkey", "block").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))).alias("r"))
+    return a.select("o_custkey", "block", F.transform("r", lambda x: x.o_orderkey).alias("keys"), F.transform("r", lambda x: x.o_orderstatus).alias("states"))
 
 
-@R.add("seq26_ewma", """SELECT user_id, list_reduce(list_prepend(0.0::DOUBLE, list(value ORDER BY ts, event_id)), lambda r, v: r + 0.25::DOUBLE * (v - r)) AS r FROM events GROUP BY user_id""")
+@R.add("seq26_ewma", """SELECT user_id, round(list_reduce(list_prepend(0.0::DOUBLE, list(value ORDER BY ts, event_id)), lambda r, v: r + 0.25::DOUBLE * (v - r)), 9) AS r FROM events GROUP BY user_id""")
 def seq26_ewma(spark, sf_dir):
-    e = load(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("a"))
-    return e.select("user_id", F.aggregate("a", F.lit(0.0), lambda r, x: r + F.lit(0.25) * (x.value - r)).alias("r"))
+    """The average at the end of each sequence, which may span any number of partitions."""
+    e = load(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
+    y = sq.long_recurrence(e, ["ts", "event_id"], "value", 0.75, 0.25, "y", ["user_id"])
+    return y.groupBy("user_id").agg(F.round(F.max_by("y", F.struct("ts", "event_id")), 9).alias("r"))

@@ -84,6 +84,28 @@ class Scratch:
                 self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(path), True)
 
 
+class Pile:
+    """A table that grows by written parts. Parts are merged only once there are many of them, so a loop of many rounds neither
+    rewrites everything each round nor ends in a plan of as many scans."""
+
+    def __init__(self, tmp: Scratch, *parts: DataFrame, most: int = 16):
+        self.tmp, self.parts, self.most = tmp, list(parts), most
+
+    def add(self, part: DataFrame) -> None:
+        self.parts.append(part)
+        if len(self.parts) > self.most:
+            merged = self.tmp.keep(self.all())
+            # the part just added may still be read by itself
+            self.tmp.drop(*self.parts[:-1])
+            self.parts = [merged]
+
+    def all(self) -> DataFrame:
+        out = self.parts[0]
+        for part in self.parts[1:]:
+            out = out.unionByName(part)
+        return out
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete every table written by ``Scratch`` in this session; results not yet read can't be read any more."""
     for root in _ROOTS.pop(spark.sparkContext.applicationId, []):
