@@ -18,7 +18,7 @@ DIGITS = (44, 22, 0)
 #: bound of the error of a percentile read from daily states: STATE_ERROR x percentile + STATE_FLOOR
 STATE_ERROR = 2.0 ** -9
 STATE_FLOOR = 2.0 ** -1030
-#: Digits to follow that are sent to every task; more of them are joined by a shuffle.
+#: Digits to follow (of the whole, or of all days) that are sent to every task; more of them are joined by a shuffle.
 SENT_DIGITS = 10_000
 _ALL = "0001-01-01"
 _MANTISSA = 1 << 52
@@ -102,12 +102,10 @@ def records_once(df: DataFrame, group: Column, day: Column, value: Column, recor
     return with_order_bits(once.select("grp", "day", "v"), "v", "bits").select("grp", "day", "bits")
 
 
-def _followed(rows: DataFrame, targets: DataFrame, above: int) -> DataFrame:
-    """The rows (grp, day, bits) that lie in a wanted digit of their group and day; both sides hold no NULL day.
+def _followed(rows: DataFrame, wanted: DataFrame, above: int, few: bool) -> DataFrame:
+    """The rows (grp, day, bits) that lie in a wanted digit (wg, wd, w) of their group and day; no day is NULL.
 
-    Up to SENT_DIGITS wanted digits are sent to every task; more are joined by a shuffle on (grp, day, digit)."""
-    wanted = targets.select(F.col("grp").alias("wg"), F.col("day").alias("wd"), F.col("digit").alias("w")).distinct()
-    few = wanted.count() <= SENT_DIGITS
+    A few wanted digits are sent to every task; more are joined by a shuffle on (grp, day, digit)."""
     on = rows.grp.eqNullSafe(wanted.wg) & (rows.day == wanted.wd) & (F.shiftright(rows.bits, above) == wanted.w)
     return rows.join(F.broadcast(wanted) if few else wanted.hint("merge"), on, "left_semi")
 
@@ -120,20 +118,26 @@ def radix_percentiles(df: DataFrame, group: Column, day: Column, value: Column,
     rows; values without a day count in the whole only; NULL is a group of its own. Ties share their rank range. An empty
     table gives no rows.
     """
-    tmp = Scratch(df.sparkSession)
-    values = tmp.keep(records_once(df, group, day, value, record))
+    return percentiles_of(records_once(df, group, day, value, record), permille)
+
+
+def percentiles_of(values: DataFrame, permille: list[int]) -> DataFrame:
+    """The same from values: grp (of any type), day, bits, as ``records_once`` gives them; several sources may go through together."""
+    tmp = Scratch(values.sparkSession)
+    values = tmp.keep(values)
     states = tmp.keep(daily_states(values))
     whole = F.lit(_ALL).cast("date")
-    parts = []
-    # the whole has one set of digits a group, the days many; so they are followed apart
-    for counts, rows in ((merged_states(states), values.select("grp", whole.alias("day"), "bits")), (states.where("day is not null"), values.where("day is not null"))):
-        targets = tmp.keep(_locate(counts, None, permille, ["grp", "day"]))
-        for above, shift in zip(DIGITS, DIGITS[1:]):
-            rows = tmp.keep(_followed(rows, targets, above))
-            at = rows.groupBy("grp", "day", F.shiftright("bits", above).alias("above"), F.shiftright("bits", shift).alias("digit")).agg(F.count(F.lit(1)).alias("n"))
-            targets = tmp.keep(_locate(at, targets.withColumn("above", F.col("digit")).drop("digit"), permille, ["grp", "day", "above"]))
-        parts.append(targets)
-    targets = parts[0].unionByName(parts[1])
+    # the whole has one set of digits a group, the days many; so rows are followed apart and counted together
+    once, daily = values.select("grp", whole.alias("day"), "bits"), values.where("day is not null")
+    targets = tmp.keep(_locate(merged_states(states).unionByName(states.where("day is not null")), None, permille, ["grp", "day"]))
+    for above, shift in zip(DIGITS, DIGITS[1:]):
+        wanted = targets.select(F.col("grp").alias("wg"), F.col("day").alias("wd"), F.col("digit").alias("w")).distinct()
+        sizes = dict(wanted.groupBy((F.col("wd") == whole).alias("k")).count().collect())
+        few = lambda k: sizes.get(k, 0) <= SENT_DIGITS  # noqa: B023, E731
+        rows = tmp.keep(_followed(once, wanted.where(F.col("wd") == whole), above, few(True)).unionByName(_followed(daily, wanted.where(F.col("wd") != whole), above, few(False))))
+        at = rows.groupBy("grp", "day", F.shiftright("bits", above).alias("above"), F.shiftright("bits", shift).alias("digit")).agg(F.count(F.lit(1)).alias("n"))
+        targets = tmp.keep(_locate(at, targets.withColumn("above", F.col("digit")).drop("digit"), permille, ["grp", "day", "above"]))
+        once, daily = rows.where(F.col("day") == whole), rows.where(F.col("day") != whole)
     return targets.select("grp", F.when(F.col("day") != whole, F.col("day")).alias("day"), F.col("total").alias("n"), "q", from_bits(F.col("digit")).alias("value"))
 
 

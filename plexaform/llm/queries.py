@@ -115,14 +115,20 @@ def _percentile_sql() -> str:
     FROM placed GROUP BY source, grp, day, n"""
 
 
+def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """grp (struct of source and group), day, bits of both sources."""
+    parts = []
+    for table, grp, ts, value, ids in _SOURCES:
+        rows = percentiles.records_once(load(spark, sf_dir, table), name_key(F.col(grp)), F.col(ts), F.col(value), [F.col(c) for c in ids])
+        parts.append(rows.withColumn("grp", F.struct(F.lit(table).alias("source"), F.col("grp").alias("grp"))))
+    return parts[0].unionByName(parts[1])
+
+
 @R.add("p3_percentiles", _percentile_sql())
 def p3_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact median, 90th, 99th and 99.9th percentile (nearest rank, so max_error 0) per group, by day and over all days (day NULL)."""
-    parts = []
-    for table, grp, ts, value, ids in _SOURCES:
-        rows = percentiles.radix_percentiles(load(spark, sf_dir, table), name_key(F.col(grp)), F.col(ts), F.col(value), [F.col(c) for c in ids], PERMILLE)
-        parts.append(rows.withColumn("source", F.lit(table)))
-    wide = parts[0].unionByName(parts[1]).groupBy("source", "grp", "day", "n")
+    rows = percentiles.percentiles_of(_values(spark, sf_dir), PERMILLE)
+    wide = rows.groupBy("grp.source", "grp.grp", "day", "n")
     return wide.agg(*[F.max(F.when(F.col("q") == q, F.col("value"))).alias(f"p{q}") for q in PERMILLE]).withColumn("max_error", F.lit(0.0))
 
 
@@ -134,11 +140,7 @@ _LOW = "(1 + ({0}) % 256 / 256.0::DOUBLE) * pow(2.0::DOUBLE, ({0}) // 256 - 1023
 @R.add("p3_daily_states", f"WITH {_STATES_SQL} SELECT source, grp, day, digit, n FROM s")
 def p3_daily_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mergeable states: per source, group and day the count of values by leading digit."""
-    parts = []
-    for table, grp, ts, value, ids in _SOURCES:
-        rows = percentiles.records_once(load(spark, sf_dir, table), name_key(F.col(grp)), F.col(ts), F.col(value), [F.col(c) for c in ids])
-        parts.append(percentiles.daily_states(rows).withColumn("source", F.lit(table)))
-    return parts[0].unionByName(parts[1])
+    return percentiles.daily_states(_values(spark, sf_dir)).select("grp.source", "grp.grp", "day", "digit", "n")
 
 
 @R.add("p3_from_states", f"""WITH {_STATES_SQL}, m AS (SELECT source, grp, digit, sum(n) AS n FROM s GROUP BY ALL), r AS (SELECT *, sum(n) OVER w AS upto, sum(n) OVER (PARTITION BY source, grp) AS total FROM m WINDOW w AS (PARTITION BY source, grp ORDER BY digit)),
