@@ -84,6 +84,18 @@ def nibbles(quants: Column) -> Column:
     return bound(quants, values)
 
 
+def unpacked(raw: Column, start: int) -> Column:
+    """The 256 values of 128 bytes from ``start`` of a blob, as ``nibbles`` orders them, a batch at a time; NULL where the blob is NULL or
+    ends before."""
+    @F.arrow_udf("array<int>")
+    def unpack(blobs: pa.Array) -> pa.Array:
+        data, starts, lengths, there = _spans(blobs)
+        good = there & (lengths >= start + 128)
+        q = data[starts[good][:, None] + start + np.arange(128)].reshape(-1, 4, 1, 32)
+        return _lists(good, np.concatenate([q & 15, q >> 4], 2).reshape(-1, 256))
+    return unpack(raw)
+
+
 def half_value(bits: Column) -> Column:
     """Value of a 16-bit float given by its bits: subnormal, normal, infinite or NaN."""
     s = F.when(bits.bitwiseAND(F.lit(0x8000)) != 0, -1.0).otherwise(1.0)

@@ -132,8 +132,7 @@ def codec04_scale_min_round_trip(spark, sf_dir):
 
 @R.add("codec05_nibbles", "SELECT id, CAST(list_sum(list_transform(range(0, 256), lambda i: (CASE WHEN (i % 64) < 32 THEN (('0x' || hx[2*(16+(i//64)*32+i%32)+1:2*(16+(i//64)*32+i%32)+2])::BIGINT) & 15 ELSE (('0x' || hx[2*(16+(i//64)*32+i%32)+1:2*(16+(i//64)*32+i%32)+2])::BIGINT) >> 4 END) * (i + 1))) AS BIGINT) AS weighted FROM (" + _HEXED + ")")
 def codec05_nibbles(spark, sf_dir):
-    q = qz.nibbles(qz.blob_bytes(F.col("raw"), 16, 128))
-    d = _blocks(spark, sf_dir).select("id", q.alias("q"))
+    d = _blocks(spark, sf_dir).select("id", qz.unpacked(F.col("raw"), 16).alias("q"))
     return d.select("id", F.aggregate(F.transform("q", lambda v, i: (v * (i + 1)).cast("bigint")), F.lit(0).cast("bigint"), lambda a, v: a + v).alias("weighted"))
 
 

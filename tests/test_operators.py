@@ -199,14 +199,15 @@ def test_blocks_of_any_length(spark):
     q8 = [struct.pack("<f", 0.5 * i) + bytes(rnd.randrange(256) for _ in range(288)) for i in range(5)]
     rows = [(0, None, None), (1, b"", b""), (2, q4[0][:-1], q8[0] + b"x"), *[(3 + i, a, b) for i, (a, b) in enumerate(zip(q4, q8))], (9, None, q8[1])]
     df = spark.createDataFrame([(i, a and bytearray(a) if a is not None else None, b and bytearray(b) if b is not None else None) for i, a, b in rows], "i int, a binary, b binary").repartition(2)
-    got = {r["i"]: r for r in df.select("i", qz.parse_q4(F.col("a")).alias("w"), qz.parse_q8(F.col("b")).alias("x"), qz.blob_bytes(F.col("a"), 140, 6).alias("tail")).collect()}
+    got = {r["i"]: r for r in df.select("i", qz.parse_q4(F.col("a")).alias("w"), qz.parse_q8(F.col("b")).alias("x"), qz.blob_bytes(F.col("a"), 140, 6).alias("tail"), qz.unpacked(F.col("a"), 16).alias("u"), qz.nibbles(qz.blob_bytes(F.col("a"), 16, 128)).alias("n")).collect()}
     for i, a, b in rows:
         r = got[i]
         assert r["tail"] == (None if a is None else list(a[140:146]))
         if a is None or len(a) != 144:
-            assert r["w"]["quants"] is None and r["w"]["d"] is None and r["w"]["scales"] is None
+            assert r["u"] is None and r["w"]["quants"] is None and r["w"]["d"] is None and r["w"]["scales"] is None
         else:
             assert r["w"]["quants"] == [v for g in range(4) for part in (0, 4) for v in ((x >> part) & 15 for x in a[16 + 32 * g:48 + 32 * g])]
+            assert r["u"] == r["n"] == r["w"]["quants"]
             d = struct.unpack("<e", a[:2])[0]
             assert r["w"]["d"] == d or d != d
             s = a[4:16]
