@@ -31,6 +31,8 @@ MAX_LABELLED = 4096
 BUCKETS = 1 << 15
 DIM = 24
 SETTLED = 0.3
+#: Part of all subjects' odds that a sentence's likeliest subject must hold.
+CLEAR = 0.75
 
 _LEAD = re.compile(r"(?m)^\s*(?://|>|#|\*)+\s?")
 #: A word (no part of a path, number or name of code), or what ends a sentence.
@@ -218,9 +220,10 @@ def _gradient(state, single: bool, sure: float):
     return run
 
 
-def score(documents: DataFrame, doc_id: str, text: str, model: Model, share: float = 0.2, least: float = 0.5) -> DataFrame:
+def score(documents: DataFrame, doc_id: str, text: str, model: Model, share: float = 0.2, least: float = 0.5, clear: float = CLEAR) -> DataFrame:
     """Columns doc_id, subject, sentences (about it), about_any: one row per document and subject of at least ``share``
-    of the sentences that are about any subject; a sentence is about its likeliest subject, if that has ``least``."""
+    of the sentences that are about any subject; a sentence is about its likeliest subject, if that has ``least`` and its odds are
+    the part ``clear`` of all subjects' odds: set phrases that occur with every subject lean to one, but not clearly."""
     state = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -249,7 +252,9 @@ def score(documents: DataFrame, doc_id: str, text: str, model: Model, share: flo
             lengths = np.diff(np.r_[starts, len(flat)])
             z = np.add.reduceat(logits[flat], starts) / lengths[:, None] + m.bias
             best = z.argmax(1)
-            about = _sigmoid(z[np.arange(len(z)), best]) >= least
+            top = z[np.arange(len(z)), best]
+            odds = np.exp(np.clip(z - top[:, None], -30, 0)).sum(1)
+            about = (_sigmoid(top) >= least) & (1 / odds >= clear)
             ids = batch["doc_id"].to_numpy()[doc[starts]][about]
             if len(ids):
                 pairs = pd.DataFrame({"doc_id": ids, "k": best[about]}).value_counts().reset_index(name="sentences")
