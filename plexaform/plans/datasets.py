@@ -528,10 +528,38 @@ def plan15_contracts(spark, sf_dir):
     return d.select("*", F.array_join(unresolved, " ").alias("unresolved"), F.when(F.size(unresolved) == 0, "complete").otherwise("contract_blocked").alias("status"))
 
 
-@R.add("plan16_economic_decision", "SELECT p_partkey, CASE WHEN p_size % 10 = 0 THEN 'ESCALATE' WHEN p_size / 50.0::DOUBLE * 0.25::DOUBLE < 0.05 THEN 'STOP' WHEN p_retailprice < 950 THEN 'ESCALATE' ELSE 'CONTINUE' END AS decision FROM part")
+#: fixed values: rules in order, each a decision and what it rests on; f: promoted, integrated, measured, exhausted, proved, reachable, gain, represented
+_DECISIONS = [
+    ("promoted AND integrated", "STOP", "objective reached"),
+    ("promoted", "CONTINUE", "local gates passed, application open"),
+    ("measured AND exhausted", "STOP", "search did not meet the floor"),
+    ("measured", "ESCALATE", "negative result is limited by the grammar"),
+    ("proved", "CONTINUE", "measurement is next"),
+    ("NOT reachable", "ESCALATE", "a stage can't be reached"),
+    ("gain < 0.05D", "STOP", "optimistic gain is below the floor"),
+    ("represented < 0.25D", "ESCALATE", "too weakly representative"),
+]
+_STATES = {
+    "promoted": "list_contains(o, 'faster') AND coalesce(grade = 'A', false)", "integrated": "coalesce(base, false)", "measured": "list_has_any(o, ['faster', 'slower', 'identical'])", "exhausted": "coalesce(status = 'exhaustive', false)",
+    "proved": "list_contains(o, 'proved')", "reachable": "coalesce(state <> 'deferred', false)", "gain": "coalesce(target, 0) / 100.0::DOUBLE * 0.25::DOUBLE", "represented": "CASE quality WHEN 'full' THEN 1.0::DOUBLE WHEN 'partial' THEN 0.5::DOUBLE ELSE 0.1::DOUBLE END",
+}
+
+
+@R.add("plan16_economic_decision", f"""WITH x AS (SELECT DISTINCT example_id, branch_id, coalesce(outcomes, []) AS o, quality_grade AS grade, baseline AS base, coverage.children_status AS status, branch_state AS state, target, context_quality AS quality FROM search_examples),
+    y AS (SELECT example_id, branch_id, {', '.join(f'{e} AS {n}' for n, e in _STATES.items())} FROM x)
+    SELECT decision, reason, count(*) AS n FROM (SELECT CASE {' '.join(f"WHEN {c.replace('D', '') if '0.' in c else c} THEN '{d}'" for c, d, _ in _DECISIONS)} ELSE 'CONTINUE' END AS decision, CASE {' '.join(f"WHEN {c.replace('D', '') if '0.' in c else c} THEN '{r.replace(chr(39), chr(39) * 2)}'" for c, _, r in _DECISIONS)} ELSE 'worth the next stage' END AS reason FROM y) GROUP BY ALL""")
 def plan16_economic_decision(spark, sf_dir):
-    d = F.when(F.col("p_size") % 10 == 0, "ESCALATE").when(F.col("p_size") / 50.0 * 0.25 < 0.05, "STOP").when(F.col("p_retailprice") < 950, "ESCALATE").otherwise("CONTINUE")
-    return load(spark, sf_dir, "part").select("p_partkey", d.alias("decision"))
+    """Whether to go on with a search, by the evidence it has reached: the first rule that holds, and how often it does."""
+    e = load(spark, sf_dir, "search_examples").select("example_id", "branch_id", F.coalesce("outcomes", F.array().cast("array<string>")).alias("o"), "quality_grade", "baseline", F.col("coverage.children_status").alias("status"), "branch_state", "target", "context_quality").distinct()
+    no = lambda c: F.coalesce(c, F.lit(False))
+    has = lambda *xs: F.arrays_overlap("o", F.array(*[F.lit(x) for x in xs]))
+    quality = F.when(F.col("context_quality") == "full", 1.0).when(F.col("context_quality") == "partial", 0.5).otherwise(0.1)
+    y = e.select(no(has("faster") & no(F.col("quality_grade") == "A")).alias("promoted"), no(F.col("baseline")).alias("integrated"), no(has("faster", "slower", "identical")).alias("measured"), no(F.col("status") == "exhaustive").alias("exhausted"),
+                 no(has("proved")).alias("proved"), no(F.col("branch_state") != "deferred").alias("reachable"), (F.coalesce("target", F.lit(0)) / 100.0 * 0.25).alias("gain"), quality.alias("represented"))
+    decision, reason = F.lit("CONTINUE"), F.lit("worth the next stage")
+    for condition, what, why in reversed(_DECISIONS):
+        decision, reason = F.when(F.expr(condition), what).otherwise(decision), F.when(F.expr(condition), why).otherwise(reason)
+    return y.groupBy(decision.alias("decision"), reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
 #: fixed values: what leaves a local unit, in order, and the words that show it
