@@ -127,3 +127,18 @@ def test_hex_and_names(spark):
     assert [r[0] for r in names.select(name_key(F.col("v"))).collect()] == ["keen-rivet-10c", None, None]
     s = spark.createDataFrame([("TRAIN ",), (" test",), ("dev",), ("x",), (None,)], "v string")
     assert [r[0] for r in s.select(split_key(F.col("v"))).collect()] == ["train", "test", "validation", None, None]
+
+
+def test_growing_table(spark):
+    """Many parts are merged, none is lost, and what is dropped is no longer on disk."""
+    import os
+
+    from plexaform.session import Pile, Scratch
+
+    tmp = Scratch(spark)
+    first = tmp.keep(spark.range(0, 3))
+    pile = Pile(tmp, first, most=4)
+    for k in range(1, 12):
+        pile.add(tmp.keep(spark.range(3 * k, 3 * k + 3)))
+    assert sorted(r[0] for r in pile.all().collect()) == list(range(36)) and len(pile.parts) <= 5
+    assert not os.path.exists(first._plexaform_path.removeprefix("file:"))
