@@ -65,3 +65,35 @@ def test_one_giant_component(spark):
     df = spark.createDataFrame([(i, "same" if i < 90 else None) for i in range(100)], "i int, p string")
     got = {r["split"]: r["count"] for r in splits.grouped_split(df, ["i"], {"p": F.col("p")}, {"train": 0.8, "validation": 0.1, "test": 0.1}).groupBy("split").count().collect()}
     assert got["train"] == 90 and sum(got.values()) == 100
+
+
+def test_nearest_total_beyond_the_pool():
+    """Large groups that fit, taken first, leave a gap here that only another choice of large groups closes."""
+    total = lambda chosen: sum(s * n for s, n in chosen.items())
+    assert splits.closest_subset({3_000_000: 1, 5_000_000: 1, 6_000_000: 1}, 8_000_000) == {3_000_000: 1, 5_000_000: 1}
+    assert total(splits.closest_subset({10: 3_000_000, 4_000_007: 2, 6_000_001: 1, 7_000_004: 1, 9_000_010: 2}, 11_000_008)) == 11_000_008
+    assert total(splits.closest_subset({1000 + 7 * i: 500 for i in range(1, 800)}, 100_000_003)) == 100_000_003
+
+
+def test_the_same_groups_whatever_the_pool(monkeypatch):
+    rnd = random.Random(4)
+    for _ in range(60):
+        sizes = {rnd.randrange(1, 60): rnd.choice([1, 2, 3, 9]) for _ in range(rnd.randrange(2, 7))}
+        target = rnd.randrange(0, sum(s * m for s, m in sizes.items()) + 1)
+        reach = {0}
+        for s, m in sizes.items():
+            reach = {r + s * n for r in reach for n in range(m + 1)}
+        monkeypatch.setattr(splits, "POOL", 1 << 22)
+        got = splits.closest_subset(sizes, target)
+        assert sum(s * n for s, n in got.items()) == min(reach, key=lambda r: (abs(r - target), r))
+        for pool in (1, 3, 50):
+            monkeypatch.setattr(splits, "POOL", pool)
+            assert splits.closest_subset(sizes, target) == got
+
+
+def test_components_of_one_size_come_in_one_order(spark):
+    """The order in which components fill the shares does not depend on how many there are."""
+    df = spark.range(1000).select(F.col("id").alias("i"), F.lit(None).cast("string").alias("p"))
+    got = splits.grouped_split(df, ["i"], {"p": F.col("p")}, {"train": 0.8, "validation": 0.1, "test": 0.1})
+    got = got.orderBy(F.pmod(F.xxhash64("component"), F.lit(4096)), "component").collect()
+    assert [r["split"] for r in got] == ["validation"] * 100 + ["test"] * 100 + ["train"] * 800
